@@ -162,13 +162,17 @@ def key_prefix(key: Column) -> Column:
     return F.lower(F.substring_index(key, ":", 1))
 
 
+def _keys_of(keys: Column, prefix: str) -> Column:
+    return F.filter(keys, lambda k: key_prefix(k) == prefix)
+
+
 def target_coding_keys(resource_type: Column, keys: Column) -> Column:
     """Keys of the first preferred system that has any; empty array otherwise."""
     ordered = sorted_distinct(F.coalesce(keys, F.array().cast("array<string>")))
     empty = F.array().cast("array<string>")
     branches = F.when(F.lit(False), empty)
     for rtype, prefixes in TARGET_PREFIXES.items():
-        picks = [F.filter(ordered, lambda k, p=p: key_prefix(k) == p) for p in prefixes]
+        picks = [_keys_of(ordered, p) for p in prefixes]
         chosen = F.coalesce(*[F.when(F.size(x) > 0, x) for x in picks], empty)
         branches = branches.when(resource_type == rtype, chosen)
     return branches.otherwise(empty)

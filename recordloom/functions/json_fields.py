@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .coding import CONCEPT_TYPE
 
@@ -17,8 +17,19 @@ def kind_of(body: Column, path: str) -> Column:
 
 
 def text(body: Column, path: str) -> Column:
-    """The field when it is a JSON string, else null."""
-    return F.when(kind_of(body, path) == "STRING", field(body, path, "string"))
+    """The field as text. A number or flag where a text is expected is read as its text."""
+    return field(body, path, "string")
+
+
+def parse_once(df: DataFrame, source: str | Column, alias: str = "body") -> DataFrame:
+    """Replace JSON text by a VARIANT that is parsed exactly once per row.
+
+    Later filters and projections refer to the parsed column many times; as the output of a generator it is not
+    substituted back into them. A text that is no JSON gives null.
+    """
+    text_col = F.col(source) if isinstance(source, str) else source
+    keep = [c for c in df.columns if c != source and c != alias]
+    return df.select(*keep, F.explode(F.array(F.try_parse_json(text_col))).alias(alias))
 
 
 def number(body: Column, path: str) -> Column:

@@ -88,8 +88,24 @@ OBSERVATION_VALUE = (
 )
 
 
-def observation_value(body: Column) -> Column:
-    """One of nine value kinds, first present wins."""
+def value_fields(body: Column) -> Column:
+    """The parts a value can come from, as one struct: project it first, so each field is read once."""
+    concept_words = lambda path: blank_to_null(concept_text(J.concept(body, path)))
+    return F.struct(
+        J.number(body, "valueQuantity.value").alias("amount"),
+        J.field(body, "valueQuantity", "struct<unit:string,code:string,comparator:string>").alias("quantity"),
+        concept_words("valueCodeableConcept").alias("coded"),
+        J.text(body, "valueString").alias("string"),
+        J.boolean(body, "valueBoolean").alias("flag"),
+        J.number(body, "valueInteger").alias("whole"),
+        J.text(body, "valueDateTime").alias("moment"),
+        J.field(body, "valuePeriod", "struct<start:string,end:string>").alias("period"),
+        concept_words("dataAbsentReason").alias("reason"),
+    )
+
+
+def observation_value(parts: Column) -> Column:
+    """One of nine value kinds out of ``value_fields``, first present wins."""
 
     def value(kind: str, display: Column, numeric=None, unit=None, ucum=None, canonical=None, reason=None) -> Column:
         missing = F.lit(None)
@@ -104,29 +120,21 @@ def observation_value(body: Column) -> Column:
             (reason if reason is not None else missing).cast("string").alias("absent_reason"),
         )
 
-    amount = J.number(body, "valueQuantity.value")
-    unit_raw, code_raw = J.field(body, "valueQuantity.unit", "string"), J.field(body, "valueQuantity.code", "string")
-    ucum = trimmed_or_null(code_raw)
-    unit = F.coalesce(trimmed_or_null(unit_raw), ucum)
-    comparator = blank_to_null(J.field(body, "valueQuantity.comparator", "string"))
-    shown = F.concat_ws(" ", comparator, number_text(amount), unit)
-    coded = blank_to_null(concept_text(J.concept(body, "valueCodeableConcept")))
-    string = J.text(body, "valueString")
-    flag = J.boolean(body, "valueBoolean")
-    whole = J.number(body, "valueInteger")
-    moment = J.text(body, "valueDateTime")
-    start, end = blank_to_null(J.field(body, "valuePeriod.start", "string")), blank_to_null(J.field(body, "valuePeriod.end", "string"))
+    amount, quantity = parts["amount"], parts["quantity"]
+    ucum = trimmed_or_null(quantity["code"])
+    unit = F.coalesce(trimmed_or_null(quantity["unit"]), ucum)
+    shown = F.concat_ws(" ", blank_to_null(quantity["comparator"]), number_text(amount), unit)
+    start, end = blank_to_null(parts["period"]["start"]), blank_to_null(parts["period"]["end"])
     span = F.when(start.isNotNull() & end.isNotNull(), F.concat(start, F.lit(" to "), end)).otherwise(F.coalesce(start, end))
-    reason = blank_to_null(concept_text(J.concept(body, "dataAbsentReason")))
     return (
-        F.when(amount.isNotNull(), value("quantity", shown, amount, unit, ucum, canonical_quantity(amount, unit_raw, code_raw)))
-        .when(coded.isNotNull(), value("codeable-concept", coded))
-        .when(string.isNotNull(), value("string", string))
-        .when(flag.isNotNull(), value("boolean", flag.cast("string")))
-        .when(whole.isNotNull(), value("integer", number_text(whole), whole))
-        .when(moment.isNotNull(), value("datetime", moment))
+        F.when(amount.isNotNull(), value("quantity", shown, amount, unit, ucum, canonical_quantity(amount, quantity["unit"], quantity["code"])))
+        .when(parts["coded"].isNotNull(), value("codeable-concept", parts["coded"]))
+        .when(parts["string"].isNotNull(), value("string", parts["string"]))
+        .when(parts["flag"].isNotNull(), value("boolean", parts["flag"].cast("string")))
+        .when(parts["whole"].isNotNull(), value("integer", number_text(parts["whole"]), parts["whole"]))
+        .when(parts["moment"].isNotNull(), value("datetime", parts["moment"]))
         .when(span.isNotNull(), value("period", span))
-        .when(reason.isNotNull(), value("absent", reason, reason=reason))
+        .when(parts["reason"].isNotNull(), value("absent", parts["reason"], reason=parts["reason"]))
         .otherwise(value("unknown", F.lit("No value recorded")))
     )
 
@@ -169,7 +177,8 @@ def _of_type(resources: DataFrame, resource_type: str) -> DataFrame:
     return resources.filter(F.col("resource_type") == resource_type).withColumn("_given_id", F.col("id")).withColumn("id", name)
 
 
-B = F.col("body")
+def _body() -> Column:
+    return F.col("body")
 
 
 def _label(default: str, *texts: Column) -> Column:
@@ -182,23 +191,23 @@ def _provider(df: DataFrame, *cols: Column) -> DataFrame:
 
 def medications(resources: DataFrame) -> DataFrame:
     """Medication requests, with the referenced medication of the same source looked up."""
-    requests = _of_type(resources, "MedicationRequest").withColumn("_ref", J.field(B, "medicationReference.reference", "string"))
+    requests = _of_type(resources, "MedicationRequest").withColumn("_ref", J.field(_body(), "medicationReference.reference", "string"))
     products = resource_index(resources, ["Medication"]).select(
         "source_id",
         F.col("key").alias("_ref"),
-        J.concept(B, "code").alias("_product"),
-        J.concept(B, "form").alias("_form"),
-        J.field(B, "ingredient", f"array<struct<itemCodeableConcept:{CONCEPT_TYPE},itemReference:struct<reference:string,display:string>>>").alias("_ingredient"),
+        J.concept(_body(), "code").alias("_product"),
+        J.concept(_body(), "form").alias("_form"),
+        J.field(_body(), "ingredient", f"array<struct<itemCodeableConcept:{CONCEPT_TYPE},itemReference:struct<reference:string,display:string>>>").alias("_ingredient"),
     )
     df = requests.join(products, ["source_id", "_ref"], "left")
-    own, product = J.concept(B, "medicationCodeableConcept"), F.col("_product")
-    ref_display = J.text(B, "medicationReference.display")
+    own, product = J.concept(_body(), "medicationCodeableConcept"), F.col("_product")
+    ref_display = J.text(_body(), "medicationReference.display")
     label = F.coalesce(
         blank_to_null(concept_text(own)),
         blank_to_null(concept_text(product)),
         blank_to_null(ref_display),
         blank_to_null(F.col("_ref")),
-        blank_to_null(concept_text(J.concept(B, "code"))),
+        blank_to_null(concept_text(J.concept(_body(), "code"))),
         blank_to_null(F.col("_given_id")),
         F.lit("Medication"),
     )
@@ -209,21 +218,21 @@ def medications(resources: DataFrame) -> DataFrame:
         lambda i: F.coalesce(blank_to_null(concept_text(i["itemCodeableConcept"])), blank_to_null(i["itemReference"]["display"]), blank_to_null(i["itemReference"]["reference"])),
     )
     ingredients = F.array_distinct(F.filter(ingredient_labels, lambda x: x.isNotNull()))
-    dosing = F.coalesce(J.field(B, "dosageInstruction", f"array<struct<text:string,route:{CONCEPT_TYPE}>>"), F.array())
+    dosing = F.coalesce(J.field(_body(), "dosageInstruction", f"array<struct<text:string,route:{CONCEPT_TYPE}>>"), F.array())
     routes = F.filter(F.transform(dosing, lambda d: blank_to_null(concept_text(d["route"]))), lambda r: r.isNotNull())
     words = F.filter(F.transform(dosing, lambda d: d["text"]), lambda t: F.trim(t) != "")
     staged = df.select(
         *KEYS,
         "id",
         label.alias("label"),
-        F.coalesce(J.text(B, "status"), F.lit("unknown")).alias("status"),
+        F.coalesce(J.text(_body(), "status"), F.lit("unknown")).alias("status"),
         keys.alias("coding_keys"),
         F.coalesce(code_summary(own), code_summary(product), by_display).alias("code_summary"),
         ingredients.alias("ingredients"),
         concept_text(F.col("_form")).alias("dosage_form"),
         F.get(routes, F.lit(0)).alias("_route"),
         F.array_join(words, " ").alias("_words"),
-        J.text(B, "authoredOn").alias("authored_at"),
+        J.text(_body(), "authoredOn").alias("authored_at"),
         F.lit("provider").alias("source"),
     )
     routed = staged.withColumn("route", F.coalesce("_route", infer_route(F.col("label"), F.col("dosage_form"), F.col("_words"))))
@@ -233,58 +242,58 @@ def medications(resources: DataFrame) -> DataFrame:
 
 
 def allergies(resources: DataFrame) -> DataFrame:
-    code = J.concept(B, "code")
+    code = J.concept(_body(), "code")
     return _provider(
         _of_type(resources, "AllergyIntolerance"),
         _label("Allergy", concept_text(code)).alias("label"),
-        concept_text(J.concept(B, "clinicalStatus")).alias("status"),
-        J.text(B, "criticality").alias("criticality"),
+        concept_text(J.concept(_body(), "clinicalStatus")).alias("status"),
+        J.text(_body(), "criticality").alias("criticality"),
         coding_keys(code).alias("coding_keys"),
         code_summary(code).alias("code_summary"),
-        J.text(B, "recordedDate").alias("authored_at"),
+        J.text(_body(), "recordedDate").alias("authored_at"),
     )
 
 
 def conditions(resources: DataFrame) -> DataFrame:
-    code = J.concept(B, "code")
+    code = J.concept(_body(), "code")
     return _provider(
         _of_type(resources, "Condition"),
         _label("Condition", concept_text(code)).alias("label"),
-        concept_text(J.concept(B, "clinicalStatus")).alias("status"),
+        concept_text(J.concept(_body(), "clinicalStatus")).alias("status"),
         coding_keys(code).alias("coding_keys"),
         code_summary(code).alias("code_summary"),
-        F.coalesce(J.text(B, "recordedDate"), J.text(B, "onsetDateTime")).alias("authored_at"),
+        F.coalesce(J.text(_body(), "recordedDate"), J.text(_body(), "onsetDateTime")).alias("authored_at"),
     )
 
 
 def observations(resources: DataFrame) -> DataFrame:
-    code = J.concept(B, "code")
-    category = F.get(J.concepts(B, "category"), F.lit(0))
+    code = J.concept(_body(), "code")
+    category = F.get(J.concepts(_body(), "category"), F.lit(0))
     return _provider(
-        _of_type(resources, "Observation"),
+        _of_type(resources, "Observation").withColumn("_parts", value_fields(_body())),
         _label("Observation", concept_text(code)).alias("label"),
-        observation_value(B).alias("value"),
-        F.coalesce(J.text(B, "status"), F.lit("unknown")).alias("status"),
+        observation_value(F.col("_parts")).alias("value"),
+        F.coalesce(J.text(_body(), "status"), F.lit("unknown")).alias("status"),
         concept_text(category).alias("category"),
         concept_code(category).alias("category_code"),
         coding_keys(code).alias("coding_keys"),
         code_summary(code).alias("code_summary"),
-        F.coalesce(J.text(B, "effectiveDateTime"), J.text(B, "issued"), J.period_start(B, "effectivePeriod")).alias("effective_date"),
-        concept_text(F.get(J.concepts(B, "interpretation"), F.lit(0))).alias("interpretation"),
-        abnormal_flag(B).alias("abnormal"),
-        resource_range(B).alias("reference_range"),
+        F.coalesce(J.text(_body(), "effectiveDateTime"), J.text(_body(), "issued"), J.period_start(_body(), "effectivePeriod")).alias("effective_date"),
+        concept_text(F.get(J.concepts(_body(), "interpretation"), F.lit(0))).alias("interpretation"),
+        abnormal_flag(_body()).alias("abnormal"),
+        resource_range(_body()).alias("reference_range"),
     )
 
 
 def immunizations(resources: DataFrame) -> DataFrame:
-    code = J.concept(B, "vaccineCode")
+    code = J.concept(_body(), "vaccineCode")
     return _provider(
         _of_type(resources, "Immunization"),
         _label("Immunization", concept_text(code)).alias("label"),
         concept_codes(code).alias("codes"),
         code_summary(code).alias("code_summary"),
-        J.text(B, "status").alias("status"),
-        F.coalesce(J.text(B, "occurrenceDateTime"), J.text(B, "recorded")).alias("occurrence_date"),
+        J.text(_body(), "status").alias("status"),
+        F.coalesce(J.text(_body(), "occurrenceDateTime"), J.text(_body(), "recorded")).alias("occurrence_date"),
     )
 
 
@@ -307,58 +316,58 @@ def patient_name(body: Column) -> Column:
 
 def encounters(resources: DataFrame) -> DataFrame:
     """Encounters with the name of the referenced provider of the same source."""
-    visits = _of_type(resources, "Encounter").withColumn("_ref", J.field(B, "serviceProvider.reference", "string"))
+    visits = _of_type(resources, "Encounter").withColumn("_ref", J.field(_body(), "serviceProvider.reference", "string"))
     named = resource_index(resources, ["Organization", "Practitioner", "Location"]).select(
         "source_id",
         F.col("key").alias("_ref"),
-        F.when(F.col("resource_type") == "Practitioner", practitioner_name(B)).otherwise(J.text(B, "name")).alias("_provider_name"),
+        F.when(F.col("resource_type") == "Practitioner", practitioner_name(_body())).otherwise(J.text(_body(), "name")).alias("_provider_name"),
     )
     df = visits.join(named, ["source_id", "_ref"], "left")
-    types, reasons = J.concepts(B, "type"), J.concepts(B, "reasonCode")
-    class_label = F.coalesce(blank_to_null(J.field(B, "class.display", "string")), J.field(B, "class.code", "string"))
-    provider = F.coalesce(blank_to_null(F.col("_provider_name")), blank_to_null(J.field(B, "serviceProvider.display", "string")), F.col("_ref"))
+    types, reasons = J.concepts(_body(), "type"), J.concepts(_body(), "reasonCode")
+    class_label = F.coalesce(blank_to_null(J.field(_body(), "class.display", "string")), J.field(_body(), "class.code", "string"))
+    provider = F.coalesce(blank_to_null(F.col("_provider_name")), blank_to_null(J.field(_body(), "serviceProvider.display", "string")), F.col("_ref"))
     return _provider(
         df,
         _label("Encounter", first_concept_text(types), first_concept_text(reasons), class_label, provider).alias("label"),
-        J.text(B, "status").alias("status"),
+        J.text(_body(), "status").alias("status"),
         class_label.alias("class_label"),
         first_concept_summary(types).alias("code_summary"),
         first_concept_summary(reasons).alias("reason_summary"),
         F.array_distinct(F.concat(coding_keys_of_all(types), coding_keys_of_all(reasons))).alias("coding_keys"),
-        J.field(B, "period.start", "string").alias("period_start"),
-        J.field(B, "period.end", "string").alias("period_end"),
+        J.field(_body(), "period.start", "string").alias("period_start"),
+        J.field(_body(), "period.end", "string").alias("period_end"),
         provider.alias("service_provider"),
     )
 
 
 def procedures(resources: DataFrame) -> DataFrame:
-    code, reasons = J.concept(B, "code"), J.concepts(B, "reasonCode")
+    code, reasons = J.concept(_body(), "code"), J.concepts(_body(), "reasonCode")
     return _provider(
         _of_type(resources, "Procedure"),
         _label("Procedure", concept_text(code)).alias("label"),
-        J.text(B, "status").alias("status"),
-        concept_text(J.concept(B, "category")).alias("category"),
+        J.text(_body(), "status").alias("status"),
+        concept_text(J.concept(_body(), "category")).alias("category"),
         code_summary(code).alias("code_summary"),
         first_concept_summary(reasons).alias("reason_summary"),
         F.array_distinct(F.concat(coding_keys(code), coding_keys_of_all(reasons))).alias("coding_keys"),
-        F.coalesce(J.text(B, "performedDateTime"), J.text(B, "performedString"), J.period_start(B, "performedPeriod")).alias("performed_date"),
+        F.coalesce(J.text(_body(), "performedDateTime"), J.text(_body(), "performedString"), J.period_start(_body(), "performedPeriod")).alias("performed_date"),
     )
 
 
 def diagnostic_reports(resources: DataFrame) -> DataFrame:
-    code = J.concept(B, "code")
-    results = F.size(F.coalesce(J.field(B, "result", "array<variant>"), F.array().cast("array<variant>")))
+    code = J.concept(_body(), "code")
+    results = F.size(F.coalesce(J.field(_body(), "result", "array<variant>"), F.array().cast("array<variant>")))
     return _provider(
         _of_type(resources, "DiagnosticReport"),
         _label("Diagnostic report", concept_text(code)).alias("label"),
-        J.text(B, "status").alias("status"),
-        first_concept_text(J.concepts(B, "category")).alias("category"),
+        J.text(_body(), "status").alias("status"),
+        first_concept_text(J.concepts(_body(), "category")).alias("category"),
         code_summary(code).alias("code_summary"),
         coding_keys(code).alias("coding_keys"),
-        F.coalesce(J.text(B, "effectiveDateTime"), J.period_start(B, "effectivePeriod"), J.text(B, "issued")).alias("effective_date"),
-        J.text(B, "issued").alias("issued"),
+        F.coalesce(J.text(_body(), "effectiveDateTime"), J.period_start(_body(), "effectivePeriod"), J.text(_body(), "issued")).alias("effective_date"),
+        J.text(_body(), "issued").alias("issued"),
         F.nullif(results, F.lit(0)).alias("result_count"),
-        trimmed_or_null(J.text(B, "conclusion")).alias("conclusion"),
+        trimmed_or_null(J.text(_body(), "conclusion")).alias("conclusion"),
     )
 
 

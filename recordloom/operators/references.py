@@ -53,11 +53,14 @@ def resolve_references(refs: DataFrame, index: DataFrame, base_url: Column | Non
 def display_references(resources: DataFrame) -> DataFrame:
     """One row per display reference, in record, rule and list order (``ref_pos``)."""
     body = F.col("body")
+
+    def tagged(refs: Column, n: int, why: str) -> Column:
+        return F.transform(refs, lambda r, i: F.struct(F.lit(n).alias("rule"), i.alias("item"), r.alias("reference"), F.lit(why).alias("reason")))
+
     rules = [
-        F.when(
-            F.col("resource_type") == rtype,
-            F.transform(J.references(body, name, only_list=many), lambda r, i, n=n, why=why: F.struct(F.lit(n).alias("rule"), i.alias("item"), r.alias("reference"), F.lit(why).alias("reason"))),
-        ).otherwise(F.array().cast("array<struct<rule:int,item:int,reference:string,reason:string>>"))
+        F.when(F.col("resource_type") == rtype, tagged(J.references(body, name, only_list=many), n, why)).otherwise(
+            F.array().cast("array<struct<rule:int,item:int,reference:string,reason:string>>")
+        )
         for n, (rtype, name, many, why) in enumerate(DISPLAY_REFERENCES)
     ]
     wanted = sorted({r[0] for r in DISPLAY_REFERENCES})

@@ -51,13 +51,11 @@ def explicit_edges(resources: DataFrame) -> DataFrame:
     """
     rows = resources.filter(F.col("resource_type").isin(*GROUPABLE_TYPES) & (F.trim("id") != ""))
     empty = F.array().cast("array<struct<kind:string,label:string,reference:string>>")
-    rules = [
-        F.when(
-            F.col("resource_type") == rtype,
-            F.transform(_references(path), lambda r, kind=kind, label=label: F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), r.alias("reference"))),
-        ).otherwise(empty)
-        for rtype, path, kind, label in EDGE_RULES
-    ]
+
+    def tagged(refs: Column, kind: str, label: str) -> Column:
+        return F.transform(refs, lambda r: F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), r.alias("reference")))
+
+    rules = [F.when(F.col("resource_type") == rtype, tagged(_references(path), kind, label)).otherwise(empty) for rtype, path, kind, label in EDGE_RULES]
     links = rows.select("source_id", "patient_id", "resource_type", F.trim("id").alias("id"), F.explode(F.concat(*rules)).alias("_l"))
     target = local_reference(F.col("_l.reference"))
     edges = links.withColumn("_t", target).filter("_t is not null").select(

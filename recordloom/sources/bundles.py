@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.json_fields import field, text
+from ..functions.json_fields import field, parse_once, text
 from ..functions.text import fnv1a_base36
 
 RESOURCE_COLUMNS = ["source_id", "patient_id", "input_pos", "resource_type", "id", "body"]
@@ -36,9 +36,7 @@ def read_bundles(spark: SparkSession, path: str, source_id: Column, patient_id:
     ``source_id`` and ``patient_id`` are expressions over ``path`` (the file) and ``body``. The position
     of a resource is its file position: a bundle file is read by one task, files are read in parallel.
     """
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("body")
-    )
+    files = parse_once(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"), "value")
     keyed = files.select(source_id.alias("source_id"), patient_id.alias("patient_id"), "body")
     rows = bundle_entries(keyed)
     return rows.select("source_id", "patient_id", F.col("entry_pos").cast("bigint").alias("input_pos"), "resource_type", "id", "body")

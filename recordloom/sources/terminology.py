@@ -17,7 +17,7 @@ SHARD_SCHEMA = T.MapType(T.StringType(), TERM_FIELDS)
 
 def shard_entries(shards: DataFrame, system: Column, payload: str = "value") -> DataFrame:
     """Rows of ``{code: {name, ...}}`` objects; entries without a name string are skipped."""
-    keep = [c for c in shards.columns if c != payload]
+    keep = [c for c in shards.columns if c not in (payload, "system")]
     exploded = shards.select(*keep, system.alias("system"), F.explode(F.from_json(payload, SHARD_SCHEMA)).alias("code", "_e"))
     return exploded.filter(F.col("_e.name").isNotNull()).select(
         *keep,
