@@ -131,7 +131,7 @@ def concept_codes(concept: Column) -> Column:
 
 
 def coding_keys_of_all(concepts: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(concepts, coding_keys)))
+    return F.array_distinct(F.flatten(F.transform(concepts, lambda c: coding_keys(c))))
 
 
 def concept_codings(concept: Column) -> Column:

@@ -69,7 +69,7 @@ def title_letters(c: Column) -> Column:
 
 
 def title_case_parts(parts: Column) -> Column:
-    kept = F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    kept = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
     return title_words(F.regexp_replace(F.array_join(kept, " "), r"\s+", " "))
 
 
@@ -87,7 +87,7 @@ def fnv1a_base36(c: Column) -> Column:
 
 def sorted_distinct(values: Column) -> Column:
     """Trimmed, non-blank, distinct, in binary order."""
-    trimmed = F.transform(F.filter(values, lambda v: v.isNotNull()), F.trim)
+    trimmed = F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: F.trim(v))
     return F.array_sort(F.array_distinct(F.filter(trimmed, lambda v: v != "")))
 
 

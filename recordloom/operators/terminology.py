@@ -20,7 +20,7 @@ STRINGS = "array<string>"
 
 
 def _tokens_of_all(values: Column) -> Column:
-    return F.flatten(F.transform(F.coalesce(values, F.array().cast(STRINGS)), meaningful_tokens))
+    return F.flatten(F.transform(F.coalesce(values, F.array().cast(STRINGS)), lambda v: meaningful_tokens(v)))
 
 
 def name_matches_source(name: Column, ingredient_tokens: Column, source_tokens: Column) -> Column:
