@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import measured, resources, typed  # noqa: F401
+from . import groups, measured, resources, terms, typed  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -32,7 +32,11 @@ def medication_resources(t: Tables) -> DataFrame:
     )
     p = F.col("p_partkey")
     product = F.struct(F.concat(F.lit("Product "), "p_name").alias("text"), F.array(F.struct(F.lit("http://hl7.org/fhir/sid/ndc").alias("system"), text(p).alias("code"))).alias("coding"))
-    ingredient = F.array(F.struct(F.struct(F.col("p_type").alias("text")).alias("itemCodeableConcept")), F.struct(F.struct(F.col("p_brand").alias("display")).alias("itemReference")))
+    none = F.lit(None)
+    ingredient = F.array(
+        F.struct(F.struct(F.col("p_type").alias("text")).alias("itemCodeableConcept"), none.cast("struct<display:string>").alias("itemReference")),
+        F.struct(none.cast("struct<text:string>").alias("itemCodeableConcept"), F.struct(F.col("p_brand").alias("display")).alias("itemReference")),
+    )
     products = resource(t.part, "Medication", text(p), p, p, src, code=product, form=F.struct(pick(p % 12, *ROUTE_WORDS).alias("text")), ingredient=ingredient)
     return requests.unionByName(products)
 
