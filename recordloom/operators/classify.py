@@ -143,8 +143,9 @@ def nearest_class(vectors: DataFrame, classes: DataFrame, keys: list[str], vecto
     listed = classes.select(F.struct(F.col("class_name").cast("string").alias("class_name"), F.col("centroid")).alias("_c"))
     if row_bound_holds(classes, inline_limit):
         packed = listed.agg(F.collect_list("_c").alias("_all"))
-        scored = vectors.withColumn("_scores", _score_classes(F.col(vector), packed.scalar()))
-        return scored.select(*keys, _best(F.col("_scores"))["class_name"].alias("class_name"), _best(F.col("_scores"))["score"].alias("confidence"))
+        with_classes = vectors.withColumn("_classes", packed.scalar())
+        best = with_classes.select(*keys, _best(_score_classes(F.col(vector), F.col("_classes"))).alias("_b"))
+        return best.select(*keys, F.col("_b.class_name").alias("class_name"), F.col("_b.score").alias("confidence"))
     n_blocks = -(-classes.count() // inline_limit) * 2
     blocks = listed.withColumn("_block", F.pmod(F.xxhash64("_c.class_name"), F.lit(n_blocks))).groupBy("_block").agg(F.collect_list("_c").alias("_all"))
     spread = vectors.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))

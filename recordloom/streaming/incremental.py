@@ -6,6 +6,7 @@ is replayed after a lost executor or driver writes the same folder again and not
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,6 +17,14 @@ from ..operators.model_output import naming_key
 from ..operators.state import upsert
 
 
+_runs = itertools.count()
+
+
+def next_run() -> int:
+    """Number of a stream run inside this application, for folder names."""
+    return next(_runs)
+
+
 class VersionedState:
     """Parquet table with one folder per batch; readers take the newest complete one."""
 
