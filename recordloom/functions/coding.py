@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import blank_to_null, first_text, sorted_distinct, trimmed_or_null
+from .text import blank_to_null, first_text, trimmed_or_null
 
 CODING_TYPE = "struct<system:string,code:string,display:string>"
 CONCEPT_TYPE = f"struct<text:string,coding:array<{CODING_TYPE}>>"
@@ -162,20 +162,13 @@ def key_prefix(key: Column) -> Column:
     return F.lower(F.substring_index(key, ":", 1))
 
 
-def _keys_of(keys: Column, prefix: str) -> Column:
-    return F.filter(keys, lambda k: key_prefix(k) == prefix)
-
-
-def target_coding_keys(resource_type: Column, keys: Column) -> Column:
-    """Keys of the first preferred system that has any; empty array otherwise."""
-    ordered = sorted_distinct(F.coalesce(keys, F.array().cast("array<string>")))
-    empty = F.array().cast("array<string>")
-    branches = F.when(F.lit(False), empty)
-    for rtype, prefixes in TARGET_PREFIXES.items():
-        picks = [_keys_of(ordered, p) for p in prefixes]
-        chosen = F.coalesce(*[F.when(F.size(x) > 0, x) for x in picks], empty)
-        branches = branches.when(resource_type == rtype, chosen)
-    return branches.otherwise(empty)
+def target_coding_keys(resource_type: Column, ordered_keys: Column) -> Column:
+    """Keys of the first preferred system that has any, out of sorted distinct keys; empty array otherwise."""
+    preferred = F.try_element_at(
+        F.create_map(*[x for rtype, prefixes in TARGET_PREFIXES.items() for x in (F.lit(rtype), F.array(*[F.lit(p) for p in prefixes]))]), resource_type
+    )
+    present = F.filter(preferred, lambda p: F.exists(ordered_keys, lambda k: key_prefix(k) == p))
+    return F.coalesce(F.filter(ordered_keys, lambda k: key_prefix(k) == F.get(present, F.lit(0))), F.array().cast("array<string>"))
 
 
 def parse_coding_key(key: Column) -> Column:

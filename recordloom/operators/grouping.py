@@ -56,14 +56,36 @@ def source_concept_key() -> Column:
     return F.array_join(_normal_parts(everything), "|")
 
 
+def with_key_parts(records: DataFrame) -> DataFrame:
+    """Add the parts that group and concept keys are made of, each computed once per record."""
+    first = records.withColumns(
+        {
+            "_own_keys": sorted_distinct(_strings("coding_keys")),
+            "_ingredient_names": sorted_distinct(_strings("ingredients")),
+            "_route": blank_to_null(norm_text(F.col("route"))),
+            "_category": norm_text(first_text(F.col("category_code"), F.col("category"))),
+            "_label": normal_label(),
+        }
+    )
+    is_med = F.col("resource_type") == "MedicationRequest"
+    return first.withColumns(
+        {
+            "_keys": target_coding_keys(F.col("resource_type"), F.col("_own_keys")),
+            "_ingredients": F.when(is_med, F.filter(F.transform("_ingredient_names", norm_text), lambda v: v != "")),
+            "_concept": F.when(F.size("_own_keys") > 0, source_concept_key()),
+        }
+    )
+
+
+KEY_PARTS = ("_own_keys", "_ingredient_names", "_route", "_category", "_label", "_keys", "_ingredients", "_concept")
+
+
 def grouping_basis() -> Column:
-    """STRUCT<group_id, name, confidence, reason, fallback>: ingredients and route, then code, concept, label."""
+    """STRUCT<group_id, name, confidence, reason, fallback> over ``with_key_parts``: ingredients and route, then code, concept, label."""
     kind = F.lower("resource_type")
-    ingredients = F.when(F.col("resource_type") == "MedicationRequest", _normal_parts(_strings("ingredients")))
-    route = blank_to_null(norm_text(F.col("route")))
-    shown = title_case_parts(F.concat(sorted_distinct(_strings("ingredients")), F.array(F.coalesce("route", F.lit("")))))
-    keys = target_coding_keys(F.col("resource_type"), F.col("coding_keys"))
-    code_key, concept_key = F.array_join(keys, "|"), source_concept_key()
+    ingredients, route, keys = F.col("_ingredients"), F.col("_route"), F.col("_keys")
+    shown = title_case_parts(F.concat(F.col("_ingredient_names"), F.array(F.coalesce("route", F.lit("")))))
+    code_key, concept_key = F.array_join(keys, "|"), F.col("_concept")
 
     def basis(gid: Column, name: Column, confidence, reason, fallback: bool = False) -> Column:
         conf = confidence if isinstance(confidence, Column) else F.lit(confidence)
@@ -83,34 +105,30 @@ def grouping_basis() -> Column:
     return (
         F.when(F.size(ingredients) > 0, by_ingredient)
         .when(F.size(keys) > 0, basis(F.concat(kind, F.lit("-target-code-"), hashed(code_key)), label_name(), 0.8, "Grouped by preferred source standard code."))
-        .when(F.size(_strings("coding_keys")) > 0, basis(F.concat(kind, F.lit("-concept-"), hashed(concept_key)), label_name(), 0.75, "Grouped by identical source code/display/text."))
-        .otherwise(basis(F.concat(kind, F.lit("-label-"), F.coalesce(blank_to_null(kebab(normal_label())), kebab(F.col("id")))), label_name(), 0.55, "Grouped by exact source label.", True))
+        .when(F.size("_own_keys") > 0, basis(F.concat(kind, F.lit("-concept-"), hashed(concept_key)), label_name(), 0.75, "Grouped by identical source code/display/text."))
+        .otherwise(basis(F.concat(kind, F.lit("-label-"), F.coalesce(blank_to_null(kebab(F.col("_label"))), kebab(F.col("id")))), label_name(), 0.55, "Grouped by exact source label.", True))
     )
 
 
 def compact_key() -> Column:
-    """Records with equal keys are one concept to be named."""
-    rtype = F.col("resource_type")
-    keys = target_coding_keys(rtype, F.col("coding_keys"))
-    own = sorted_distinct(_strings("coding_keys"))
-    ingredients = _normal_parts(_strings("ingredients"))
-    route = blank_to_null(norm_text(F.col("route")))
-    category = norm_text(first_text(F.col("category_code"), F.col("category")))
+    """Records with equal keys are one concept to be named; over ``with_key_parts``."""
+    rtype, keys, own, ingredients, route = F.col("resource_type"), F.col("_keys"), F.col("_own_keys"), F.col("_ingredients"), F.col("_route")
     join = lambda *parts: F.concat_ws("|", *parts)
     is_med, is_obs = rtype == "MedicationRequest", rtype == "Observation"
-    head = F.when(is_obs, join(rtype, category)).otherwise(rtype)
+    head = F.when(is_obs, join(rtype, F.col("_category"))).otherwise(rtype)
     return (
-        F.when(is_med & (F.size(ingredients) > 0) & route.isNotNull(), join(rtype, F.lit("ingredient-route"), F.array_join(ingredients, "+"), route))
-        .when(is_med & (F.size(ingredients) > 0), join(rtype, F.lit("ingredient"), F.array_join(ingredients, "+")))
+        F.when((F.size(ingredients) > 0) & route.isNotNull(), join(rtype, F.lit("ingredient-route"), F.array_join(ingredients, "+"), route))
+        .when(F.size(ingredients) > 0, join(rtype, F.lit("ingredient"), F.array_join(ingredients, "+")))
         .when(F.size(keys) > 0, join(head, F.lit("target-code"), F.array_join(keys, "|")))
         .when(is_med & (F.size(own) > 0), join(rtype, F.lit("code"), F.array_join(own, "|")))
-        .when(F.size(own) > 0, join(head, F.lit("concept"), source_concept_key()))
-        .otherwise(join(head, F.lit("label"), normal_label()))
+        .when(F.size(own) > 0, join(head, F.lit("concept"), F.col("_concept")))
+        .otherwise(join(head, F.lit("label"), F.col("_label")))
     )
 
 
-def compact_id(key: Column) -> Column:
-    return F.concat(F.lit("cluster:"), F.col("resource_type"), F.lit(":"), fnv1a_base36(key))
+def with_compact_id(records: DataFrame) -> DataFrame:
+    keyed = with_key_parts(visible(records)).withColumn("_key", compact_key())
+    return keyed.withColumn("compact_id", F.concat(F.lit("cluster:"), F.col("resource_type"), F.lit(":"), fnv1a_base36(F.col("_key")))).drop(*KEY_PARTS, "_key")
 
 
 def most_common_label(labelled: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -124,7 +142,7 @@ def compact_records(records: DataFrame) -> dict[str, DataFrame]:
 
     Scalars are algebraic aggregates; value lists stay rows, deduplicated by a partial aggregation.
     """
-    keyed = visible(records).withColumn("compact_id", compact_id(compact_key()))
+    keyed = with_compact_id(records)
     k = ["patient_id", "compact_id"]
     first = F.min_by(F.struct("resource_type", "category", "category_code", "unit", "value_kind", "dosage_form", "route", "canonical_unit", "status", "display_value", "canonical_value"), F.struct("input_pos", "id"))
     date = F.max(F.greatest(F.trim("latest_date"), F.trim("date")))
@@ -186,7 +204,7 @@ def bucket_agreement(bucket: str = "bucket") -> Column:
 
 def deterministic_grouping(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups by source facts only, with their members."""
-    rows = visible(records).withColumn("_b", grouping_basis())
+    rows = with_key_parts(visible(records)).withColumn("_b", grouping_basis())
     rows = rows.select("patient_id", "input_pos", "id", "resource_type", "_b.*", record_bucket(F.col("resource_type"), F.col("category"), F.col("category_code")).alias("bucket"))
     groups = rows.groupBy("patient_id", "group_id").agg(
         F.min_by("name", F.struct("input_pos", "id")).alias("name"),

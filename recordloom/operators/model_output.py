@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.coding import confidence_label_score
 from ..functions.ranking import extreme_row
 from ..functions.text import blank_to_null, kebab, norm_text
+from ..session import ensure_checkpoint_dir
 from .classify import name_bucket
 from .grouping import bucket_agreement, leftover_groups, rejected_groups
 from .records import record_bucket, visible
@@ -51,6 +52,9 @@ def validate_groups(records: DataFrame, groups: DataFrame, members: DataFrame, f
     rows = owned.join(key.select(*p, "group_pos", "_gid", "name", "bucket", "confidence", "reason", "fallback"), [*p, "group_pos"]).join(known, [*p, "record_id"])
     conf = clamp(F.col("confidence"))
     rows = rows.withColumns({"_c": conf, "_fb": F.coalesce("fallback", F.lit(False)) | (conf < FALLBACK_BELOW), "_b": F.coalesce(parse_bucket(F.col("bucket")), F.col("_rb"))})
+    # Everything below looks at these assignments several times: they are computed once and saved.
+    ensure_checkpoint_dir(records.sparkSession)
+    rows = rows.checkpoint()
     first = F.min_by(F.struct("name", "reason"), "group_pos")
     merged = rows.groupBy(*p, "_gid").agg(
         first.alias("_f"), F.array_sort(F.collect_set("resource_type")).alias("resource_types"), F.min("_c").alias("confidence"), F.bool_or("_fb").alias("fallback"),

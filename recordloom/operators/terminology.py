@@ -146,11 +146,13 @@ def whole_word_candidates(texts: DataFrame, phrases: DataFrame, keys: list[str],
     spread = p.select("_phrase", F.explode(token(F.col("_phrase"))).alias("_token"))
     freq = spread.groupBy("_token").agg(F.count(F.lit(1)).alias("_df"))
     rare = extreme_row(spread.join(freq, "_token").select("_phrase", "_df", (-F.length("_token")).alias("_len"), "_token"), ["_phrase"], ["_df", "_len", "_token"], "min").select("_phrase", "_token")
-    words = texts.select(*keys, F.col(text).alias("_text"), F.explode(token(F.col(text))).alias("_token"))
-    hits = words.join(rare, "_token")
+    words = texts.select(*keys, F.explode(token(F.col(text))).alias("_token"))
+    hits = words.join(rare, "_token").select(*keys, "_phrase").distinct()
     at_border = F.concat(F.lit(r"(?:^|[^a-z0-9])\Q"), F.col("_phrase"), F.lit(r"\E(?:[^a-z0-9]|$)"))
-    found = hits.filter(F.contains("_text", "_phrase")).filter(F.regexp_like("_text", at_border)).select(*keys, F.col("_phrase").alias(phrase)).distinct()
-    return found
+    # The text itself only meets its few candidates; ``keys`` name one text each.
+    verified = hits.join(texts.select(*keys, F.col(text).alias("_text") if text not in keys else F.lit(None).alias("_unused")), keys)
+    whole = F.col("_text") if text not in keys else F.col(text)
+    return verified.filter(F.contains(whole, F.col("_phrase"))).filter(F.regexp_like(whole, at_border)).select(*keys, F.col("_phrase").alias(phrase))
 
 
 def medication_name_conditions(meds: DataFrame, codes: DataFrame, ingredients: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -210,7 +210,7 @@ FROM v
 """,
 )
 def observation_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = Tables(spark, sf_dir).events
+    events = Tables(spark, sf_dir).heavy("events")
     rows = json_fields.parse_once(events.select("event_id", _value_body(F.col("event_id") % 9).alias("json")), "json")
     body = F.col("body")
     parts = rows.select("event_id", "body", normalize.value_fields(body).alias("parts"))
@@ -342,7 +342,7 @@ def out_of_range_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def copies(t: Tables) -> DataFrame:
     """Observations seen through three portals: events of one user, type and whole value are candidates."""
     return records.as_records(
-        t.events.withColumns({"_u": F.col("user_id") % 40, "_p": F.col("event_id") % 3}),
+        t.heavy("events").withColumns({"_u": F.col("user_id") % 40, "_p": F.col("event_id") % 3}),
         patient_id=text("_u"), input_pos=F.col("event_id"), id=F.concat(F.lit("e"), F.lpad(text("event_id"), 10, "0")), resource_type=F.lit("Observation"), source_label=F.col("event_type"),
         status=F.when(F.col("event_id") % 97 == 0, "cancelled").when(F.col("event_id") % 31 == 0, "").otherwise("final"),
         date=F.when(F.col("event_id") % 5 == 0, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import read_table
+from ..session import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +31,10 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._spark, self._dir = spark, sf_dir
 
+    def heavy(self, name: str) -> DataFrame:
+        """A table whose rows are about to be worked on at length."""
+        return spread(read_table(self._spark, self._dir, name))
+
     def __getattr__(self, name: str) -> DataFrame:
         return read_table(self._spark, self._dir, name)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import coding, dates
 from ..functions.json_fields import parse_once
 from ..operators import normalize, records, references, relationships
+from ..session import saved, spread
 from ..sources import bundles, export, scopes, terminology
 from .measured import NOW_MS
 from .registry import Tables, iso_seconds, pick, register, sql_pick, text
@@ -23,7 +24,7 @@ KEY_PREFIXES = ("loinc:", "rxnorm:", "loinc:", "snomed:", "cvx:", "snomed:", "oi
 def resource(df: DataFrame, rtype: str, rid: Column, pos: Column, patient: Column, source: Column, **fields: Column) -> DataFrame:
     """Rows of a table as resources of the record model, the fields as one JSON document."""
     body = F.to_json(F.struct(F.lit(rtype).alias("resourceType"), rid.alias("id"), *[c.alias(n) for n, c in fields.items()]))
-    flat = df.select(
+    flat = spread(df).select(
         source.alias("source_id"), patient.cast("string").alias("patient_id"), pos.cast("bigint").alias("input_pos"), F.lit(rtype).alias("resource_type"), rid.alias("id"), body.alias("json")
     )
     return parse_once(flat, "json")
@@ -82,7 +83,7 @@ def bundle_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") != "P", "Bundle").otherwise("List").alias("resourceType"),
         F.array(empty, entry(rtype, F.concat(F.lit("r"), text("o_orderkey"))), entry(F.lit("Patient"), F.concat(F.lit("c"), text("o_custkey")))).alias("entry"),
     )
-    rows = parse_once(Tables(spark, sf_dir).orders.select("o_orderkey", F.to_json(bundle).alias("json")), "json")
+    rows = parse_once(Tables(spark, sf_dir).heavy("orders").select("o_orderkey", F.to_json(bundle).alias("json")), "json")
     return bundles.bundle_entries(rows).select("o_orderkey", "resource_type", "id", "entry_pos")
 
 
@@ -157,7 +158,7 @@ def lookback_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.when(k % 11 == 0, "unreadable").when(k % 13 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
     rtype = pick(k % 4, "Observation", "Condition", "Encounter", "Immunization")
     body = F.to_json(F.struct(F.when(k % 4 == 0, day).alias("effectiveDateTime"), F.when(k % 4 == 1, day).alias("recordedDate"), F.when(k % 4 == 2, F.struct(F.when(k % 8 != 2, day).alias("start"), day.alias("end"))).alias("period"), F.when(k % 4 == 3, day).alias("occurrenceDateTime")))
-    rows = parse_once(Tables(spark, sf_dir).orders.select("o_orderkey", rtype.alias("resource_type"), body.alias("json")), "json")
+    rows = parse_once(Tables(spark, sf_dir).heavy("orders").select("o_orderkey", rtype.alias("resource_type"), body.alias("json")), "json")
     return export.filter_lookback(rows, 365, 901_929_600_000).groupBy("resource_type").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
@@ -304,7 +305,7 @@ def explicit_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {EDGES_SQL}, a AS (SELECT src AS record_key, kind FROM edges UNION ALL SELECT dst, kind FROM edges) SELECT record_key, count(*) AS degree, count(DISTINCT kind) AS n_kinds FROM a GROUP BY ALL",
 )
 def edge_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    adj = relationships.adjacency(linked_edges(Tables(spark, sf_dir)))
+    adj = relationships.adjacency(saved(linked_edges(Tables(spark, sf_dir))))
     return adj.groupBy("record_key").agg(F.count(F.lit(1)).alias("degree"), F.countDistinct("kind").alias("n_kinds"))
 
 
@@ -321,7 +322,7 @@ UNION SELECT obs, con FROM ro JOIN re USING (rep) JOIN ec USING (enc)
 """,
 )
 def observation_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relationships.observation_conditions(linked_edges(Tables(spark, sf_dir)))
+    return relationships.observation_conditions(saved(linked_edges(Tables(spark, sf_dir))))
 
 
 # Groups for link views: observations by type and user bucket, visits by status, conditions by segment.
@@ -370,7 +371,7 @@ SELECT l.group_id, l.kind, f.name AS related_group_name, count(*) AS n FROM l LE
 )
 def explicit_group_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    members, adj = link_members(t), relationships.adjacency(linked_edges(t))
+    members, adj = link_members(t), relationships.adjacency(saved(linked_edges(t)))
     links = relationships.explicit_group_links(members, adj, relationships.record_groups(members))
     return links.groupBy("group_id", "kind", "related_group_name").agg(F.count(F.lit(1)).alias("n"))
 
@@ -385,7 +386,7 @@ SELECT group_id, context, CAST(row_number() OVER (PARTITION BY group_id ORDER BY
 )
 def explicit_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    adj = relationships.adjacency(linked_edges(t))
+    adj = relationships.adjacency(saved(linked_edges(t)))
     labels = adj.select("related_key").distinct().select(F.col("related_key").alias("record_key"), F.col("related_key").alias("name"))
     return relationships.explicit_context(link_members(t), adj, labels).select("group_id", "context", "context_pos")
 

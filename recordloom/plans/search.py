@@ -23,13 +23,13 @@ def token_sql(col: str) -> str:
 @register("tokens", f"WITH d AS (SELECT doc_id, {token_sql('text')} AS t FROM documents) SELECT doc_id, len(t)::INTEGER AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM d")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = bm25.tokens(F.col("text"))
-    return Tables(spark, sf_dir).documents.select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
+    return Tables(spark, sf_dir).heavy("documents").select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
 def corpus(t: Tables) -> DataFrame:
     """Documents as names of two categories."""
     k = F.col("doc_id")
-    return t.documents.select(
+    return t.heavy("documents").select(
         pick(k % 2, "condition", "lab").alias("category"), k.alias("rid"), "text", F.concat(F.lit("Doc "), text(k)).alias("name"), F.when(k % 5 == 0, F.concat(F.lit("Friendly "), text(k % 50))).alias("friendly_name"),
         F.when(k % 7 != 0, text(k)).alias("code"), F.lit("snomed").alias("system"),
     )
@@ -168,7 +168,7 @@ SELECT doc_id, CASE WHEN t = '' THEN 'unknown' WHEN regexp_matches(t, '\b(telehe
 """,
 )
 def visit_words_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).documents.select("doc_id", classify.classify_visit(T.norm_text(F.col("text")))["label"].alias("label"))
+    return Tables(spark, sf_dir).heavy("documents").select("doc_id", classify.classify_visit(T.norm_text(F.col("text")))["label"].alias("label"))
 
 
 OBS_CATEGORIES = ("laboratory", "Vital Signs", "exam", None, "LAB", "", "vitals")

@@ -50,19 +50,19 @@ sc AS (
 """
 
 
-@register("condition_scores", f"WITH {SCORE_SQL} SELECT c_custkey, round(boost, 4)::DOUBLE AS booster_score, round(0.7 * w + 0.3 * boost, 4)::DOUBLE AS total, n_reasons::INTEGER AS n_reasons, CASE WHEN labs > 0 THEN least(labs, 3) || ' of ' || labs || ' related labs flagged' END AS lab_detail FROM sc")
+@register("condition_scores", f"WITH {SCORE_SQL} SELECT c_custkey, round(boost, 4)::DOUBLE AS booster_score, round(0.7 * w + 0.3 * boost, 9)::DOUBLE AS total, n_reasons::INTEGER AS n_reasons, CASE WHEN labs > 0 THEN least(labs, 3) || ' of ' || labs || ' related labs flagged' END AS lab_detail FROM sc")
 def condition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = priority.score_conditions(condition_inputs(Tables(spark, sf_dir)))
     labs = F.get(F.filter("reasons", lambda r: r["kind"] == "out_of_range_lab"), F.lit(0))["detail"]
-    return out.select("c_custkey", F.round("booster_score", 4).alias("booster_score"), F.round("total", 4).alias("total"), F.size("reasons").alias("n_reasons"), labs.alias("lab_detail"))
+    return out.select("c_custkey", F.round("booster_score", 4).alias("booster_score"), F.round("total", 9).alias("total"), F.size("reasons").alias("n_reasons"), labs.alias("lab_detail"))
 
 
 @register(
     "other_scores",
     """
 WITH i AS (SELECT o_orderkey, o_totalprice / 1000000 AS w, o_orderkey % 2 = 0 AS f, o_orderkey % 5 AS meds, o_orderkey % 3 = 0 AS nx, o_orderpriority = '1-URGENT' AS hosp FROM orders)
-SELECT o_orderkey, round(0.7 * w + 0.3 * (CASE WHEN f THEN 0.15 ELSE 0 END + CASE WHEN meds >= 3 THEN 0.3 WHEN meds = 2 THEN 0.2 ELSE 0 END), 4)::DOUBLE AS lab,
-  round(0.7 * w + 0.3 * (CASE WHEN f THEN 0.2 ELSE 0 END + CASE WHEN nx THEN 0.3 ELSE 0 END), 4)::DOUBLE AS medication, round(0.7 * w + 0.3 * CASE WHEN hosp THEN 0.5 ELSE 0 END, 4)::DOUBLE AS encounter FROM i
+SELECT o_orderkey, round(0.7 * w + 0.3 * (CASE WHEN f THEN 0.15 ELSE 0 END + CASE WHEN meds >= 3 THEN 0.3 WHEN meds = 2 THEN 0.2 ELSE 0 END), 9)::DOUBLE AS lab,
+  round(0.7 * w + 0.3 * (CASE WHEN f THEN 0.2 ELSE 0 END + CASE WHEN nx THEN 0.3 ELSE 0 END), 9)::DOUBLE AS medication, round(0.7 * w + 0.3 * CASE WHEN hosp THEN 0.5 ELSE 0 END, 9)::DOUBLE AS encounter FROM i
 """,
 )
 def other_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def other_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", (F.col("o_totalprice") / 1000000).alias("base_weight"), (k % 2 == 0).alias("out_of_range"), (k % 5).alias("related_medications"), (k % 2 == 0).alias("recent_visit"), (k % 3 == 0).alias("next_visit"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "emergency").otherwise("other").alias("visit_class"),
     )
-    keep = lambda df, name: df.withColumn(name, F.round("total", 4)).drop("total", "base", "reasons", "booster_score")
+    keep = lambda df, name: df.withColumn(name, F.round("total", 9)).drop("total", "base", "reasons", "booster_score")
     return keep(priority.score_encounters(keep(priority.score_medications(keep(priority.score_labs(rows), "lab")), "medication")), "encounter").select("o_orderkey", "lab", "medication", "encounter")
 
 
@@ -429,7 +429,7 @@ def records_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.coalesce("date", F.lit("")).desc(), "event_id").limit(100)
 
 
-@register("scores_descending", f"WITH {SCORE_SQL} SELECT c_custkey, round(0.7 * w + 0.3 * boost, 4)::DOUBLE AS total FROM sc ORDER BY total DESC, c_custkey LIMIT 50")
+@register("scores_descending", f"WITH {SCORE_SQL} SELECT c_custkey, round(0.7 * w + 0.3 * boost, 9)::DOUBLE AS total FROM sc ORDER BY total DESC, c_custkey LIMIT 50")
 def scores_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = priority.score_conditions(condition_inputs(Tables(spark, sf_dir))).select("c_custkey", F.round("total", 4).alias("total"))
+    out = priority.score_conditions(condition_inputs(Tables(spark, sf_dir))).select("c_custkey", F.round("total", 9).alias("total"))
     return out.orderBy(F.col("total").desc(), "c_custkey").limit(50)

@@ -178,7 +178,7 @@ def whole_word_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     least, most = t.part.agg(F.min("p_name")).scalar(), t.part.agg(F.max("p_name")).scalar()
     tail = F.when(F.col("doc_id") % 3 == 0, F.concat(least, F.lit("!"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("x"), most)).otherwise("")
-    texts = t.documents.select("doc_id", F.concat_ws(" ", F.lower("text"), tail).alias("low"))
+    texts = t.heavy("documents").select("doc_id", F.concat_ws(" ", F.lower("text"), tail).alias("low"))
     return terminology.whole_word_candidates(texts, t.part.select(F.col("p_name").alias("phrase")), ["doc_id"], "low", "phrase")
 
 
@@ -553,7 +553,7 @@ SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS
 )
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
-    return Tables(spark, sf_dir).documents.select("doc_id", F.md5(T.norm_text(c)).alias("normalised"), F.md5(T.norm_text_keep_dots(c)).alias("with_dots"), T.kebab(c).alias("kebab"), T.slug(c).alias("slug"))
+    return Tables(spark, sf_dir).heavy("documents").select("doc_id", F.md5(T.norm_text(c)).alias("normalised"), F.md5(T.norm_text_keep_dots(c)).alias("with_dots"), T.kebab(c).alias("kebab"), T.slug(c).alias("slug"))
 
 
 FNV_DOC_SQL = "lower(to_base(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(url, ''), lambda ch: ord(ch)::UBIGINT)), lambda h, ch: (xor(h, ch) * 16777619) % 4294967296)::BIGINT, 36))"

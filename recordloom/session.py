@@ -36,6 +36,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give work that is heavy per row at least one partition per core.
+
+    A table in few large files is read by few tasks. With more splits than cores, as on large data, nothing changes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """A checkpoint for a result that several branches of a plan read: computed once, lineage cut."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only where none is set (tests)."""
     context = spark.sparkContext
