@@ -58,12 +58,16 @@ MASS_LENGTH_TEMPERATURE = [
 KEPT_UNITS = ["%", "mm[hg]", "/min", "{beats}/min"]
 
 
-def infer_route(*texts: Column) -> Column:
+def route_words(*texts: Column) -> Column:
     joined = F.concat_ws(" ", *[F.when(F.trim(t) != "", t) for t in texts])
-    clean = F.regexp_replace(F.lower(joined), "[^a-z0-9]+", " ")
-    out = F.when(F.trim(clean) == "", F.lit(None).cast("string"))
+    return F.regexp_replace(F.lower(joined), "[^a-z0-9]+", " ")
+
+
+def infer_route(words: Column) -> Column:
+    """Route named by ``route_words``, projected first; null when none is."""
+    out = F.when(F.trim(words) == "", F.lit(None).cast("string"))
     for route, pattern in ROUTE_PATTERNS:
-        out = out.when(clean.rlike(pattern), route)
+        out = out.when(words.rlike(pattern), route)
     return out
 
 
@@ -199,9 +203,14 @@ def medications(resources: DataFrame) -> DataFrame:
         J.concept(_body(), "form").alias("_form"),
         J.field(_body(), "ingredient", f"array<struct<itemCodeableConcept:{CONCEPT_TYPE},itemReference:struct<reference:string,display:string>>>").alias("_ingredient"),
     )
-    df = requests.join(products, ["source_id", "_ref"], "left")
-    own, product = J.concept(_body(), "medicationCodeableConcept"), F.col("_product")
-    ref_display = J.text(_body(), "medicationReference.display")
+    df = requests.join(products, ["source_id", "_ref"], "left").withColumns(
+        {
+            "_own": J.concept(_body(), "medicationCodeableConcept"),
+            "_display": J.text(_body(), "medicationReference.display"),
+            "_dosing": F.coalesce(J.field(_body(), "dosageInstruction", f"array<struct<text:string,route:{CONCEPT_TYPE}>>"), F.array()),
+        }
+    )
+    own, product, ref_display = F.col("_own"), F.col("_product"), F.col("_display")
     label = F.coalesce(
         blank_to_null(concept_text(own)),
         blank_to_null(concept_text(product)),
@@ -218,7 +227,7 @@ def medications(resources: DataFrame) -> DataFrame:
         lambda i: F.coalesce(blank_to_null(concept_text(i["itemCodeableConcept"])), blank_to_null(i["itemReference"]["display"]), blank_to_null(i["itemReference"]["reference"])),
     )
     ingredients = F.array_distinct(F.filter(ingredient_labels, lambda x: x.isNotNull()))
-    dosing = F.coalesce(J.field(_body(), "dosageInstruction", f"array<struct<text:string,route:{CONCEPT_TYPE}>>"), F.array())
+    dosing = F.col("_dosing")
     routes = F.filter(F.transform(dosing, lambda d: blank_to_null(concept_text(d["route"]))), lambda r: r.isNotNull())
     words = F.filter(F.transform(dosing, lambda d: d["text"]), lambda t: F.trim(t) != "")
     staged = df.select(
@@ -235,16 +244,17 @@ def medications(resources: DataFrame) -> DataFrame:
         J.text(_body(), "authoredOn").alias("authored_at"),
         F.lit("provider").alias("source"),
     )
-    routed = staged.withColumn("route", F.coalesce("_route", infer_route(F.col("label"), F.col("dosage_form"), F.col("_words"))))
+    worded = staged.withColumn("_clean", F.when(F.col("_route").isNull(), route_words(F.col("label"), F.col("dosage_form"), F.col("_words"))))
+    routed = worded.withColumn("route", F.coalesce("_route", infer_route(F.col("_clean"))))
     parts = F.concat(F.array("label"), F.col("ingredients"), F.array("dosage_form", "route"), F.col("coding_keys"))
     text = F.array_join(F.filter(parts, lambda p: blank_to_null(p).isNotNull()), " ")
-    return routed.withColumn("grouping_text", text).drop("_route", "_words")
+    return routed.withColumn("grouping_text", text).drop("_route", "_words", "_clean")
 
 
 def allergies(resources: DataFrame) -> DataFrame:
-    code = J.concept(_body(), "code")
+    code = F.col("_code")
     return _provider(
-        _of_type(resources, "AllergyIntolerance"),
+        _of_type(resources, "AllergyIntolerance").withColumn("_code", J.concept(_body(), "code")),
         _label("Allergy", concept_text(code)).alias("label"),
         concept_text(J.concept(_body(), "clinicalStatus")).alias("status"),
         J.text(_body(), "criticality").alias("criticality"),
@@ -255,9 +265,9 @@ def allergies(resources: DataFrame) -> DataFrame:
 
 
 def conditions(resources: DataFrame) -> DataFrame:
-    code = J.concept(_body(), "code")
+    code = F.col("_code")
     return _provider(
-        _of_type(resources, "Condition"),
+        _of_type(resources, "Condition").withColumn("_code", J.concept(_body(), "code")),
         _label("Condition", concept_text(code)).alias("label"),
         concept_text(J.concept(_body(), "clinicalStatus")).alias("status"),
         coding_keys(code).alias("coding_keys"),
@@ -267,10 +277,10 @@ def conditions(resources: DataFrame) -> DataFrame:
 
 
 def observations(resources: DataFrame) -> DataFrame:
-    code = J.concept(_body(), "code")
-    category = F.get(J.concepts(_body(), "category"), F.lit(0))
+    code = F.col("_code")
+    category = F.get(F.col("_category"), F.lit(0))
     return _provider(
-        _of_type(resources, "Observation").withColumn("_parts", value_fields(_body())),
+        _of_type(resources, "Observation").withColumns({"_parts": value_fields(_body()), "_code": J.concept(_body(), "code"), "_category": J.concepts(_body(), "category")}),
         _label("Observation", concept_text(code)).alias("label"),
         observation_value(F.col("_parts")).alias("value"),
         F.coalesce(J.text(_body(), "status"), F.lit("unknown")).alias("status"),
@@ -286,9 +296,9 @@ def observations(resources: DataFrame) -> DataFrame:
 
 
 def immunizations(resources: DataFrame) -> DataFrame:
-    code = J.concept(_body(), "vaccineCode")
+    code = F.col("_code")
     return _provider(
-        _of_type(resources, "Immunization"),
+        _of_type(resources, "Immunization").withColumn("_code", J.concept(_body(), "vaccineCode")),
         _label("Immunization", concept_text(code)).alias("label"),
         concept_codes(code).alias("codes"),
         code_summary(code).alias("code_summary"),
@@ -322,9 +332,9 @@ def encounters(resources: DataFrame) -> DataFrame:
         F.col("key").alias("_ref"),
         F.when(F.col("resource_type") == "Practitioner", practitioner_name(_body())).otherwise(J.text(_body(), "name")).alias("_provider_name"),
     )
-    df = visits.join(named, ["source_id", "_ref"], "left")
-    types, reasons = J.concepts(_body(), "type"), J.concepts(_body(), "reasonCode")
     class_label = F.coalesce(blank_to_null(J.field(_body(), "class.display", "string")), J.field(_body(), "class.code", "string"))
+    df = visits.join(named, ["source_id", "_ref"], "left").withColumns({"_types": J.concepts(_body(), "type"), "_reasons": J.concepts(_body(), "reasonCode"), "_class": class_label})
+    types, reasons, class_label = F.col("_types"), F.col("_reasons"), F.col("_class")
     provider = F.coalesce(blank_to_null(F.col("_provider_name")), blank_to_null(J.field(_body(), "serviceProvider.display", "string")), F.col("_ref"))
     return _provider(
         df,
@@ -341,9 +351,9 @@ def encounters(resources: DataFrame) -> DataFrame:
 
 
 def procedures(resources: DataFrame) -> DataFrame:
-    code, reasons = J.concept(_body(), "code"), J.concepts(_body(), "reasonCode")
+    code, reasons = F.col("_code"), F.col("_reasons")
     return _provider(
-        _of_type(resources, "Procedure"),
+        _of_type(resources, "Procedure").withColumns({"_code": J.concept(_body(), "code"), "_reasons": J.concepts(_body(), "reasonCode")}),
         _label("Procedure", concept_text(code)).alias("label"),
         J.text(_body(), "status").alias("status"),
         concept_text(J.concept(_body(), "category")).alias("category"),
@@ -355,10 +365,10 @@ def procedures(resources: DataFrame) -> DataFrame:
 
 
 def diagnostic_reports(resources: DataFrame) -> DataFrame:
-    code = J.concept(_body(), "code")
+    code = F.col("_code")
     results = F.size(F.coalesce(J.field(_body(), "result", "array<variant>"), F.array().cast("array<variant>")))
     return _provider(
-        _of_type(resources, "DiagnosticReport"),
+        _of_type(resources, "DiagnosticReport").withColumn("_code", J.concept(_body(), "code")),
         _label("Diagnostic report", concept_text(code)).alias("label"),
         J.text(_body(), "status").alias("status"),
         first_concept_text(J.concepts(_body(), "category")).alias("category"),

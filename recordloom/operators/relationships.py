@@ -57,8 +57,9 @@ def explicit_edges(resources: DataFrame) -> DataFrame:
 
     rules = [F.when(F.col("resource_type") == rtype, tagged(_references(path), kind, label)).otherwise(empty) for rtype, path, kind, label in EDGE_RULES]
     links = rows.select("source_id", "patient_id", "resource_type", F.trim("id").alias("id"), F.explode(F.concat(*rules)).alias("_l"))
-    target = local_reference(F.col("_l.reference"))
-    edges = links.withColumn("_t", target).filter("_t is not null").select(
+    # A generator over the parsed target evaluates it once and drops what is no usable reference.
+    target = F.explode(F.array_compact(F.array(local_reference(F.col("_l.reference"))))).alias("_t")
+    edges = links.select("*", target).select(
         "source_id",
         "patient_id",
         F.col("resource_type").alias("src_type"),

@@ -292,7 +292,7 @@ edges AS (
 
 
 def linked_edges(t: Tables) -> DataFrame:
-    return relationships.explicit_edges(linked_resources(t, _n_orders(t)))
+    return relationships.explicit_edges(saved(linked_resources(t, _n_orders(t))))
 
 
 @register("explicit_edges", f"WITH {EDGES_SQL} SELECT src, dst, kind, label, {FNV_SQL.format('concat_ws(' + chr(39) + '|' + chr(39) + ', src, dst, kind)')} AS edge_id FROM edges")

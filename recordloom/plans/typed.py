@@ -67,7 +67,8 @@ def medication_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def inferred_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = pick(F.col("p_partkey") % 12, *ROUTE_WORDS)
-    return Tables(spark, sf_dir).part.select("p_partkey", normalize.infer_route(F.col("p_brand"), words, F.lit(None).cast("string")).alias("route"))
+    rows = Tables(spark, sf_dir).part.select("p_partkey", normalize.route_words(F.col("p_brand"), words, F.lit(None).cast("string")).alias("words"))
+    return rows.select("p_partkey", normalize.infer_route(F.col("words")).alias("route"))
 
 
 def customer_code(k: Column) -> Column:
