@@ -155,7 +155,10 @@ def suggested_links(group_edges: DataFrame, groups: DataFrame, transform_version
 
 
 def condition_match_keys(condition_groups: DataFrame) -> DataFrame:
-    """The keys under which a condition group can be found: own code, code category, lower-case name."""
+    """The keys under which a condition group can be found: own code, code category, lower-case name.
+
+    Only the first group of a key can win a match, so one row per key is enough.
+    """
     from ..functions.coding import category_parent
 
     code, name = F.col("code"), F.lower(F.trim("name"))
@@ -165,7 +168,8 @@ def condition_match_keys(condition_groups: DataFrame) -> DataFrame:
         F.struct(F.lit("name").alias("kind"), name.alias("key")),
     )
     rows = condition_groups.select("patient_id", "group_key", "group_pos", F.explode(keys).alias("_k"))
-    return rows.select("patient_id", "group_key", "group_pos", F.col("_k.kind").alias("kind"), F.col("_k.key").alias("key")).filter("key is not null")
+    keyed = rows.select("patient_id", F.col("_k.kind").alias("kind"), F.col("_k.key").alias("key"), "group_pos", "group_key").filter("key is not null")
+    return extreme_row(keyed, ["patient_id", "kind", "key"], ["group_pos", "group_key"], "min")
 
 
 def match_conditions(found: DataFrame, condition_groups: DataFrame, subject: list[str]) -> DataFrame:
