@@ -15,6 +15,7 @@ from ..functions.coding import (
 )
 from ..functions.ranking import best_row, extreme_row
 from ..functions.text import meaningful_tokens, norm_name, norm_text
+from ..session import saved
 
 STRINGS = "array<string>"
 
@@ -161,10 +162,11 @@ def medication_name_conditions(meds: DataFrame, codes: DataFrame, ingredients: D
     ``meds(keys, name)``, ``codes(keys, code)``. Later tiers only see the rows the earlier ones missed.
     """
     index = reverse_pairs(pairs, lower=True)
-    by_code = codes.join(ingredients.select(F.col("product_code").alias("code"), F.lower("ingredient_name").alias("related_name")), "code").join(index, "related_name").select(*keys, "condition_name").distinct()
+    # Each tier is read as a result and as the rows the next tier leaves out: it is computed once.
+    by_code = saved(codes.join(ingredients.select(F.col("product_code").alias("code"), F.lower("ingredient_name").alias("related_name")), "code").join(index, "related_name").select(*keys, "condition_name").distinct())
     left1 = meds.join(by_code.select(*keys).distinct(), keys, "left_anti")
     parts = left1.select(*keys, F.explode(F.split("name", r"\s*/\s*")).alias("_part")).select(*keys, F.lower(F.trim("_part")).alias("related_name"))
-    by_part = parts.join(index, "related_name").select(*keys, "condition_name").distinct()
+    by_part = saved(parts.join(index, "related_name").select(*keys, "condition_name").distinct())
     left2 = left1.join(by_part.select(*keys).distinct(), keys, "left_anti").withColumn("_low", F.lower("name"))
     names = left2.select("_low").distinct()
     contained = whole_word_candidates(names, index, ["_low"], "_low", "related_name")
