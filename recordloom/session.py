@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,15 +53,18 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set (tests)."""
+    """The shared folder that ``spark.checkpoint.dir`` names. Where none is set, a temporary one in a single-process session, else an error."""
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    folder = configured or os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints")
-    context.setCheckpointDir(folder)
-    return folder
+    if not current.isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints")
+        context.setCheckpointDir(folder)
+        current = context._jsc.sc().getCheckpointDir()
+    return current.get()
 
 
 def row_bound_holds(df: DataFrame, bound: int) -> bool:
