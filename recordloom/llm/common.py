@@ -20,6 +20,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Python tasks get Arrow batches of at most this many bytes, whatever the length of the texts (a row is never cut)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def vocabulary_path(name: str) -> str:
     """Place of a public tokenizer's file on the driver; executors get its content by broadcast."""
     import public_tokenizers

@@ -28,12 +28,12 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 ACCOUNT = re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}\Z")
-WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|\d+)(?:[-_/=+](?:[A-Z]?[a-z]+|[A-Z]+|\d+))*\Z")
+WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|\d+)(?:[-_/+](?:[A-Z]?[a-z]+|[A-Z]+|\d+))*\Z")
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -77,10 +77,9 @@ def secret_spans(spark: SparkSession, vocabulary: str | None = None, min_length:
         def random_spans(text: str) -> list[tuple[int, int, int]]:
             out = []
             for m in RUN.finditer(text):
-                run = m[0].strip("=")
+                run = m[0]
                 if len(run) >= min_length and mixed(run) and not known_identifier(run) and len(run) < max_ratio * len(encoding.encode_ordinary(run)):
-                    start = m.start() + m[0].index(run)
-                    out.append((start, 3, start + len(run)))
+                    out.append((m.start(), 3, m.end()))
             return out
 
         for batch in batches:
