@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import small_batches, vocabulary_path
 
 #: White space of the vocabulary's patterns; str.split() also splits at U+001C to U+001F.
-SPACES = r"\t-\r \x85\xa0  -     　"
+SPACES = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NO_RANK = np.int32(2**31 - 1)
 END = "</w>"
 
