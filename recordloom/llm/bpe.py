@@ -184,22 +184,24 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.chunks(t or "") for t in texts]
+        seen: set[str] = set()  # texts are split twice, so that only one text's chunks are held at a time
+        for t in texts:
+            seen.update(self.chunks(t or ""))
         found: dict[bytes, int] = {}
         pieces: dict[str, list[int]] = {}  # chunk to numbers of words; a special id k is -1 - k
-        for chunk in set().union(*split):
+        for chunk in seen:
             pieces[chunk] = [-1 - p if isinstance(p, int) else found.setdefault(p, len(found)) for p in self.pieces(chunk)]
         ids, counts = self.index.encode(list(found))
         packed, ends = ids.astype("<u4").tobytes(), np.cumsum(counts)
         starts, ends = ((ends - counts) * 4).tolist(), (ends * 4).tolist()
         done = {c: b"".join([packed[starts[p] : ends[p]] if p >= 0 else (-1 - p).to_bytes(4, "little") for p in ps]) for c, ps in pieces.items()}
-        return [b"".join(map(done.__getitem__, chunks)) for chunks in split]
+        return [b"".join(map(done.__getitem__, self.chunks(t or ""))) for t in texts]
 
 
 def encoder(spark: SparkSession, vocabulary: str | None = None):
     """A column function: the ids of a text, packed as little-endian unsigned 32-bit integers. The vocabulary is broadcast; its size is fixed."""
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary or vocabulary_path("word_bpe_49k.json")))
-    small_batches(spark)
+    small_batches(spark, "4m")
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Encoder(shared.value)
@@ -213,7 +215,7 @@ def encoder(spark: SparkSession, vocabulary: str | None = None):
 def decoder(spark: SparkSession, vocabulary: str | None = None):
     """A column function: the text of packed ids; the vocabulary has no decoder, so tokens stand with spaces between them."""
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary or vocabulary_path("word_bpe_49k.json"))["names"])
-    small_batches(spark)
+    small_batches(spark, "4m")
 
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = shared.value
