@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, quality, secrets, simhash
+from . import bpe, decontamination, fingerprints, quality, secrets, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_report(table(spark, sf_dir, "documents"))
 
 
+@register("op5_hash_tree_shards")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
+@register("op6_scaled_sketches")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 @register("op8_simhash_groups")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates_report(table(spark, sf_dir, "documents"))
