@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, fingerprints, quality, secrets, sharding, simhash
+from . import bpe, decontamination, fingerprints, licenses, quality, secrets, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+@register("op7_license_rules", licenses.license_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 @register("op8_simhash_groups")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates_report(table(spark, sf_dir, "documents"))
