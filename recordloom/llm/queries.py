@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, fingerprints, licenses, quality, secrets, sharding, simhash
+from . import bpe, decontamination, fingerprints, licenses, quality, secrets, sharding, simhash, substrings
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates_report(table(spark, sf_dir, "documents"))
 
 
+@register("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats_report(table(spark, sf_dir, "documents"))
+
+
 @register("op10_secret_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(table(spark, sf_dir, "documents"))
