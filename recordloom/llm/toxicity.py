@@ -3,7 +3,7 @@
 The kernel of two words sums, over all letter triples that both have in order, the decay to the power of the stretches that the
 triples take up; a gap or an inserted character lengthens a stretch and so lowers the kernel a little, it does not break it.
 Landmarks are words of labelled sentences; the kernel to them, whitened by the kernel among them, gives each word a short
-vector. A sentence counts by its worst word, a text by its worst sentence, and the machine is fitted so: labelled texts say
+vector. A sentence counts by its worst word, a text by its worst words, and the machine is fitted so: labelled texts say
 only that some sentence is toxic, so each round takes the sentences of toxic texts that seem toxic, the worst one where none
 does, and the worst and usual words of clean sentences, and fits again. As the kernel is a sum over triples, the fitted sum over landmarks folds into one weight per
 triple, and scoring a word costs one look-up per triple.
@@ -15,6 +15,7 @@ equal scores; other columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ LANDMARKS, USUAL_WORDS, ROUNDS, RIDGE = 128, 4000, 5, 3e-5
 CHUNK, KERNEL_CHUNK = 20_000, 1000
 #: How much oftener than by chance a word must stand in toxic texts to be held toxic at the start.
 STRONG = 4.0
+#: Distinct words of a text, the worst ones, that its probability depends on.
+WORST = 3
 SPACED = re.compile(r"(?<!\w)\w(?:[\W_]{1,2}\w(?!\w)){2,}")
 
 
@@ -92,11 +95,11 @@ def kernel_rows(words: list[str], landmarks: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Machine:
-    """One weight per triple, the offset, and the slope and offset that turn a margin into a probability."""
+    """One weight per triple, the offset, and the slopes and shift that turn a text's worst margins into a probability."""
 
     weights: np.ndarray
     offset: float
-    slope: float = 1.0
+    slopes: tuple[float, ...] = (1.0,) + (0.0,) * (WORST - 1)
     shift: float = 0.0
     fitted: bool = True
 
@@ -200,7 +203,7 @@ def labelled_sentences(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def margin_column(docs: DataFrame, machine: Machine):
-    """A column function: the margin of the worst word of a text. The machine is broadcast; its size is fixed by the alphabet."""
+    """A column function: the margins of the worst distinct words of a text, the worst first. The machine is broadcast; its size is fixed by the alphabet."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     small_batches(docs.sparkSession, "4m")
 
@@ -213,24 +216,26 @@ def margin_column(docs: DataFrame, machine: Machine):
             words = [w for w in seen if len(w) >= 3]
             known = dict(zip(words, (word_margins(words, machine.weights) + machine.offset).tolist(), strict=True))
             lowest = -1.0 + min(machine.offset, 0.0)
-            yield pa.array([max([known.get(w, lowest) for w in units(text.as_py())], default=lowest) for text in batch], pa.float64())
+            none = [lowest] * WORST
+            tops = [heapq.nlargest(WORST, none + [known.get(w, lowest) for w in set(units(text.as_py()))]) for text in batch]
+            yield pa.array(tops, pa.list_(pa.float64()))
 
     margins.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(margins, "double")
+    return F.arrow_udf(margins, "array<double>")
 
 
 def calibrated(machine: Machine, margins: np.ndarray, y: np.ndarray) -> Machine:
-    """Slope and shift of the logistic curve over the margins of labelled texts."""
-    x = np.stack([margins, np.ones(len(margins))], axis=1)
-    w = np.array([1.0, 0.0])
+    """Slopes and shift of the logistic curve over the margins of labelled texts."""
+    x = np.hstack([np.clip(margins, -1.0, 2.0), np.ones((len(margins), 1))])
+    w = np.zeros(x.shape[1])
     t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (t - p) - 1e-6 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (t - p) - 1e-2 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return Machine(machine.weights, machine.offset, float(max(w[0], 1e-3)), float(w[1]))
+    return Machine(machine.weights, machine.offset, tuple(map(float, w[:-1])), float(w[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
@@ -240,16 +245,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     machine = fit_machine(list(zip(rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), rows["words"].to_pylist(), strict=True)))
     if machine is None:
         return Machine(np.zeros(ALPHABET**3, np.float32), 0.0, fitted=False)
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", margin_column(docs, machine)("text").alias("margin")).toPandas()
-    return calibrated(machine, known["margin"].to_numpy(), known["toxic"].to_numpy())
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", margin_column(docs, machine)("text").alias("margins")).toArrow()
+    return calibrated(machine, np.array(known["margins"].to_pylist()), known["toxic"].to_numpy())
 
 
 def toxicity(docs: DataFrame, machine: Machine, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the probability that a text is toxic."""
     if not machine.fitted:
         return docs.withColumn(into, F.lit(0.0))
-    margin = margin_column(docs, machine)(F.col(text).cast("string"))
-    return docs.withColumn(into, 1 / (1 + F.exp(-(margin * machine.slope + machine.shift))))
+    margins = margin_column(docs, machine)(F.col(text).cast("string"))
+    terms = F.zip_with(margins, F.lit(list(machine.slopes)), lambda m, slope: F.greatest(F.lit(-1.0), F.least(F.lit(2.0), m)) * slope)
+    total = F.aggregate(terms, F.lit(machine.shift), lambda a, b: a + b)
+    return docs.withColumn(into, 1 / (1 + F.exp(-total)))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
