@@ -37,7 +37,7 @@ CHUNK, KERNEL_CHUNK = 20_000, 1000
 #: How much oftener than by chance a word must stand in toxic texts to be held toxic at the start.
 STRONG = 4.0
 #: Distinct words of a text, the worst ones, that its probability depends on.
-WORST = 3
+WORST = 2
 SPACED = re.compile(r"(?<!\w)\w(?:[\W_]{1,2}\w(?!\w)){2,}")
 
 
