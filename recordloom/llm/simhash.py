@@ -141,7 +141,7 @@ def cell_links(cell: np.ndarray, visit: np.ndarray, prints: np.ndarray, max_bits
             held = np.flatnonzero(root != np.arange(len(cell)))
             root = local_roots(len(cell), np.r_[rows[near], held], np.r_[mates[near], root[held]])
         low = high
-    hung = np.flatnonzero(root != np.arange(len(cell)))
+    hung = np.flatnonzero(prints[root] != prints)  # in cut cells a fingerprint can stand twice
     return prints[hung], prints[root[hung]]
 
 
