@@ -118,6 +118,12 @@ def solve(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return w
 
 
+def spellings(word: str) -> list[str]:
+    """A word with a gap behind each letter, with one gap, and with a letter doubled."""
+    half = len(word) // 2
+    return [".".join(word), word[:half] + "*" + word[half:], word[:half] + word[half : half + 1] + word[half:]]
+
+
 def fit_machine(sentences: list[tuple[int, int, list[str]]]) -> Machine | None:
     """``sentences``: (text, label of the text, words). None without both classes."""
     number: dict[str, int] = {}
@@ -148,7 +154,7 @@ def fit_machine(sentences: list[tuple[int, int, list[str]]]) -> Machine | None:
     margin, seen = strength - STRONG, {}
 
     def vectors(names: list[int]) -> np.ndarray:
-        new = [n for n in names if n not in seen]
+        new = [n for n in dict.fromkeys(names) if n not in seen]
         for n, row in zip(new, kernel_rows([words[n] for n in new], columns) @ whiten, strict=True):
             seen[n] = row
         return np.stack([seen[n] for n in names])
@@ -169,11 +175,13 @@ def fit_machine(sentences: list[tuple[int, int, list[str]]]) -> Machine | None:
         # A word counts for either side as often as it stands there, so a common word that tops a toxic text stays clean.
         positive.update(n for doc, (_, n) in best.items() if doc not in sure)
         negative = usual | hard
+        # Each toxic word counts once more with gaps and with inserted letters.
+        spelled = [(v, k / 3) for n, k in positive.items() for v in spellings(words[n])]
         names = [*positive, *negative]
-        y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        cost = np.array([*positive.values(), *negative.values()], float)
+        y = np.r_[np.ones(len(positive)), -np.ones(len(negative)), np.ones(len(spelled))]
+        cost = np.array([*positive.values(), *negative.values(), *[k for _, k in spelled]], float)
         cost[y > 0] *= cost[y < 0].sum() / cost[y > 0].sum() / 3
-        z = vectors(names)
+        z = np.vstack([vectors(names), kernel_rows([v for v, _ in spelled], columns) @ whiten])
         w = solve(np.hstack([z, np.ones((len(z), 1))]), y, cost)
         machine = Machine((columns @ (whiten @ w[:-1])).astype(np.float32), float(w[-1]))
         margin = word_margins(words, machine.weights) + machine.offset
@@ -226,12 +234,13 @@ def margin_column(docs: DataFrame, machine: Machine):
 
 def calibrated(machine: Machine, margins: np.ndarray, y: np.ndarray) -> Machine:
     """Slopes and shift of the logistic curve over the margins of labelled texts."""
-    x = np.hstack([np.clip(margins, -1.0, 2.0), np.ones((len(margins), 1))])
+    x = np.hstack([np.clip(margins, -1.0, 1.0), np.ones((len(margins), 1))])
     w = np.zeros(x.shape[1])
+    keep = np.diag([1.0] * WORST + [1e-6])
     t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (t - p) - 1e-2 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (t - p) - keep @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -254,7 +263,7 @@ def toxicity(docs: DataFrame, machine: Machine, text: str = "text", into: str =
     if not machine.fitted:
         return docs.withColumn(into, F.lit(0.0))
     margins = margin_column(docs, machine)(F.col(text).cast("string"))
-    terms = F.zip_with(margins, F.lit(list(machine.slopes)), lambda m, slope: F.greatest(F.lit(-1.0), F.least(F.lit(2.0), m)) * slope)
+    terms = F.zip_with(margins, F.lit(list(machine.slopes)), lambda m, slope: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), m)) * slope)
     total = F.aggregate(terms, F.lit(machine.shift), lambda a, b: a + b)
     return docs.withColumn(into, 1 / (1 + F.exp(-total)))
 
