@@ -27,18 +27,17 @@ def extreme_row(df: DataFrame, keys: list[str], order: list[str], pick: str = "m
     return df.groupBy(*keys).agg(agg.alias("_row")).select(*keys, "_row.*")
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column], buckets: int = 4096) -> DataFrame:
+def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column], slots: int = 256) -> DataFrame:
     """Exact values at zero-based positions of the sorted values of each key.
 
-    ``picks`` maps an output column to a position expression over ``n`` (the count of the key).
-    Values are counted per distinct value, cut into equal-width buckets of the key's range, and
-    only the one bucket that holds a position is ranked, so no key is ever sorted in one task.
+    ``picks`` maps an output column to a position expression over ``n`` (the count of the key). Values are counted per distinct
+    value. The distinct values of a key are cut at their own approximate quantiles, so a slot holds about one in ``slots`` of
+    them however they are spread, and a value that occurs often stays one row. Only a slot that holds a position is ranked.
     """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    spans = counts.groupBy(*keys).agg(F.sum("_c").alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / buckets
-    slot = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
-    placed = counts.join(spans, keys).withColumn("_slot", slot)
+    shares = F.lit([n / slots for n in range(1, slots)]).cast("array<double>")
+    spans = counts.groupBy(*keys).agg(F.sum("_c").alias("n"), F.percentile_approx(value, shares, F.lit(20 * slots)).alias("_borders"))
+    placed = counts.join(spans.select(*keys, "_borders"), keys).withColumn("_slot", F.size(F.filter("_borders", lambda b: b < F.col(value)))).drop("_borders")
     per_slot = placed.groupBy(*keys, "_slot").agg(F.sum("_c").alias("_slot_n"))
     before = F.sum("_slot_n").over(Window.partitionBy(*keys).orderBy("_slot")) - F.col("_slot_n")
     starts = per_slot.withColumn("_before", before)

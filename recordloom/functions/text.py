@@ -49,6 +49,18 @@ def slug(c: Column) -> Column:
     return F.coalesce(blank_to_null(F.substring(F.replace(norm_text(c), F.lit(" "), F.lit("-")), 1, 60)), F.lit("group"))
 
 
+def named_id(c: Column) -> Column:
+    """A readable id that differs wherever the names differ, apart from case and punctuation.
+
+    A name of up to 60 ASCII letters and digits is its own id. Of any other, in whatever script, the first 60 of these are
+    followed by 128 bits of a hash of the whole name.
+    """
+    short = norm_status(c)
+    whole = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", "-"), "^-+|-+$", "")
+    told = (F.length(short).between(1, 60)) & (short == whole)
+    return F.when(told, short).otherwise(F.concat_ws("-", blank_to_null(F.substring(short, 1, 60)), F.substring(F.sha2(F.when(whole == "", F.coalesce(c, F.lit(""))).otherwise(whole), 256), 1, 32)))
+
+
 def _capitalise_pieces(c: Column, boundary: str) -> Column:
     pieces = F.split(c, boundary)
     raised = F.transform(

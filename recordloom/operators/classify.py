@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.geometry import dot
 from ..functions.ranking import best_row
 from ..functions.text import first_text, norm_text
-from ..session import row_bound_holds
 
 RESULT = "struct<label:string,domain:string,confidence:double,fallback:boolean,source:string>"
 
@@ -133,20 +132,14 @@ def _best(scores: Column) -> Column:
     )
 
 
-def nearest_class(vectors: DataFrame, classes: DataFrame, keys: list[str], vector: str = "embedding", inline_limit: int = 512) -> DataFrame:
+def nearest_class(vectors: DataFrame, classes: DataFrame, keys: list[str], vector: str = "embedding", block_rows: int = 512) -> DataFrame:
     """Class with the largest dot product for every vector.
 
-    ``classes(class_name, centroid)`` of one task. A taxonomy of up to ``inline_limit`` classes becomes a single value that
-    every task reads: no join, no shuffle of the vectors. A larger one is cut into blocks of that size and joined by
-    block number, with one partial maximum per vector.
+    ``classes(class_name, centroid)`` of one task are cut into blocks of about ``block_rows``. A vector meets each block once,
+    and keeps one partial maximum of it.
     """
     listed = classes.select(F.struct(F.col("class_name").cast("string").alias("class_name"), F.col("centroid")).alias("_c"))
-    if row_bound_holds(classes, inline_limit):
-        packed = listed.agg(F.collect_list("_c").alias("_all"))
-        with_classes = vectors.withColumn("_classes", packed.scalar())
-        best = with_classes.select(*keys, _best(_score_classes(F.col(vector), F.col("_classes"))).alias("_b"))
-        return best.select(*keys, F.col("_b.class_name").alias("class_name"), F.col("_b.score").alias("confidence"))
-    n_blocks = -(-classes.count() // inline_limit) * 2
+    n_blocks = max(1, -(-classes.count() // block_rows))
     blocks = listed.withColumn("_block", F.pmod(F.xxhash64("_c.class_name"), F.lit(n_blocks))).groupBy("_block").agg(F.collect_list("_c").alias("_all"))
     spread = vectors.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
     part = spread.join(blocks, "_block").withColumn("_b", _best(_score_classes(F.col(vector), F.col("_all"))))

@@ -80,7 +80,7 @@ def flatten_endpoints(records: DataFrame) -> DataFrame:
 
 
 def search(records: DataFrame, query: str, sort: str = "name", origin: tuple[float, float] | None = None, limit: int = 50) -> DataFrame:
-    """Best providers for a query, flattened; the limit holds before and after the flattening.
+    """Best providers for a query, flattened; the limit counts providers, and each keeps all its options.
 
     The order is global, so Spark keeps ``limit`` rows per task and merges those (TakeOrderedAndProject).
     """
@@ -91,7 +91,7 @@ def search(records: DataFrame, query: str, sort: str = "name", origin: tuple[flo
     if sort == "distance" and origin is not None:
         order.insert(0, F.col("distance_miles").asc_nulls_last())
     top = found.orderBy(*order).limit(limit)
-    return flatten_endpoints(top).orderBy(*order, F.col("option_pos")).limit(limit)
+    return flatten_endpoints(top).orderBy(*order, F.col("option_pos"))
 
 
 def zip_centroid(records: DataFrame, zip5: str | None = None) -> DataFrame:

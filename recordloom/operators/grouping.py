@@ -13,10 +13,8 @@ from ..functions.ranking import extreme_row, top_k
 from ..functions.text import (
     blank_to_null,
     first_text,
-    fnv1a_base36,
-    kebab,
+    named_id,
     norm_text,
-    slug,
     sorted_distinct,
     title_case_parts,
 )
@@ -92,11 +90,10 @@ def grouping_basis() -> Column:
         why = reason if isinstance(reason, Column) else F.lit(reason)
         return F.struct(gid.alias("group_id"), name.alias("name"), conf.alias("confidence"), why.alias("reason"), F.lit(fallback).alias("fallback"))
 
-    hashed = lambda text: F.coalesce(blank_to_null(kebab(text)), fnv1a_base36(text))
     routed = route.isNotNull()
     by_ingredient = basis(
-        F.when(routed, F.concat(F.lit("medicationrequest-ingredient-route-"), kebab(F.array_join(F.concat(ingredients, F.array(route)), "-")))).otherwise(
-            F.concat(F.lit("medicationrequest-ingredient-"), kebab(F.array_join(ingredients, "-")))
+        F.when(routed, F.concat(F.lit("medicationrequest-ingredient-route-"), named_id(F.array_join(F.concat(ingredients, F.array(route)), "-")))).otherwise(
+            F.concat(F.lit("medicationrequest-ingredient-"), named_id(F.array_join(ingredients, "-")))
         ),
         F.coalesce(blank_to_null(shown), label_name()),
         F.when(routed, 0.8).otherwise(0.7),
@@ -104,9 +101,9 @@ def grouping_basis() -> Column:
     )
     return (
         F.when(F.size(ingredients) > 0, by_ingredient)
-        .when(F.size(keys) > 0, basis(F.concat(kind, F.lit("-target-code-"), hashed(code_key)), label_name(), 0.8, "Grouped by preferred source standard code."))
-        .when(F.size("_own_keys") > 0, basis(F.concat(kind, F.lit("-concept-"), hashed(concept_key)), label_name(), 0.75, "Grouped by identical source code/display/text."))
-        .otherwise(basis(F.concat(kind, F.lit("-label-"), F.coalesce(blank_to_null(kebab(F.col("_label"))), kebab(F.col("id")))), label_name(), 0.55, "Grouped by exact source label.", True))
+        .when(F.size(keys) > 0, basis(F.concat(kind, F.lit("-target-code-"), named_id(code_key)), label_name(), 0.8, "Grouped by preferred source standard code."))
+        .when(F.size("_own_keys") > 0, basis(F.concat(kind, F.lit("-concept-"), named_id(concept_key)), label_name(), 0.75, "Grouped by identical source code/display/text."))
+        .otherwise(basis(F.concat(kind, F.lit("-label-"), named_id(F.coalesce(blank_to_null(F.col("_label")), F.col("id")))), label_name(), 0.55, "Grouped by exact source label.", True))
     )
 
 
@@ -128,7 +125,7 @@ def compact_key() -> Column:
 
 def with_compact_id(records: DataFrame) -> DataFrame:
     keyed = with_key_parts(visible(records)).withColumn("_key", compact_key())
-    return keyed.withColumn("compact_id", F.concat(F.lit("cluster:"), F.col("resource_type"), F.lit(":"), fnv1a_base36(F.col("_key")))).drop(*KEY_PARTS, "_key")
+    return keyed.withColumn("compact_id", F.concat(F.lit("cluster:"), F.col("resource_type"), F.lit(":"), F.md5(F.col("_key")))).drop(*KEY_PARTS, "_key")
 
 
 def most_common_label(labelled: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -186,8 +183,8 @@ def compact_records(records: DataFrame) -> dict[str, DataFrame]:
     return {"concepts": concepts, "members": members, "values": values}
 
 
-def grouping_texts(values: DataFrame, limit: int = 900) -> DataFrame:
-    """Sorted distinct text parts joined by ' | ', cut at ``limit`` characters.
+def grouping_texts(values: DataFrame, limit: int) -> DataFrame:
+    """For display: sorted distinct text parts joined by ' | ', cut at ``limit`` characters. The parts themselves stay rows.
 
     A part takes at least four characters, so the first ``limit / 4`` parts decide the result: the list
     that is gathered has a fixed upper size.
@@ -221,7 +218,7 @@ def deterministic_grouping(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def source_groups(records: DataFrame) -> DataFrame:
     """One group per visible record; members and groups coincide."""
-    gid = F.concat(F.lower("resource_type"), F.lit("-source-"), F.coalesce(blank_to_null(kebab(F.col("id"))), fnv1a_base36(F.col("id"))))
+    gid = F.concat(F.lower("resource_type"), F.lit("-source-"), named_id(F.col("id")))
     return visible(records).select(
         "patient_id",
         gid.alias("group_id"),
@@ -241,7 +238,7 @@ def combine_groupings(groups: DataFrame, members: DataFrame) -> tuple[DataFrame,
     ``groups(patient_id, result_pos, group_pos, group_id, name, resource_types, bucket, confidence, reason, fallback, source)``,
     ``members(patient_id, result_pos, group_id, record_id)``. The first group of a key gives its id and name.
     """
-    key = F.concat_ws(":", F.array_join(F.array_sort("resource_types"), "|"), F.coalesce("bucket", F.lit("")), norm_text(F.col("name")))
+    key = F.concat_ws(":", F.array_join(F.array_sort("resource_types"), "|"), F.coalesce("bucket", F.lit("")), named_id(F.col("name")))
     keyed = groups.withColumn("_key", key)
     first = F.min_by(F.struct("group_id", "name", "reason"), F.struct("result_pos", "group_pos", "group_id"))
     combined = keyed.groupBy("patient_id", "_key").agg(
@@ -271,7 +268,7 @@ def cached_groups(concepts: DataFrame, cache: DataFrame, lookup_model: str, comp
     """
     c = cache.select("compact_id", F.col("resource_type").alias("entry_type"), "name", "bucket", "confidence", "fallback", "model", "lookup_system", "lookup_code", "canonical_system", "canonical_code")
     rows = concepts.join(c, "compact_id").filter(complete)
-    rows = rows.withColumn("_key", F.concat_ws(":", "resource_type", norm_text(F.col("name")))).withColumn(
+    rows = rows.withColumn("_key", F.concat_ws(":", "resource_type", named_id(F.col("name")))).withColumn(
         "_bucket", F.coalesce("bucket", known_category_bucket(F.col("resource_type"), F.col("category"), F.col("category_code")))
     )
     own = F.nullif(F.col("canonical_system"), F.lit("")).isNotNull() & F.nullif(F.col("canonical_code"), F.lit("")).isNotNull()
@@ -285,12 +282,12 @@ def cached_groups(concepts: DataFrame, cache: DataFrame, lookup_model: str, comp
         bucket_agreement("_bucket").alias("bucket"),
         F.count(F.lit(1)).alias("n_concepts"),
     )
-    gid = F.concat(F.lower("_f.resource_type"), F.lit("-"), slug(F.col("_f.name")))
+    gid = F.concat(F.lower("_f.resource_type"), F.lit("-"), named_id(F.col("_f.name")))
     out = groups.select(
         "patient_id", gid.alias("group_id"), F.col("_f.name").alias("name"), F.col("_f.resource_type").alias("resource_type"),
         "bucket", "confidence", "fallback", F.col("_f.code.system").alias("canonical_system"), F.col("_f.code.code").alias("canonical_code"), "n_concepts",
     )
-    members = rows.select("patient_id", F.concat(F.lower("resource_type"), F.lit("-"), slug(F.col("name"))).alias("group_id"), "compact_id")
+    members = rows.select("patient_id", F.concat(F.lower("resource_type"), F.lit("-"), named_id(F.col("name"))).alias("group_id"), "compact_id")
     return out, members
 
 
@@ -311,8 +308,8 @@ def split_fallback(groups: DataFrame, members: DataFrame, records: DataFrame) ->
     r = visible(records).select("patient_id", F.col("id").alias("record_id"), "resource_type", label_name().alias("_label"), record_bucket(F.col("resource_type"), F.col("category"), F.col("category_code")).alias("_rbucket"))
     rows = apart.join(members, ["patient_id", "group_id"]).join(r, ["patient_id", "record_id"], "left")
     known = F.col("resource_type").isNotNull()
-    new_id = F.when(known, F.concat(F.lower("resource_type"), F.lit("-source-"), F.coalesce(blank_to_null(kebab(F.col("record_id"))), fnv1a_base36(F.col("record_id"))))).otherwise(
-        F.concat("group_id", F.lit("-source-"), fnv1a_base36(F.col("record_id")))
+    new_id = F.when(known, F.concat(F.lower("resource_type"), F.lit("-source-"), named_id(F.col("record_id")))).otherwise(
+        F.concat("group_id", F.lit("-source-"), named_id(F.col("record_id")))
     )
     singles = rows.select(
         "patient_id",

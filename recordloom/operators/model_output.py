@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.coding import confidence_label_score
 from ..functions.ranking import extreme_row
-from ..functions.text import blank_to_null, kebab, norm_text
+from ..functions.text import blank_to_null, named_id, norm_text
 from ..session import ensure_checkpoint_dir
 from .classify import name_bucket
 from .grouping import bucket_agreement, leftover_groups, rejected_groups
@@ -42,7 +42,7 @@ def validate_groups(records: DataFrame, groups: DataFrame, members: DataFrame, f
     p = ["patient_id"]
     known = visible(records).select("patient_id", F.col("id").alias("record_id"), "resource_type", record_bucket(F.col("resource_type"), F.col("category"), F.col("category_code")).alias("_rb"))
     named = groups.filter("name is not null")
-    key = named.withColumn("_gid", F.coalesce(blank_to_null(F.col("group_id")), kebab(F.col("name"))))
+    key = named.withColumn("_gid", F.coalesce(blank_to_null(F.col("group_id")), named_id(F.col("name"))))
     offered = members.join(named.select(*p, "group_pos"), [*p, "group_pos"], "left_semi").join(known.select(*p, "record_id"), [*p, "record_id"], "left_semi").distinct()
     # A name the rule rejects frees its records for later groups, so rejection is decided on the offered members first.
     per_pos = offered.select(*p, F.col("group_pos").cast("string").alias("group_id"), "record_id")

@@ -68,11 +68,11 @@ def display_references(resources: DataFrame) -> DataFrame:
     return rows.select("source_id", "patient_id", "input_pos", "_r.*")
 
 
-def missing_references(refs: DataFrame, present: DataFrame, base_url: Column, scope: Column, max_references: int = 25) -> DataFrame:
+def missing_references(refs: DataFrame, present: DataFrame, base_url: Column, scope: Column, max_references: int | None = None) -> DataFrame:
     """References whose target is not among ``present(source_id, resource_type, id)``.
 
     First-seen order decides which of several equal targets is kept and which ones fall under the
-    limit per source; ``skipped`` marks those the scope forbids or that exceed the limit.
+    limit per source, if a client sets one; ``skipped`` marks those the scope forbids or that exceed it.
     """
     target = server_reference(F.col("reference"), base_url)
     parsed = refs.withColumn("_t", target).filter("_t is not null").withColumns(
@@ -85,6 +85,8 @@ def missing_references(refs: DataFrame, present: DataFrame, base_url: Column, sc
         F.min(F.struct(order.alias("seen"), "reference", "url", "reason", scope.alias("scope"))).alias("_f")
     ).select("source_id", "target_type", "target_id", "_f.*")
     judged = first.withColumn("readable", scope_allows(F.col("scope"), F.col("target_type"), allow_when_unknown=False))
+    if max_references is None:
+        return judged.select("source_id", "target_type", "target_id", "reference", "url", "reason", (~F.col("readable")).alias("skipped"))
     in_limit = top_k(judged.filter("readable"), ["source_id"], [F.col("seen")], max_references).select("source_id", "target_type", "target_id", F.lit(False).alias("_within"))
     return judged.join(in_limit, ["source_id", "target_type", "target_id"], "left").select(
         "source_id", "target_type", "target_id", "reference", "url", "reason", F.coalesce("_within", F.lit(True)).alias("skipped")

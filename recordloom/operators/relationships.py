@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import json_fields as J
 from ..functions.links import GROUPABLE_TYPES, local_reference
@@ -126,8 +126,8 @@ def explicit_group_links(members: DataFrame, adj: DataFrame, first_groups: DataF
     return unique.join(groups, ["patient_id", "related_key"], "left")
 
 
-def explicit_context(members: DataFrame, adj: DataFrame, labels: DataFrame, limit: int = 8) -> DataFrame:
-    """Up to ``limit`` distinct 'edge label: related name' texts per group, in binary order.
+def explicit_context(members: DataFrame, adj: DataFrame, labels: DataFrame, limit: int | None = None) -> DataFrame:
+    """The distinct 'edge label: related name' texts per group, in binary order; the first ``limit`` if that is given.
 
     ``labels(record_key, name)`` names a related record by its group, else by its own label.
     """
@@ -135,7 +135,8 @@ def explicit_context(members: DataFrame, adj: DataFrame, labels: DataFrame, limi
     named = labels.select(F.col("record_key").alias("related_key"), F.col("name").alias("_name"))
     texts = m.join(adj.select("record_key", "related_key", "label"), "record_key").join(named, "related_key")
     distinct = texts.select("patient_id", "group_id", F.concat_ws(": ", "label", "_name").alias("context")).distinct()
-    return top_k(distinct, ["patient_id", "group_id"], [F.col("context")], limit, "context_pos")
+    ranked = distinct.withColumn("context_pos", F.row_number().over(Window.partitionBy("patient_id", "group_id").orderBy("context")))
+    return ranked if limit is None else top_k(distinct, ["patient_id", "group_id"], [F.col("context")], limit, "context_pos")
 
 
 def suggested_links(group_edges: DataFrame, groups: DataFrame, transform_version: int, model: str | None) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import grouping, records, state
 from .registry import Tables, pick, register, sql_pick, text
-from .resources import FNV_SQL
 
 TYPES = ("MedicationRequest", "Condition", "Observation", "Encounter")
 
@@ -28,6 +27,17 @@ def part_records(t: Tables) -> DataFrame:
     )
 
 
+#: The same ids in SQL.
+STEM_SQL = (
+    "CASE WHEN length({s}) BETWEEN 1 AND 60 AND {s} = {w} THEN {s} ELSE concat_ws('-', nullif(substr({s}, 1, 60), ''), substr(sha256(coalesce(nullif({w}, ''), coalesce({x}, ''))), 1, 32)) END"
+)
+
+
+def stem_sql(x: str) -> str:
+    dashed = "regexp_replace(regexp_replace(lower(coalesce(" + x + ", '')), '[^{}]+', '-', 'g'), '^-+|-+$', '', 'g')"
+    return STEM_SQL.format(s=dashed.format("a-z0-9"), w=dashed.format("\\p{L}\\p{M}\\p{N}"), x=x)
+
+
 # Words of the keys, written out for the SQL side.
 PART_SQL = f"""
 b AS (
@@ -51,7 +61,7 @@ keyed AS (
     WHEN k % 5 = 1 AND t = 'MedicationRequest' THEN t || '|code|http://x|' || p_type
     WHEN k % 5 = 1 AND t = 'Observation' THEN t || '|' || coalesce(lower(category), '') || '|concept|' || ck WHEN k % 5 = 1 THEN t || '|concept|' || ck
     WHEN t = 'Observation' THEN t || '|' || coalesce(lower(category), '') || '|label|' || lower(p_name) ELSE t || '|label|' || lower(p_name) END AS key FROM concept),
-named AS (SELECT *, 'cluster:' || t || ':' || {FNV_SQL.format('key')} AS compact_id FROM keyed),
+named AS (SELECT *, 'cluster:' || t || ':' || md5(key) AS compact_id FROM keyed),
 cnt AS (SELECT patient_id, compact_id, p_name, count(*) AS n FROM named GROUP BY ALL),
 lab AS (SELECT * FROM cnt QUALIFY row_number() OVER (PARTITION BY patient_id, compact_id ORDER BY n DESC, p_name) = 1)
 SELECT n.patient_id, n.compact_id, any_value(l.p_name) AS source_label, count(*) AS resource_count, max('20' || lpad(CAST(p_size AS VARCHAR), 2, '0') || '-01-01') AS date,
@@ -105,9 +115,9 @@ def most_common_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 GROUP_SQL = f"""
 {PART_SQL},
 g AS (
-  SELECT *, CASE WHEN ing AND routed THEN 'medicationrequest-ingredient-route-' || rtrim(substr(pt || '-zinc-oral', 1, 60), '') WHEN ing THEN 'medicationrequest-ingredient-' || pt || '-zinc'
+  SELECT *, CASE WHEN ing AND routed THEN 'medicationrequest-ingredient-route-' || {stem_sql("pt || '-zinc-oral'")} WHEN ing THEN 'medicationrequest-ingredient-' || {stem_sql("pt || '-zinc'")}
     WHEN target IS NOT NULL THEN lower(t) || '-target-code-' || replace(target, ':', '-')
-    WHEN k % 5 = 1 THEN lower(t) || '-concept-' || substr(regexp_replace(ck, '[^a-z0-9]+', '-', 'g'), 1, 60)
+    WHEN k % 5 = 1 THEN lower(t) || '-concept-' || {stem_sql('ck')}
     ELSE lower(t) || '-label-' || regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') END AS group_id,
     CASE WHEN ing AND routed THEN 0.8 WHEN ing THEN 0.7 WHEN target IS NOT NULL THEN 0.8 WHEN k % 5 = 1 THEN 0.75 ELSE 0.55 END AS conf, NOT ing AND target IS NULL AND k % 5 <> 1 AS fb,
     CASE WHEN ing THEN array_to_string(list_transform(string_split(array_to_string(list_sort([p_type, 'zinc']), ' ') || CASE WHEN routed THEN ' Oral' ELSE '' END, ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE p_name END AS nm,

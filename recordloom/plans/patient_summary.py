@@ -66,9 +66,9 @@ def named_concepts(concepts: DataFrame, values: DataFrame, t: Terminology) -> Da
 
 def concept_groups(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Concepts of one type and normalised name form a group."""
-    from ..functions.text import norm_text, slug
+    from ..functions.text import named_id, norm_text
 
-    gid = F.concat(F.lower("resource_type"), F.lit("-"), slug(F.col("name")))
+    gid = F.concat(F.lower("resource_type"), F.lit("-"), named_id(F.col("name")))
     rows = named.withColumns({"group_id": gid, "bucket": records.known_category_bucket(F.col("resource_type"), F.col("category"), F.col("category_code")), "_n": norm_text(F.col("name"))})
     groups = rows.groupBy("patient_id", "group_id").agg(
         F.min("resource_type").alias("resource_type"), F.min("name").alias("name"), grouping.bucket_agreement().alias("bucket"), F.min("confidence").alias("confidence"), F.bool_or("fallback").alias("fallback"),

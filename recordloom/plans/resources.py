@@ -381,7 +381,7 @@ def explicit_group_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH {EDGES_SQL}, {MEMBERS_SQL},
 x AS (SELECT DISTINCT m.group_id, a.label || ': ' || a.related_key AS context FROM members m JOIN adj a ON a.record_key = m.record_key)
-SELECT group_id, context, CAST(row_number() OVER (PARTITION BY group_id ORDER BY context) AS INTEGER) AS context_pos FROM x QUALIFY context_pos <= 8
+SELECT group_id, context, CAST(row_number() OVER (PARTITION BY group_id ORDER BY context) AS INTEGER) AS context_pos FROM x
 """,
 )
 def explicit_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,9 +416,8 @@ WITH r AS (
   SELECT user_id % 7 AS s, event_id, 0 AS rule, 'Encounter' AS t, CAST(event_id % 3000 AS VARCHAR) AS i FROM events
   UNION ALL SELECT user_id % 7, event_id + 1000000000, 1, 'Condition', CAST(event_id % 500 + 1400 AS VARCHAR) FROM events WHERE event_id % 5 = 0),
 d AS (SELECT s, t, i, min(event_id) AS seen FROM r WHERE NOT (t = 'Encounter' AND CAST(i AS BIGINT) % 10 <> 0) GROUP BY ALL),
-k AS (SELECT *, s <> 3 OR t = 'Condition' AS readable FROM d),
-w AS (SELECT *, CASE WHEN readable THEN row_number() OVER (PARTITION BY s, readable ORDER BY seen) END AS rn FROM k)
-SELECT 's' || s AS source_id, t AS target_type, i AS target_id, 'https://h.example/' || t || '/' || i AS url, NOT (readable AND rn <= 25) AS skipped FROM w
+k AS (SELECT *, s <> 3 OR t = 'Condition' AS readable FROM d)
+SELECT 's' || s AS source_id, t AS target_type, i AS target_id, 'https://h.example/' || t || '/' || i AS url, NOT readable AS skipped FROM k
 """,
 )
 def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:

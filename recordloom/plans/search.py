@@ -296,9 +296,9 @@ b AS (SELECT vec_id, label, CAST(cls AS VARCHAR) AS class_name, score FROM s QUA
 """
 
 
-def nearest(t: Tables, inline_limit: int = 512) -> DataFrame:
+def nearest(t: Tables, block_rows: int = 512) -> DataFrame:
     classes = classify.centroids(t.embeddings, ["label"]).select(F.col("label").alias("class_name"), "centroid")
-    return classify.nearest_class(t.embeddings, classes, ["vec_id", "label"], inline_limit=inline_limit)
+    return classify.nearest_class(t.embeddings, classes, ["vec_id", "label"], block_rows=block_rows)
 
 
 @register("nearest_centroid", f"WITH {NEAREST_SQL} SELECT vec_id, class_name, round(score, 6) AS confidence FROM b")
@@ -308,7 +308,7 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("nearest_centroid_in_blocks", f"WITH {NEAREST_SQL} SELECT vec_id, class_name, round(score, 6) AS confidence FROM b")
 def nearest_centroid_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(Tables(spark, sf_dir), inline_limit=4).select("vec_id", "class_name", F.round("confidence", 6).alias("confidence"))
+    return nearest(Tables(spark, sf_dir), block_rows=4).select("vec_id", "class_name", F.round("confidence", 6).alias("confidence"))
 
 
 @register(
@@ -415,7 +415,7 @@ WITH {PROVIDERS_SQL},
 m AS (SELECT *, CASE WHEN k % 4 <> 0 THEN 20 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 35 ELSE 0 END AS rel FROM p WHERE specialty = 'Cardiology' AND k % 5 = 0),
 b AS (SELECT npi, rel FROM m WHERE false),
 q AS (SELECT k, npi, CASE WHEN k % 4 <> 0 THEN 20 ELSE 0 END AS rel, display_name FROM p WHERE specialty = 'Cardiology' AND k % 5 = 0 ORDER BY rel DESC, display_name, npi LIMIT 50)
-SELECT f.id, f.display_name, q.rel AS relevance FROM q JOIN flat f ON f.npi = q.npi ORDER BY q.rel DESC, f.display_name, f.npi, f.pos LIMIT 50
+SELECT f.id, f.display_name, q.rel AS relevance FROM q JOIN flat f ON f.npi = q.npi ORDER BY q.rel DESC, f.display_name, f.npi, f.pos
 """,
 )
 def directory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,7 +426,7 @@ def directory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     "directory_search_by_distance",
     f"""
 WITH {PROVIDERS_SQL}, d AS (SELECT *, {HAV_SQL} FROM p WHERE specialty = 'Oncology'), q AS (SELECT *, {DISTANCE_SQL} AS miles FROM d ORDER BY miles ASC NULLS LAST, CASE WHEN k % 4 <> 0 THEN 20 ELSE 0 END DESC, display_name LIMIT 30)
-SELECT f.id, round(q.miles, 6) AS miles FROM q JOIN flat f ON f.npi = q.npi ORDER BY q.miles ASC NULLS LAST, CASE WHEN q.k % 4 <> 0 THEN 20 ELSE 0 END DESC, q.display_name, f.pos LIMIT 30
+SELECT f.id, round(q.miles, 6) AS miles FROM q JOIN flat f ON f.npi = q.npi ORDER BY q.miles ASC NULLS LAST, CASE WHEN q.k % 4 <> 0 THEN 20 ELSE 0 END DESC, q.display_name, f.pos
 """,
 )
 def directory_search_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -410,26 +410,26 @@ def sorted_groups(t: Tables) -> DataFrame:
     return rows.groupBy("patient_id", F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("n_records"), F.max(F.when(F.col("patient_id") % 9 != 0, F.col("date"))).alias("latest"))
 
 
-@register("groups_by_size", "SELECT user_id AS patient_id, event_type AS name, count(*) AS n_records FROM events GROUP BY ALL ORDER BY n_records DESC, name, patient_id LIMIT 40")
+@register("groups_by_size", "SELECT user_id AS patient_id, event_type AS name, count(*) AS n_records FROM events GROUP BY ALL ORDER BY n_records DESC, name, patient_id")
 def groups_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sorted_groups(Tables(spark, sf_dir)).orderBy(F.col("n_records").desc(), "name", "patient_id").limit(40).select("patient_id", "name", "n_records")
+    return sorted_groups(Tables(spark, sf_dir)).orderBy(F.col("n_records").desc(), "name", "patient_id").select("patient_id", "name", "n_records")
 
 
 @register(
     "groups_oldest_first",
-    f"SELECT user_id AS patient_id, event_type AS name, max(CASE WHEN user_id % 9 <> 0 THEN {EVENT_DATE_SQL} END) AS latest FROM events GROUP BY ALL ORDER BY latest ASC NULLS LAST, name, patient_id LIMIT 40",
+    f"SELECT user_id AS patient_id, event_type AS name, max(CASE WHEN user_id % 9 <> 0 THEN {EVENT_DATE_SQL} END) AS latest FROM events GROUP BY ALL ORDER BY latest ASC NULLS LAST, name, patient_id",
 )
 def groups_oldest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sorted_groups(Tables(spark, sf_dir)).orderBy(F.col("latest").asc_nulls_last(), "name", "patient_id").limit(40).select("patient_id", "name", "latest")
+    return sorted_groups(Tables(spark, sf_dir)).orderBy(F.col("latest").asc_nulls_last(), "name", "patient_id").select("patient_id", "name", "latest")
 
 
-@register("records_newest_first", f"SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN {EVENT_DATE_SQL} END AS date FROM events ORDER BY coalesce(date, '') DESC, event_id LIMIT 100")
+@register("records_newest_first", f"SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN {EVENT_DATE_SQL} END AS date FROM events ORDER BY coalesce(date, '') DESC, event_id")
 def records_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Tables(spark, sf_dir).events.select("event_id", F.when(F.col("event_id") % 50 != 0, iso_seconds("ts")).alias("date"))
-    return rows.orderBy(F.coalesce("date", F.lit("")).desc(), "event_id").limit(100)
+    return rows.orderBy(F.coalesce("date", F.lit("")).desc(), "event_id")
 
 
-@register("scores_descending", f"WITH {SCORE_SQL} SELECT c_custkey, round(0.7 * w + 0.3 * boost, 9)::DOUBLE AS total FROM sc ORDER BY total DESC, c_custkey LIMIT 50")
+@register("scores_descending", f"WITH {SCORE_SQL} SELECT c_custkey, round(0.7 * w + 0.3 * boost, 9)::DOUBLE AS total FROM sc ORDER BY total DESC, c_custkey")
 def scores_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = priority.score_conditions(condition_inputs(Tables(spark, sf_dir))).select("c_custkey", F.round("total", 9).alias("total"))
-    return out.orderBy(F.col("total").desc(), "c_custkey").limit(50)
+    return out.orderBy(F.col("total").desc(), "c_custkey")

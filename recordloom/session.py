@@ -66,7 +66,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = context._jsc.sc().getCheckpointDir()
     return current.get()
 
-
-def row_bound_holds(df: DataFrame, bound: int) -> bool:
-    """True when ``df`` has at most ``bound`` rows; reads no more than ``bound + 1`` of them."""
-    return df.limit(bound + 1).count() <= bound

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions.text import slug
+from ..functions.text import named_id
 from ..operators.model_output import naming_key
 from ..operators.state import upsert
 
@@ -92,7 +92,7 @@ def fold_names(state: DataFrame, names: DataFrame, batch_id: int) -> DataFrame:
 
 
 def group_view(state: DataFrame) -> DataFrame:
-    gid = F.concat(slug(F.col("name")), F.lit("-"), F.col("n_records").cast("string"))
+    gid = F.concat(named_id(F.col("name")), F.lit("-"), F.col("n_records").cast("string"))
     reason = F.when(F.col("fallback"), "source-label-fallback").otherwise("llm-naming")
     return state.select("patient_id", gid.alias("group_id"), "name", "bucket", "resource_type", "confidence", "fallback", "n_records", reason.alias("reason"))
 

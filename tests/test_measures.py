@@ -64,13 +64,23 @@ def test_scores(spark):
 
 def test_order_statistics_are_exact_and_survive_a_hot_key(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"), (F.col("id") * 7919 % 1009 / 10).alias("v"))
-    got = {r.k: (r.q25, r.q75) for r in order_statistics(df, ["k"], "v", {"q25": F.floor(F.col("n") * 0.25), "q75": F.floor(F.col("n") * 0.75)}, buckets=16).collect()}
+    got = {r.k: (r.q25, r.q75) for r in order_statistics(df, ["k"], "v", {"q25": F.floor(F.col("n") * 0.25), "q75": F.floor(F.col("n") * 0.75)}, slots=16).collect()}
     by = {}
     for r in df.collect():
         by.setdefault(r.k, []).append(r.v)
     assert got == {k: (sorted(v)[int(len(v) * 0.25)], sorted(v)[int(len(v) * 0.75)]) for k, v in by.items()}
 
 
+def test_an_outlier_does_not_fill_one_slot(spark):
+    df = spark.range(20000).select(F.lit("k").alias("k"), F.when(F.col("id") == 7, 1e15).otherwise(F.col("id").cast("double")).alias("v"))
+    got = order_statistics(df, ["k"], "v", {"q25": F.floor(F.col("n") * 0.25), "top": F.col("n") - 1}, slots=64).first()
+    assert got.top == 1e15 and got.q25 == 5001.0
+    counts = df.groupBy("k", "v").count()
+    borders = counts.groupBy("k").agg(F.percentile_approx("v", F.lit([n / 64 for n in range(1, 64)]).cast("array<double>"), F.lit(1280)).alias("b"))
+    slots = counts.join(borders, "k").groupBy(F.size(F.filter("b", lambda b: b < F.col("v")))).count()
+    assert slots.agg(F.max("count")).first()[0] < 2 * 20000 / 64
+
+
 def test_top_k_is_cut_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     plan = top_k(df, ["k"], [F.col("v").desc()], 5)._jdf.queryExecution().executedPlan().toString()
