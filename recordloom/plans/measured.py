@@ -445,12 +445,12 @@ def group_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "last_write_wins",
     """
-SELECT user_id, event_type, event_id, value, props FROM events WHERE event_id % 10 <> 9 OR value > 5 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1
+SELECT user_id, event_type, event_id, value, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1
 """,
 )
 def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = Tables(spark, sf_dir).events
     old = events.filter("event_id % 10 <> 9")
-    new = events.filter("event_id % 10 = 9 and value > 5")
+    new = events.filter("event_id % 10 = 9")
     merged = state.upsert(old, new, ["user_id", "event_type"], ["ts", "event_id"])
     return merged.select("user_id", "event_type", "event_id", "value", "props")

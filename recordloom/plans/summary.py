@@ -243,12 +243,12 @@ def related_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "medication_group_conditions",
-    "SELECT DISTINCT l_suppkey % 50 AS patient_id, 'M' || l_partkey % 9 AS medication_group, 'Cond ' || b.p_brand AS condition_name FROM lineitem JOIN part a ON a.p_partkey = l_partkey JOIN part b ON b.p_name = a.p_name AND b.p_size < 4 WHERE l_linenumber = 1",
+    "SELECT DISTINCT l_suppkey % 50 AS patient_id, 'M' || l_partkey % 9 AS medication_group, 'Cond ' || b.p_brand AS condition_name FROM lineitem JOIN part a ON a.p_partkey = l_partkey JOIN part b ON b.p_name = a.p_name",
 )
 def medication_group_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    rows = t.lineitem.filter("l_linenumber = 1").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_suppkey") % 50).alias("patient_id"), F.concat(F.lit("M"), text(F.col("l_partkey") % 9)).alias("medication_group"), F.col("p_name").alias("name")).distinct()
-    pairs = t.part.filter("p_size < 4").select(F.concat(F.lit("Cond "), "p_brand").alias("condition_name"), F.col("p_name").alias("related_name"))
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_suppkey") % 50).alias("patient_id"), F.concat(F.lit("M"), text(F.col("l_partkey") % 9)).alias("medication_group"), F.col("p_name").alias("name")).distinct()
+    pairs = t.part.select(F.concat(F.lit("Cond "), "p_brand").alias("condition_name"), F.col("p_name").alias("related_name"))
     none = t.part.limit(0)
     codes = none.select(F.lit(0).cast("bigint").alias("patient_id"), F.lit("").alias("medication_group"), F.lit("").alias("name"), F.lit("").alias("code"))
     ingredients = none.select(F.lit("").alias("product_code"), F.lit("").alias("ingredient_name"))

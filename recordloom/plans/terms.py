@@ -141,11 +141,11 @@ def medication_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "lab_conditions",
-    f"WITH {ASSOC_SQL} SELECT p_partkey, condition_code, {sql_pick('min(s) % 3', *STRENGTHS)} AS strength FROM part JOIN a ON a.code = p_brand WHERE part.p_size < 20 GROUP BY ALL",
+    f"WITH {ASSOC_SQL} SELECT p_partkey, condition_code, {sql_pick('min(s) % 3', *STRENGTHS)} AS strength FROM part JOIN a ON a.code = p_brand GROUP BY ALL",
 )
 def lab_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return terminology.lab_conditions(t.part.filter("p_size < 20").select("p_partkey", F.col("p_brand").alias("code")), assoc_meds(t), ["p_partkey"])
+    return terminology.lab_conditions(t.part.select("p_partkey", F.col("p_brand").alias("code")), assoc_meds(t), ["p_partkey"])
 
 
 def name_pairs(t: Tables) -> DataFrame:
@@ -185,8 +185,8 @@ def whole_word_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "medication_name_conditions",
     """
-WITH i AS (SELECT DISTINCT lower(p_name) AS n, 'Cond ' || p_brand AS c FROM part WHERE p_size < 10),
-m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name, CASE l_partkey % 3 WHEN 0 THEN upper(p_name) || ' / Other' WHEN 1 THEN p_name || '-Oral Product' ELSE 'pre' || p_name END AS name FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) JOIN part ON p_partkey = l_partkey WHERE l_suppkey % 4 = 0),
+WITH i AS (SELECT DISTINCT lower(p_name) AS n, 'Cond ' || p_brand AS c FROM part),
+m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name, CASE l_partkey % 3 WHEN 0 THEN upper(p_name) || ' / Other' WHEN 1 THEN p_name || '-Oral Product' ELSE 'pre' || p_name END AS name FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) JOIN part ON p_partkey = l_partkey),
 t1 AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, c, 1 AS tier FROM m JOIN i ON i.n = m.p_name WHERE l_partkey % 10 = 0),
 r1 AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM t1 WHERE t1.l_orderkey = m.l_orderkey AND t1.l_linenumber = m.l_linenumber AND t1.l_partkey = m.l_partkey AND t1.l_suppkey = m.l_suppkey)),
 t2 AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, c, 2 AS tier FROM r1 JOIN i ON i.n = r1.p_name WHERE l_partkey % 3 = 0),
@@ -198,11 +198,11 @@ SELECT l_partkey, c AS condition_name, tier, count(*) AS n FROM u GROUP BY ALL
 def medication_name_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    base = t.lineitem.filter("l_suppkey % 4 = 0").select(*keys).distinct().join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    base = t.lineitem.select(*keys).distinct().join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     name = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.upper("p_name"), F.lit(" / Other"))).when(F.col("l_partkey") % 3 == 1, F.concat("p_name", F.lit("-Oral Product"))).otherwise(F.concat(F.lit("pre"), "p_name"))
     codes = base.filter("l_partkey % 10 = 0").select(*keys, text("l_partkey").alias("code"))
     parts = t.part.select(text("p_partkey").alias("product_code"), F.upper("p_name").alias("ingredient_name"))
-    pairs = t.part.filter("p_size < 10").select(F.concat(F.lit("Cond "), "p_brand").alias("condition_name"), F.initcap("p_name").alias("related_name"))
+    pairs = t.part.select(F.concat(F.lit("Cond "), "p_brand").alias("condition_name"), F.initcap("p_name").alias("related_name"))
     out = terminology.medication_name_conditions(base.select(*keys, name.alias("name")), codes, parts, pairs, keys)
     return out.groupBy("l_partkey", "condition_name", "tier").agg(F.count(F.lit(1)).alias("n"))
 
@@ -210,12 +210,12 @@ def medication_name_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weight_table(t: Tables) -> DataFrame:
     """Weights for codes of one to three digits behind the dot, from part sizes and prices."""
     k = F.col("p_partkey")
-    code = F.concat(F.lit("E"), F.lpad(text(k % 40), 2, "0"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("."), text(k % 7), F.when(k % 3 == 2, text(k % 4)).otherwise(""))))
-    return t.part.filter("p_partkey % 40 < 30").groupBy(code.alias("code")).agg(F.min(F.col("p_size") / 100.0).cast("double").alias("weight"))
+    code = F.concat(F.when(k % 40 < 30, "E").otherwise("X"), F.lpad(text(k % 40), 2, "0"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("."), text(k % 7), F.when(k % 3 == 2, text(k % 4)).otherwise(""))))
+    return t.part.groupBy(code.alias("code")).agg(F.min(F.col("p_size") / 100.0).cast("double").alias("weight"))
 
 
 WEIGHTS_SQL = """
-w AS (SELECT 'E' || lpad(CAST(p_partkey % 40 AS VARCHAR), 2, '0') || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '.' || (p_partkey % 7) || CASE WHEN p_partkey % 3 = 2 THEN CAST(p_partkey % 4 AS VARCHAR) ELSE '' END END AS code, min(p_size / 100.0)::DOUBLE AS weight FROM part WHERE p_partkey % 40 < 30 GROUP BY 1),
+w AS (SELECT CASE WHEN p_partkey % 40 < 30 THEN 'E' ELSE 'X' END || lpad(CAST(p_partkey % 40 AS VARCHAR), 2, '0') || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '.' || (p_partkey % 7) || CASE WHEN p_partkey % 3 = 2 THEN CAST(p_partkey % 4 AS VARCHAR) ELSE '' END END AS code, min(p_size / 100.0)::DOUBLE AS weight FROM part GROUP BY 1),
 q AS (SELECT o_orderkey, 'E' || lpad(CAST(o_orderkey % 40 AS VARCHAR), 2, '0') || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '.' || (o_custkey % 7) || (o_custkey % 4) || CASE WHEN o_orderkey % 2 = 0 THEN '1' ELSE '' END END AS code FROM orders),
 f AS (SELECT o_orderkey, q.code, coalesce(w3.weight, w2.weight, w1.weight, w0.weight, 0) AS weight FROM q LEFT JOIN w w3 ON w3.code = q.code AND length(q.code) = 7 LEFT JOIN w w2 ON w2.code = substr(q.code, 1, 6) AND length(q.code) >= 6
   LEFT JOIN w w1 ON w1.code = substr(q.code, 1, 5) AND length(q.code) >= 5 LEFT JOIN w w0 ON w0.code = substr(q.code, 1, 3))
