@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordloom.llm import bpe, decontamination, quality, secrets, simhash
-from recordloom.llm.common import stored, table
+from recordloom.llm.common import fresh, stored, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,27 +22,30 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    named = keyed.select("text", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("_row").alias("row")).alias("key"))
-    first = simhash.near_duplicates(named, key="key").where("key = component_id").select(F.col("key.row").alias("_row"))
-    return keyed.join(first, "_row", "left_semi").select(*docs.columns)
+    row = fresh(docs, "_row")
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    named = keyed.select("text", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(row).alias("row")).alias("key"))
+    first = simhash.near_duplicates(named, key="key").where("key = component_id").select(F.col("key.row").alias(row))
+    return keyed.join(first, row, "left_semi").select(*docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     found = decontamination.contamination(docs.select("text", digest.alias("digest")), table(spark, sf_dir, "benchmark"), key="digest")
-    leaked = found.where("n_hit > 0").select(F.col("digest").alias("_digest")).distinct()
-    return docs.join(leaked, digest == F.col("_digest"), "left_anti").select(*docs.columns)
+    own = fresh(docs, "_digest")
+    leaked = found.where("n_hit > 0").select(F.col("digest").alias(own)).distinct()
+    return docs.withColumn(own, digest).join(leaked, own, "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret masked; n_chars follows the text."""
-    found = secrets.find_secrets(docs, into="_spans")
-    text = F.when(F.size("_spans") > 0, secrets.masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    n_chars = F.when(F.size("_spans") > 0, F.length("_masked").cast("long")).otherwise(F.col("n_chars"))
-    own = {"text": F.col("_masked"), "n_chars": n_chars}
-    return found.withColumn("_masked", text).select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns])
+    spans, changed = fresh(docs, "_spans"), fresh(docs, "_masked")
+    found = secrets.find_secrets(docs, into=spans)
+    text = F.when(F.size(spans) > 0, secrets.masked(F.col("text"), F.col(spans))).otherwise(F.col("text"))
+    n_chars = F.when(F.size(spans) > 0, F.length(changed).cast("long")).otherwise(F.col("n_chars"))
+    own = {"text": F.col(changed), "n_chars": n_chars}
+    return found.withColumn(changed, text).select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, size: str = "16m") -> None:
     """Python tasks get Arrow batches of at most this many bytes, whatever the length of the texts (a row is never cut)."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -1,7 +1,7 @@
 import pytest
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, shard string, fp string, kept string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, _row string, _digest string, _spans string"
 
 
 def odd_rows():
