@@ -146,6 +146,7 @@ def compact_records(records: DataFrame) -> dict[str, DataFrame]:
     scalars = keyed.groupBy(*k).agg(
         first.alias("_f"),
         F.count(F.lit(1)).alias("_n"),
+        F.min("input_pos").alias("first_pos"),
         blank_to_null(date).alias("date"),
         F.bool_or(F.col("source") == "patient").alias("_patient"),
         F.bool_or(F.coalesce("inactive_overlay", F.lit(False))).alias("inactive_overlay"),
@@ -159,6 +160,7 @@ def compact_records(records: DataFrame) -> dict[str, DataFrame]:
         single("display_value"),
         single("canonical_value"),
         "source_label",
+        "first_pos",
         "date",
         F.when(F.col("_patient"), "patient").otherwise("provider").alias("source"),
         "inactive_overlay",

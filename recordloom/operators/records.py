@@ -187,8 +187,8 @@ def authored_records(authored: DataFrame) -> DataFrame:
 
 
 def overlay_patches(records: DataFrame, patches: DataFrame) -> DataFrame:
-    """Set ``hidden`` and ``inactive_overlay`` from ``patches(target_type, target_id, field, value)``."""
-    keys = ["patient_id"] if "patient_id" in patches.columns else []
+    """Set ``hidden`` and ``inactive_overlay`` from ``patches(target_type, target_id, field, value)``; source and patient narrow it where given."""
+    keys = [c for c in ("source_id", "patient_id") if c in patches.columns]
     flags = patches.groupBy(*keys, F.col("target_type").alias("resource_type"), F.col("target_id").alias("id")).agg(
         F.bool_or((F.col("field") == "patientRecordVisibility") & (F.col("value") == "hidden")).alias("_hidden"),
         F.bool_or((F.col("field") == "patientRecordStatus") & (F.col("value") == "inactive")).alias("_inactive"),
@@ -197,6 +197,12 @@ def overlay_patches(records: DataFrame, patches: DataFrame) -> DataFrame:
     return joined.withColumn("hidden", F.coalesce("_hidden", F.lit(False))).withColumn("inactive_overlay", F.coalesce("_inactive", F.lit(False))).drop("_hidden", "_inactive")
 
 
+def record_identity(resource_type: Column, source_id: Column | None = None, record_id: Column | None = None) -> Column:
+    """A record's name across sources and types: a bare id is unique within one type of one source only."""
+    source = F.col("source_id") if source_id is None else source_id
+    return F.concat_ws(":", F.coalesce(source, F.lit("")), resource_type, F.col("id") if record_id is None else record_id)
+
+
 def visible(records: DataFrame) -> DataFrame:
     return records.filter(~F.coalesce("hidden", F.lit(False)))
 

@@ -7,15 +7,20 @@ concepts and the groups are read by several later stages, so they are saved once
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import record_key, relationship_group_key
+from ..functions.text import relationship_group_key
 from ..operators import bm25, classify, grouping, normalize, priority, ranges, records, relationships, terminology, trends
 from ..operators.state import ASSOCIATION_VERSION
 from ..session import saved
 
 
+#: The code system in which the association tables name the records of each type.
+LINKED_SYSTEMS = {"Condition": "icd10cm", "Observation": "loinc", "MedicationRequest": "rxnorm"}
+
+
 @dataclass
 class Terminology:
     """Tables the pipeline joins against, each a DataFrame (see the README for their columns)."""
@@ -71,18 +76,19 @@ def concept_groups(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     gid = F.concat(F.lower("resource_type"), F.lit("-"), named_id(F.col("name")))
     rows = named.withColumns({"group_id": gid, "bucket": records.known_category_bucket(F.col("resource_type"), F.col("category"), F.col("category_code")), "_n": norm_text(F.col("name"))})
     groups = rows.groupBy("patient_id", "group_id").agg(
-        F.min("resource_type").alias("resource_type"), F.min("name").alias("name"), grouping.bucket_agreement().alias("bucket"), F.min("confidence").alias("confidence"), F.bool_or("fallback").alias("fallback"),
+        F.min("resource_type").alias("resource_type"), F.min("name").alias("name"), F.min("first_pos").alias("group_pos"), grouping.bucket_agreement().alias("bucket"), F.min("confidence").alias("confidence"), F.bool_or("fallback").alias("fallback"),
         F.min_by(F.struct("canonical_system", "canonical_code"), F.when(F.col("canonical_code").isNotNull(), F.col("compact_id"))).alias("_c"),
     )
     keyed = groups.withColumn("group_key", relationship_group_key(F.array("resource_type"), F.col("group_id")))
-    return keyed.select("patient_id", "group_id", "group_key", "resource_type", "name", "bucket", "confidence", "fallback", "_c.*"), rows.select("patient_id", "group_id", "compact_id")
+    return keyed.select("patient_id", "group_id", "group_key", "group_pos", "resource_type", "name", "bucket", "confidence", "fallback", "_c.*"), rows.select("patient_id", "group_id", "compact_id")
 
 
 def summarise(resources: DataFrame, patients: DataFrame, patches: DataFrame, t: Terminology, now_ms: int, size: int = priority.SECTION_SIZE) -> Summary:
     """``resources`` in the record model, ``patients(patient_id, sex, age)``, ``patches`` as for the overlay."""
     typed = normalize.typed_summary(resources)
     rows = saved(records.overlay_patches(records.unify(typed), patches))
-    compact = grouping.compact_records(rows)
+    # From here on a record is named by source, type and id; members, measurements and names all use that.
+    compact = grouping.compact_records(rows.withColumn("id", records.record_identity(F.col("resource_type"))))
     groups, group_concepts = concept_groups(named_concepts(compact["concepts"], compact["values"], t))
     groups = saved(groups)
     members = saved(grouping.expand_members(group_concepts, compact["members"]))
@@ -90,8 +96,10 @@ def summarise(resources: DataFrame, patients: DataFrame, patches: DataFrame, t:
     # Links: references between records, then associations between groups.
     edges = relationships.explicit_edges(resources)
     g = ["patient_id", "group_id"]
-    keyed = groups.select(*g, "group_key", "resource_type", "name", "canonical_code")
-    conditions = keyed.filter("resource_type = 'Condition'").select("patient_id", "group_key", F.lit(0).alias("group_pos"), F.col("canonical_code").alias("code"), "name")
+    # A code counts only in the system that the associations of its type are written in.
+    in_system = reduce(lambda acc, pair: acc.when((F.col("resource_type") == pair[0]) & (F.col("canonical_system") == pair[1]), F.col("canonical_code")), LINKED_SYSTEMS.items(), F.when(F.lit(False), F.lit(None).cast("string")))
+    keyed = groups.select(*g, "group_key", "group_pos", "resource_type", "name", in_system.alias("canonical_code"))
+    conditions = keyed.filter("resource_type = 'Condition'").select("patient_id", "group_key", "group_pos", F.col("canonical_code").alias("code"), "name")
     lab_groups = keyed.filter("resource_type = 'Observation' and canonical_code is not null").select("patient_id", F.col("group_key").alias("source_group"), F.col("canonical_code").alias("code"))
     med_groups = keyed.filter("resource_type = 'MedicationRequest' and canonical_code is not null").select(
         "patient_id", F.col("group_key").alias("source_group"), F.col("canonical_code").alias("code"), F.array().cast("array<string>").alias("given")
@@ -105,7 +113,7 @@ def summarise(resources: DataFrame, patients: DataFrame, patches: DataFrame, t:
     )
 
     # Measurements of a group: trend, reference range, out-of-range flag, recency.
-    obs = typed["Observation"].select("patient_id", F.col("id").alias("record_id"), "input_pos", "value", F.col("effective_date").alias("date"), "reference_range", "coding_keys")
+    obs = typed["Observation"].select("patient_id", records.record_identity(F.lit("Observation")).alias("record_id"), "input_pos", "value", F.col("effective_date").alias("date"), "reference_range", "coding_keys")
     measured = members.join(obs, ["patient_id", "record_id"])
     points = measured.select(*g, F.col("value.numeric_value").alias("value"), F.coalesce("value.ucum_code", "value.display_unit").alias("unit"), "date", "input_pos")
     with_ranges = measured.select(*g, "date", "input_pos", "reference_range.low", "reference_range.high", "reference_range.unit", "reference_range.ucum_code", "reference_range.text")
@@ -123,7 +131,7 @@ def summarise(resources: DataFrame, patients: DataFrame, patches: DataFrame, t:
         groups.withColumn("section", section).join(weights, ["patient_id", "group_key"], "left").join(inherited, ["patient_id", "group_key"], "left").join(flags, g, "left").join(recent, g, "left")
     )
     ranked = priority.top_items(scored, ["patient_id", "resource_type"], "group_id", size=size)
-    record_names = members.join(groups.select(*g, "resource_type", "name"), g).select("patient_id", record_key(F.col("resource_type"), F.col("record_id")).alias("record_key"), "group_id", "name")
+    record_names = members.join(groups.select(*g, "resource_type", "name"), g).select("patient_id", "record_id", "group_id", "name")
     return Summary(rows, groups, members, edges, group_edges, trends.detect_trends(points, g), flags, ranked, {"ranges": bounds, "scored": scored, "record_names": record_names})
 
 
