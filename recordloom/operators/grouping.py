@@ -18,6 +18,7 @@ from ..functions.text import (
     sorted_distinct,
     title_case_parts,
 )
+from . import classify
 from .records import known_category_bucket, record_bucket, status_kind, status_rank, visible
 
 STRINGS = "array<string>"
@@ -402,6 +403,23 @@ def group_status(member_records: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by("_kind", status_rank(F.col("_kind"))).alias("status_kind"))
 
 
+def group_order(mode: str = "count") -> list[Column]:
+    """Sort order of a group list by ``n_records``, ``name`` or ``latest`` date; undated groups come last."""
+    first = {
+        "count": [F.col("n_records").desc()],
+        "name": [],
+        "newest": [F.coalesce("latest", F.lit("")).desc()],
+        "oldest": [F.col("latest").asc_nulls_last()],
+    }[mode]
+    return [*first, F.col("name")]
+
+
+def visit_class_counts(visits: DataFrame, keys: list[str]) -> DataFrame:
+    """Number of visits per class; ``chosen_class`` of a person goes before the one that the words give."""
+    label = F.coalesce("chosen_class", classify.classify_visit(F.col("words"))["label"])
+    return visits.groupBy(*keys, label.alias("visit_class")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def category_counts(df: DataFrame, column: str, categories: list[str], keys: list[str] | None = None) -> DataFrame:
     """Count per category as columns, zero where a category does not occur."""
     return df.groupBy(*(keys or [])).agg(*[F.count_if(F.col(column) == c).alias(c) for c in categories])

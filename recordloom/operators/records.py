@@ -207,6 +207,12 @@ def visible(records: DataFrame) -> DataFrame:
     return records.filter(~F.coalesce("hidden", F.lit(False)))
 
 
+def record_order(mode: str = "newest") -> list[Column]:
+    """Sort order of a record list: by date, then label and id; undated records come last either way."""
+    dated = F.coalesce("date", F.lit("")).desc() if mode == "newest" else blank_to_null(F.col("date")).asc_nulls_last()
+    return [dated, F.col("source_label"), F.col("id")]
+
+
 def status_kind(resource_type: Column, status: Column) -> Column:
     normal = norm_status(status)
     out = F.when(F.lit(False), F.lit("unknown"))

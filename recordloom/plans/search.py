@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geometry
 from ..functions import text as T
-from ..operators import bm25, classify, directory
+from ..operators import bm25, classify, directory, grouping
 from .registry import Tables, pick, register, sql_pick, text
 
 STOP_SQL = "[" + ",".join(f"'{w}'" for w in bm25.STOP_WORDS) + "]"
@@ -158,15 +158,22 @@ def visit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", classify.classify_visit(T.norm_text(F.col("phrase")))["label"].alias("label"))
 
 
-@register(
-    "visit_words_in_texts",
-    r"""
-WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents)
-SELECT doc_id, CASE WHEN t = '' THEN 'unknown' WHEN regexp_matches(t, '\b(telehealth|telemedicine|virtual|video visit|telephone)\b') THEN 'telehealth' WHEN regexp_matches(t, '\burgent care\b') THEN 'urgent_care'
+VISIT_CLASS_SQL = r"""CASE WHEN t = '' THEN 'unknown' WHEN regexp_matches(t, '\b(telehealth|telemedicine|virtual|video visit|telephone)\b') THEN 'telehealth' WHEN regexp_matches(t, '\burgent care\b') THEN 'urgent_care'
   WHEN regexp_matches(t, '\b(emergency|ed|emer)\b') THEN 'emergency' WHEN regexp_matches(t, '\b(inpatient|hospital stay|hospitalization|imp)\b') THEN 'inpatient' WHEN regexp_matches(t, '\b(home health|home visit|hh)\b') THEN 'home_health'
-  WHEN regexp_matches(t, '\b(surgery|surgical|procedure|operative)\b') THEN 'procedure' WHEN regexp_matches(t, '\b(outpatient|ambulatory|office visit|clinic|amb)\b') THEN 'outpatient' ELSE 'unknown' END AS label FROM d
-""",
+  WHEN regexp_matches(t, '\b(surgery|surgical|procedure|operative)\b') THEN 'procedure' WHEN regexp_matches(t, '\b(outpatient|ambulatory|office visit|clinic|amb)\b') THEN 'outpatient' ELSE 'unknown' END"""
+VISIT_TEXTS_SQL = "d AS (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents)"
+
+
+@register(
+    "visit_class_counts",
+    f"WITH {VISIT_TEXTS_SQL} SELECT source, coalesce(CASE WHEN doc_id % 9 = 0 THEN 'inpatient' END, {VISIT_CLASS_SQL}) AS visit_class, count(*) AS n FROM d GROUP BY ALL",
 )
+def visit_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    visits = Tables(spark, sf_dir).heavy("documents").select("source", T.norm_text(F.col("text")).alias("words"), F.when(F.col("doc_id") % 9 == 0, "inpatient").alias("chosen_class"))
+    return grouping.visit_class_counts(visits, ["source"])
+
+
+@register("visit_words_in_texts", f"WITH {VISIT_TEXTS_SQL} SELECT doc_id, {VISIT_CLASS_SQL} AS label FROM d")
 def visit_words_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).heavy("documents").select("doc_id", classify.classify_visit(T.norm_text(F.col("text")))["label"].alias("label"))
 

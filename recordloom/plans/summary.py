@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import model_output, priority, relationships, terminology
+from ..operators import grouping, model_output, priority, records, relationships, terminology
 from ..session import ensure_checkpoint_dir
 from ..streaming import incremental
 from .groups import PART_SQL, part_records
@@ -412,7 +412,7 @@ def sorted_groups(t: Tables) -> DataFrame:
 
 @register("groups_by_size", "SELECT user_id AS patient_id, event_type AS name, count(*) AS n_records FROM events GROUP BY ALL ORDER BY n_records DESC, name, patient_id")
 def groups_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sorted_groups(Tables(spark, sf_dir)).orderBy(F.col("n_records").desc(), "name", "patient_id").select("patient_id", "name", "n_records")
+    return sorted_groups(Tables(spark, sf_dir)).orderBy(*grouping.group_order("count"), "patient_id").select("patient_id", "name", "n_records")
 
 
 @register(
@@ -420,13 +420,37 @@ def groups_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT user_id AS patient_id, event_type AS name, max(CASE WHEN user_id % 9 <> 0 THEN {EVENT_DATE_SQL} END) AS latest FROM events GROUP BY ALL ORDER BY latest ASC NULLS LAST, name, patient_id",
 )
 def groups_oldest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sorted_groups(Tables(spark, sf_dir)).orderBy(F.col("latest").asc_nulls_last(), "name", "patient_id").select("patient_id", "name", "latest")
+    return sorted_groups(Tables(spark, sf_dir)).orderBy(*grouping.group_order("oldest"), "patient_id").select("patient_id", "name", "latest")
 
 
-@register("records_newest_first", f"SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN {EVENT_DATE_SQL} END AS date FROM events ORDER BY coalesce(date, '') DESC, event_id")
+@register("groups_by_name", "SELECT user_id AS patient_id, event_type AS name FROM events GROUP BY ALL ORDER BY name, patient_id")
+def groups_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_groups(Tables(spark, sf_dir)).orderBy(*grouping.group_order("name"), "patient_id").select("patient_id", "name")
+
+
+@register(
+    "groups_newest_first",
+    f"SELECT user_id AS patient_id, event_type AS name, max(CASE WHEN user_id % 9 <> 0 THEN {EVENT_DATE_SQL} END) AS latest FROM events GROUP BY ALL ORDER BY coalesce(latest, '') DESC, name, patient_id",
+)
+def groups_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_groups(Tables(spark, sf_dir)).orderBy(*grouping.group_order("newest"), "patient_id").select("patient_id", "name", "latest")
+
+
+def dated_events(t: Tables) -> DataFrame:
+    return t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("source_label"), F.when(F.col("event_id") % 50 != 0, iso_seconds("ts")).alias("date"))
+
+
+@register(
+    "records_oldest_first",
+    f"SELECT event_id AS id, event_type AS source_label, CASE WHEN event_id % 50 <> 0 THEN {EVENT_DATE_SQL} END AS date FROM events ORDER BY date ASC NULLS LAST, event_type, event_id",
+)
+def records_oldest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dated_events(Tables(spark, sf_dir)).orderBy(*records.record_order("oldest"))
+
+
+@register("records_newest_first", f"SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN {EVENT_DATE_SQL} END AS date FROM events ORDER BY coalesce(date, '') DESC, event_type, event_id")
 def records_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Tables(spark, sf_dir).events.select("event_id", F.when(F.col("event_id") % 50 != 0, iso_seconds("ts")).alias("date"))
-    return rows.orderBy(F.coalesce("date", F.lit("")).desc(), "event_id")
+    return dated_events(Tables(spark, sf_dir)).orderBy(*records.record_order("newest")).select(F.col("id").alias("event_id"), "date")
 
 
 @register("scores_descending", f"WITH {SCORE_SQL} SELECT c_custkey, round(0.7 * w + 0.3 * boost, 9)::DOUBLE AS total FROM sc ORDER BY total DESC, c_custkey")
