@@ -196,13 +196,12 @@ def _provider(df: DataFrame, *cols: Column) -> DataFrame:
 def medications(resources: DataFrame) -> DataFrame:
     """Medication requests, with the referenced medication of the same source looked up."""
     requests = _of_type(resources, "MedicationRequest").withColumn("_ref", J.field(_body(), "medicationReference.reference", "string"))
-    products = resource_index(resources, ["Medication"]).select(
-        "source_id",
-        F.col("key").alias("_ref"),
-        J.concept(_body(), "code").alias("_product"),
-        J.concept(_body(), "form").alias("_form"),
-        J.field(_body(), "ingredient", f"array<struct<itemCodeableConcept:{CONCEPT_TYPE},itemReference:struct<reference:string,display:string>>>").alias("_ingredient"),
-    )
+    fields = {
+        "_product": J.concept(_body(), "code"),
+        "_form": J.concept(_body(), "form"),
+        "_ingredient": J.field(_body(), "ingredient", f"array<struct<itemCodeableConcept:{CONCEPT_TYPE},itemReference:struct<reference:string,display:string>>>"),
+    }
+    products = resource_index(resources, ["Medication"], fields).select("source_id", F.col("key").alias("_ref"), *fields)
     df = requests.join(products, ["source_id", "_ref"], "left").withColumns(
         {
             "_own": J.concept(_body(), "medicationCodeableConcept"),
@@ -327,11 +326,8 @@ def patient_name(body: Column) -> Column:
 def encounters(resources: DataFrame) -> DataFrame:
     """Encounters with the name of the referenced provider of the same source."""
     visits = _of_type(resources, "Encounter").withColumn("_ref", J.field(_body(), "serviceProvider.reference", "string"))
-    named = resource_index(resources, ["Organization", "Practitioner", "Location"]).select(
-        "source_id",
-        F.col("key").alias("_ref"),
-        F.when(F.col("resource_type") == "Practitioner", practitioner_name(_body())).otherwise(J.text(_body(), "name")).alias("_provider_name"),
-    )
+    name = F.when(F.col("resource_type") == "Practitioner", practitioner_name(_body())).otherwise(J.text(_body(), "name"))
+    named = resource_index(resources, ["Organization", "Practitioner", "Location"], {"_provider_name": name}).select("source_id", F.col("key").alias("_ref"), "_provider_name")
     class_label = F.coalesce(blank_to_null(J.field(_body(), "class.display", "string")), J.field(_body(), "class.code", "string"))
     df = visits.join(named, ["source_id", "_ref"], "left").withColumns({"_types": J.concepts(_body(), "type"), "_reasons": J.concepts(_body(), "reasonCode"), "_class": class_label})
     types, reasons, class_label = F.col("_types"), F.col("_reasons"), F.col("_class")

@@ -24,16 +24,18 @@ DISPLAY_REFERENCES = [
 ]
 
 
-def resource_index(resources: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """``(source_id, key, resource_type, id, body)`` with ``key = Type/id``; the last of equal keys wins."""
+def resource_index(resources: DataFrame, types: list[str] | None = None, fields: dict[str, Column] | None = None) -> DataFrame:
+    """``(source_id, key, resource_type, id)`` and ``fields`` (``body`` if none are named) with ``key = Type/id``; the last of equal keys wins.
+
+    The fields are read before the rows are grouped, so whole bodies are not exchanged for the sake of a few of their values.
+    """
     rows = resources.filter("id is not null and id <> '' and resource_type is not null")
     if types:
         rows = rows.filter(F.col("resource_type").isin(*types))
-    return (
-        rows.groupBy("source_id", "resource_type", "id")
-        .agg(F.max_by("body", "input_pos").alias("body"))
-        .withColumn("key", F.concat_ws("/", "resource_type", "id"))
-    )
+    values = F.struct(*[c.alias(name) for name, c in (fields or {"body": F.col("body")}).items()])
+    small = rows.select("source_id", "resource_type", "id", "input_pos", values.alias("_values"))
+    last = small.groupBy("source_id", "resource_type", "id").agg(F.max_by("_values", "input_pos").alias("_values"))
+    return last.select("source_id", F.concat_ws("/", "resource_type", "id").alias("key"), "resource_type", "id", "_values.*")
 
 
 def resolve_references(refs: DataFrame, index: DataFrame, base_url: Column | None = None) -> DataFrame:

@@ -149,7 +149,8 @@ def whole_word_candidates(texts: DataFrame, phrases: DataFrame, keys: list[str],
     rare = extreme_row(spread.join(freq, "_token").select("_phrase", "_df", (-F.length("_token")).alias("_len"), "_token"), ["_phrase"], ["_df", "_len", "_token"], "min").select("_phrase", "_token")
     words = texts.select(*keys, F.explode(token(F.col(text))).alias("_token"))
     hits = words.join(rare, "_token").select(*keys, "_phrase").distinct()
-    at_border = F.concat(F.lit(r"(?:^|[^a-z0-9])\Q"), F.col("_phrase"), F.lit(r"\E(?:[^a-z0-9]|$)"))
+    quoted = F.replace(F.col("_phrase"), F.lit(r"\E"), F.lit(r"\E\\E\Q"))  # a phrase may hold the mark that ends a quotation
+    at_border = F.concat(F.lit(r"(?:^|[^a-z0-9])\Q"), quoted, F.lit(r"\E(?:[^a-z0-9]|$)"))
     # The text itself only meets its few candidates; ``keys`` name one text each.
     verified = hits.join(texts.select(*keys, F.col(text).alias("_text") if text not in keys else F.lit(None).alias("_unused")), keys)
     whole = F.col("_text") if text not in keys else F.col(text)
