@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir, read_table
 
@@ -20,6 +20,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The ``rows`` rows with the lowest hashes of ``keys``, or all if there are fewer.
+
+    Hashes above twice the share that is wanted are dropped where they are read, so the task that sorts gets about twice
+    ``rows`` however many there are.
+    """
+    share = min(1.0, 2 * rows / max(1, df.count()))
+    hashed = F.xxhash64(*keys)
+    low = df.where(hashed < F.lit(int(-(2**63) + share * (2**64 - 1024)))) if share < 1 else df
+    return low.orderBy(hashed, *keys).limit(rows)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or the first longer one that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

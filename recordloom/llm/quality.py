@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
+from .common import hashed_sample, stored
 
 #: Labelled rows in the fit at most; chosen by a hash of the id.
 FIT_ROWS = 20_000
@@ -86,8 +86,9 @@ class TextModel:
 
 def fit_text_model(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> TextModel:
     """Fit on at most ``rows`` labelled rows, whose features (not texts) come to the driver."""
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    # The limit above bounds what is broadcast.
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
+    chosen = hashed_sample(chosen, rows, "doc_id", "y")
+    # The sample's size bounds what is broadcast.
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", text_features(F.col("text")).alias("x")).collect()
     y = np.array([r.y for r in sample], float)
     if not len(y) or y.min() == y.max():

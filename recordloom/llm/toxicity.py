@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches
+from .common import hashed_sample, small_batches
 
 DECAY, SPAN = 0.6, 6
 #: Letters other than a-z share the codes behind them.
@@ -191,8 +191,8 @@ def fit_machine(sentences: list[tuple[int, int, list[str]]]) -> Machine | None:
 def training_labels(labels: DataFrame) -> DataFrame:
     """At most ``FIT_TOXIC`` + ``FIT_CLEAN`` labelled ids of the part that is not held out."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("toxic")]
-    return own.where("toxic = 1").orderBy(*order).limit(FIT_TOXIC).union(own.where("toxic = 0").orderBy(*order).limit(FIT_CLEAN))
+    toxic, clean = own.where("toxic = 1"), own.where("toxic = 0")
+    return hashed_sample(toxic, FIT_TOXIC, "doc_id", "toxic").union(hashed_sample(clean, FIT_CLEAN, "doc_id", "toxic"))
 
 
 def held_out(doc_id: Column) -> Column:
