@@ -7,6 +7,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -37,7 +39,13 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     shares = F.lit([n / slots for n in range(1, slots)]).cast("array<double>")
     spans = counts.groupBy(*keys).agg(F.sum("_c").alias("n"), F.percentile_approx(value, shares, F.lit(20 * slots)).alias("_borders"))
-    placed = counts.join(spans.select(*keys, "_borders"), keys).withColumn("_slot", F.size(F.filter("_borders", lambda b: b < F.col(value)))).drop("_borders")
+    # The slot of a value is the number of borders below it: a coarse search over every ``step``-th border, then a fine one.
+    step = math.isqrt(slots)
+    coarse = F.filter("_borders", lambda b, n: n % step == 0)
+    searched = counts.join(spans.select(*keys, "_borders", coarse.alias("_coarse")), keys)
+    searched = searched.withColumn("_from", F.greatest(F.size(F.filter("_coarse", lambda b: b < F.col(value))) - 1, F.lit(0)) * step)
+    fine = F.filter(F.slice("_borders", F.col("_from") + 1, step), lambda b: b < F.col(value))
+    placed = searched.withColumn("_slot", F.col("_from") + F.size(fine)).drop("_borders", "_coarse", "_from")
     per_slot = placed.groupBy(*keys, "_slot").agg(F.sum("_c").alias("_slot_n"))
     before = F.sum("_slot_n").over(Window.partitionBy(*keys).orderBy("_slot")) - F.col("_slot_n")
     starts = per_slot.withColumn("_before", before)
