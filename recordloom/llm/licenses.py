@@ -1,7 +1,8 @@
 """License scans by sentence rules, with built-in functions only.
 
-A text is cut into sentences, the sentences are normalised (small letters and digits, single spaces), and known license
-sentences become identifiers. Ordered rules are then matched against the sequence of identifiers; what a rule matches is
+A text is cut at marks and line ends into pieces, the pieces are normalised (small letters and digits, single spaces), and known
+license sentences become identifiers. A sentence may go on over single line ends, with or without comment marks, and over ':'
+and ';'; it never goes over a blank line or '.', '!' or '?' before white space. Ordered rules are then matched against the sequence of identifiers; what a rule matches is
 taken out before the next rule is tried, so a whole license counts before its parts do.
 
 Results for odd input: a null or empty text has no sentences and no licenses; repeated rows are scanned alike; a known sentence
@@ -75,17 +76,23 @@ RULES = [
     ("CC-BY-SA-4.0", "CcBySa4Ref "),
     ("CC-BY-4.0", "CcBy4Ref "),
 ]
-#: Where a sentence ends: a line end, or a mark before white space.
+#: Where a piece ends: a line end, or a mark before white space. The SQL knows sentences of one piece only.
 BREAK = r"[.!?;:]*[ \t\r]*\n\s*|[.!?;:]+[ \t\r]+"
 ODD = "[^a-z0-9]+"
+#: Where a sentence ends for certain, and where it ends unless a known one goes on: H and S in a text of small letters.
+HARD = r"(?<![.!?;:])(?=[;:]*+[.!?])[.!?;:]++(?=[ \t\r\n])|\n[^a-z0-9\n]*+(?=\n)"
+SOFT = r"(?<![.!?;:])[;:]++(?=[ \t\r\n])|\n"
+#: A known sentence of one or more whole pieces, longest first.
+KNOWN = "(?<![a-z0-9 ])(" + "|".join(s.replace(" ", "[ S]") for s in sorted(SENTENCES, key=len, reverse=True)) + ")(?![a-z0-9 ])"
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     lowered = F.lower(F.coalesce(text.cast("string"), F.lit("")))
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    cut = F.transform(F.split(lowered, BREAK), lambda s: F.trim(F.regexp_replace(s, ODD, " ")))
-    ids = F.filter(F.transform(cut, lambda s: F.element_at(known, s)), lambda i: i.isNotNull())
+    pieces = F.regexp_replace(F.regexp_replace(F.regexp_replace(lowered, HARD, "H"), SOFT, "S"), "[^a-z0-9HS]+", " ")
+    pieces = F.trim(F.regexp_replace(F.regexp_replace(pieces, "(?<![ S])[ S]*+H[ SH]*+", "H"), "(?<! ) ?S[ S]*+", "S"))
+    ids = F.transform(F.regexp_extract_all(pieces, F.lit(KNOWN), 1), lambda s: F.element_at(known, F.translate(s, "S", " ")))
     worth_cutting = reduce(or_, [F.contains(lowered, F.lit(t)) for t in TRIGGERS])
     return F.when(worth_cutting, ids).otherwise(F.array().cast("array<string>"))
 
