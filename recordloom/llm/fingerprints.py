@@ -1,8 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, with built-in functions only.
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so the sketch of a union is the union of sketches
-and the share of one sketch found in another estimates containment, however unequal the documents. A text whose shingles all
-lie above the threshold keeps its lowest one, so that only texts without words have an empty sketch.
+and the share of one sketch found in another estimates containment, however unequal the documents. A sketch also keeps the
+``least`` lowest hashes, whatever the threshold, so a text with fewer shingles than that is kept whole. Two sketches are compared
+below the smaller of their bounds, where both are complete. The report keeps ``LEAST`` and compares a text that is kept whole
+with all shingles of a larger one, so that its likeness is exact.
 
 Results for odd input: a null text counts as empty; texts of fewer than five words are one shingle; of two empty sketches the
 likeness is 1, of an empty and another 0; documents follow each other by descending doc_id, null ids last and ties by a hash of
@@ -18,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SHINGLE_WORDS = 5
 FRACTION = 1 / 8
+#: Hashes that the registered query keeps of any text.
+LEAST = 64
 #: Documents per bucket of neighbours, and buckets at most: their bounds pass through the driver.
 BUCKET_ROWS, BUCKETS = 2000, 1 << 16
 LOWEST = -(1 << 63)
@@ -28,37 +32,62 @@ def once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def sketch(text: Column, fraction: float = FRACTION) -> Column:
-    """Sorted distinct hashes below the threshold, as numbers that order like the unsigned hashes."""
-    limit = LOWEST + int(fraction * (1 << 64))
+def shingles(text: Column) -> Column:
+    """Hashes of all shingles, as numbers that order like the unsigned hashes."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
     numbers = F.transform(words, lambda w: F.xxhash64(w))
 
     def hashes(n: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size(n) - (SHINGLE_WORDS - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(n, i, SHINGLE_WORDS)).bitwiseXOR(F.lit(LOWEST)))
 
+    return once(numbers, lambda n: F.when(F.size(n) > 0, hashes(n)).otherwise(F.array().cast("array<long>")))
+
+
+def sketch(text: Column, fraction: float = FRACTION, least: int = 1) -> Column:
+    """Sorted distinct hashes below the threshold, and the ``least`` lowest ones in any case."""
+    limit = LOWEST + int(fraction * (1 << 64))
+
     def kept(all_hashes: Column) -> Column:
-        low = F.filter(all_hashes, lambda h: h < F.lit(limit))
-        return once(low, lambda found: F.when(F.size(found) > 0, F.sort_array(F.array_distinct(found))).otherwise(F.array(F.array_min(all_hashes))))
+        low = F.array_distinct(F.filter(all_hashes, lambda h: h < F.lit(limit)))
+        return once(low, lambda found: F.when(F.size(found) >= least, F.sort_array(found)).otherwise(F.slice(F.sort_array(F.array_distinct(all_hashes)), 1, least)))
 
-    return once(numbers, lambda n: F.when(F.size(n) > 0, once(hashes(n), kept)).otherwise(F.array().cast("array<long>")))
+    return once(shingles(text), kept)
 
 
-def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+def merged(a: Column, b: Column, fraction: float = FRACTION, least: int = 1) -> Column:
     """The sketch of both texts' shingles together."""
     limit = LOWEST + int(fraction * (1 << 64))
 
     def kept(both: Column) -> Column:
         low = F.filter(both, lambda h: h < F.lit(limit))
-        return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
+        return F.when(F.size(low) >= least, low).otherwise(F.slice(both, 1, least))
 
     return once(F.sort_array(F.array_union(a, b)), kept)
 
 
-def containment(a: Column, b: Column) -> Column:
+def containment(a: Column, b: Column, fraction: float = FRACTION, least: int = 1) -> Column:
     """Estimated share of the smaller text's shingles that the other has."""
-    smaller = F.least(F.size(a), F.size(b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(smaller == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / smaller)
+    limit = LOWEST + int(fraction * (1 << 64))
+
+    def bound(s: Column) -> Column:
+        return F.when(F.size(s) < least, F.lit(-LOWEST - 1)).otherwise(F.greatest(F.lit(limit - 1), F.try_element_at(s, F.lit(-1))))
+
+    def below(s: Column, shared: Column) -> Column:
+        return F.when(F.try_element_at(s, F.lit(-1)) > shared, F.filter(s, lambda h: h <= shared)).otherwise(s)
+
+    def share(x: Column, y: Column) -> Column:
+        smaller = F.least(F.size(x), F.size(y))
+        return F.when(smaller == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / smaller)
+
+    pair = once(F.least(bound(a), bound(b)), lambda shared: F.struct(below(a, shared).alias("a"), below(b, shared).alias("b")))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(once(pair, lambda p: share(p["a"], p["b"])))
+
+
+def likeness(a: Column, text_a: Column, b: Column, text_b: Column, least: int) -> Column:
+    """``containment``; of a text kept whole and one that is not, counted over all shingles of the latter."""
+    whole = lambda s: (F.size(s) > 0) & (F.size(s) < least)
+    inside = lambda s, text: F.size(F.array_intersect(s, shingles(text))) / F.size(s)
+    return F.when(whole(a) & (F.size(b) >= least), inside(a, text_b)).when(whole(b) & (F.size(a) >= least), inside(b, text_a)).otherwise(containment(a, b, least=least))
 
 
 def written(sketched: Column) -> Column:
@@ -97,20 +126,20 @@ def with_next(docs: DataFrame, columns: list[str], prefix: str = "next_") -> Dat
     return led.where(~F.col("_guest")).drop("_guest", "_bucket")
 
 
-def fingerprint_report(docs: DataFrame) -> DataFrame:
+def fingerprint_report(docs: DataFrame, least: int = 1) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness to it and to the next document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), sketch(text).alias("sketch"), F.xxhash64(text).alias("_order"))
+    rows = docs.select("doc_id", text.alias("text"), sketch(text, least=least).alias("sketch"), F.xxhash64(text).alias("_order"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.left("text", F.col("n_chars") - cut), F.left("next_text", cut))
     led = with_next(rows, ["text", "sketch"]).withColumn("n_chars", F.length("text")).withColumn("edited", edited)
-    out = led.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
+    out = led.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited"), least=least).alias("edited_sketch"), "text", "edited", "next_text")
     return out.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         written(F.col("sketch")).alias("fingerprint"),
         written(F.col("edited_sketch")).alias("edited_fingerprint"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        likeness(F.col("sketch"), F.col("text"), F.col("edited_sketch"), F.col("edited"), least).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("text"), F.col("next_sketch"), F.col("next_text"), least).alias("near_next"),
     )

@@ -51,7 +51,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op6_scaled_sketches")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"), fingerprints.LEAST)
 
 
 @register("op7_license_rules", licenses.license_sql())

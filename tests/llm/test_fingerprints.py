@@ -59,3 +59,40 @@ def test_sketches_merge_and_contain(spark):
     row = spark.createDataFrame([(small, large)], "a string, b string").select(P.sketch(F.col("a")).alias("a"), P.sketch(F.col("b")).alias("b"))
     row = row.select(P.containment(F.col("a"), F.col("b")).alias("inside"), (P.merged(F.col("a"), F.col("b")) == F.col("b")).alias("merged"), F.size("a").alias("n")).first()
     assert row.inside == 1.0 and row.merged and row.n > 5
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_short_texts_have_exact_likeness(spark):
+    texts = [" ".join(f"w{n}x{k}" for k in range(size)) for n, size in enumerate([8, 12, 20, 40, 60, 8, 12, 20, 40, 60])]
+    rows = sorted(enumerate(texts), reverse=True)
+    expected = {}
+    for (i, t), (_, following) in zip(rows, rows[1:] + rows[:1], strict=True):
+        cut = len(t) // 3
+        own, other = shingle_set(t), shingle_set(t[: len(t) - cut] + following[:cut])
+        expected[i] = len(own & other) / min(len(own), len(other))
+    report = P.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string"), P.LEAST)
+    assert {r.doc_id: r.near_edited for r in report.collect()} == expected and min(expected.values()) > 0
+
+
+def test_short_texts_inside_long_ones(spark):
+    words = [f"w{k}" for k in range(4000)]
+    short = [" ".join(words[k * 50 : k * 50 + 5 + k % 12]) for k in range(60)]
+    rows = [row for k, t in enumerate(short) for row in [(2 * k, t), (2 * k + 1, " ".join(words))]]
+    report = P.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string"), P.LEAST)
+    assert [r.near_next for r in report.collect()] == [1.0] * len(rows)
+
+
+def test_sketches_of_any_size_merge(spark):
+    texts = ["", *(" ".join(f"{c}{k}" for k in range(n)) for c in "ab" for n in (1, 4, 9, 70, 300, 900))]
+    rows = [(a, b) for a in texts for b in texts]
+    of = lambda c: P.sketch(F.col(c), least=P.LEAST)
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", of("a").alias("sa"), of("b").alias("sb"), P.shingles(F.col("a")).alias("ha"), P.shingles(F.col("b")).alias("hb"))
+    for r in df.select("*", P.merged(F.col("sa"), F.col("sb"), least=P.LEAST).alias("m"), P.containment(F.col("sa"), F.col("sb"), least=P.LEAST).alias("c")).collect():
+        both = sorted({*r.ha, *r.hb})
+        assert r.m == both[: max(P.LEAST, sum(h < -(1 << 63) + (1 << 61) for h in both))]
+        assert r.a[:1] == r.b[:1] != "" or r.c == (1.0 if r.a == r.b else 0.0)
+        assert r.a != r.b or r.c == 1.0
