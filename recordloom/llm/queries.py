@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chats, decontamination, fingerprints, licenses, quality, secrets, sharding, simhash, substrings, toxicity
+from . import bpe, chats, decontamination, fingerprints, licenses, quality, secrets, sharding, simhash, spelling, substrings, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(table(spark, sf_dir, "documents"))
 
 
+@register("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_report(table(spark, sf_dir, "documents"))
+
+
 @register("op12_chat_repair")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.repair_report(table(spark, sf_dir, "conversations"))
