@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chats, decontamination, fingerprints, licenses, quality, secrets, sharding, simhash, spelling, substrings, toxicity
+from . import bpe, chats, decontamination, fingerprints, licenses, oddsketch, quality, secrets, sharding, simhash, spelling, substrings, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_chat_repair")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.repair_report(table(spark, sf_dir, "conversations"))
+
+
+@register("op13_odd_sketch_groups")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.duplicates_report(table(spark, sf_dir, "documents"))
