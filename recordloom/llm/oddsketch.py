@@ -1,14 +1,14 @@
 """Near duplicates by MinHash bands, odd sketches and a check on full shingle sets.
 
-Documents with equal sets of word shingles are one set from the start. Each set has SAMPLES MinHash samples. The first ones are cut in BANDS
-bands; sets that share a band are candidates (a link at 0.8 is in no band with probability 5e-8). All samples are folded into
-an odd sketch: a bitmap in which every (sample, value) flips one bit. The bits in which two sketches differ count the samples in which the
-sets differ, so ``1 + BITS / (4 * SAMPLES) * ln(1 - 2 * differing / BITS)`` estimates their likeness, most precisely where it is high.
-An estimate more than SLACK below the threshold rules a pair out (a link does so with a probability below 1e-10); every other
-pair that matters is decided on the full sets.
-
-A pair matters while its sets are in different components. First every band's set of lowest hash is its hub, and each set is checked with the
-hub that it meets most often: a large group of near copies falls together in a few linear rounds. What is left apart in a band
+Documents with equal sets of word shingles are one set from the start. BANDS times BAND_ROWS MinHash samples are cut in bands; sets that
+share a band are candidates (a link at 0.8 is in no band with probability 5e-8). The bottom SKETCHED samples of a set, under one hash
+function, are folded into an odd sketch: a bitmap in which every sample flips one bit. The bits in which two sketches differ are
+at most the samples in which they differ, and hardly fewer where likeness is high. A set of up to SKETCHED shingles
+is sampled whole, so for two of them more differing bits than a ninth of both sizes rule a link out for certain; for larger
+sets the bound lies MARGIN standard deviations higher. Every other pair that matters is decided on the full sets.
+
+A pair matters while its sets are in different components. First every band gets hubs, its sets of lowest hash, and each set is checked with
+the hub that it meets most often: a large group of near copies falls together in linear work. What is left apart in a band
 is compared by sketches: each set outside the band's largest component with all sets of other components. Checked are, per
 set, its best 4, then 16, then 64, ... such mates behind those it has tried, until no set has one left. So no pair is dropped,
 pairs inside a component are never formed, and crowded bands are cut into cells of bounded size.
@@ -20,8 +20,8 @@ results; other columns are not read; an empty table gives an empty result; texts
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +31,15 @@ from .common import small_batches, stored
 from .graphs import components
 
 SHINGLE_WORDS, THRESHOLD_PERCENT = 4, 80
-SAMPLES, BANDS, BAND_ROWS, BITS = 256, 32, 4, 1024
-#: How far an estimate may lie below the threshold: over six standard deviations.
-SLACK = 0.19
-HUB_ROUNDS, FIRST_MATES = 3, 4
+BANDS, BAND_ROWS = 32, 4
+SKETCHED, BITS, MARGIN = 1024, 2048, 6.5
+HUBS, FIRST_MATES = 3, 4
 #: Sets of one role in one cell at most, and comparisons in one vector.
 CELL_ROWS, PAIRS = 2000, 1 << 18
 
 RANDOM = np.random.Generator(np.random.PCG64(13))
-FLIPS = RANDOM.integers(0, 1 << 64, SAMPLES, np.uint64, endpoint=False)
-FACTORS = RANDOM.integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
+FLIPS = RANDOM.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64, endpoint=False)
+FACTORS = RANDOM.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,8 +59,8 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def samples(hashes: np.ndarray) -> np.ndarray:
-    """The MinHash samples of a set that is not empty."""
-    least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
+    """The MinHash samples for the bands of a set that is not empty."""
+    least = np.full(len(FLIPS), np.iinfo(np.uint64).max, np.uint64)
     for low in range(0, len(hashes), 256):
         np.minimum(least, ((hashes[low : low + 256, None] ^ FLIPS) * FACTORS).min(axis=0), out=least)
     return least
@@ -73,27 +72,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
+    rows = least.reshape(BANDS, BAND_ROWS)
     key = np.arange(BANDS, dtype=np.uint64)
     for k in range(BAND_ROWS):
         key = mixed(key * MIX ^ rows[:, k])
     return key.view(np.int64)
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
-    """The bitmap, as words of 64 bits, in which each sample flips the bit that its number and value hash to."""
-    bit = (mixed(least ^ FLIPS[::-1]) % np.uint64(BITS)).astype(np.int64)
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """The bitmap, as words of 64 bits, of the lowest of the sorted hashes."""
+    bit = (mixed(hashes[:SKETCHED]) % np.uint64(BITS)).astype(np.int64)
     odd = (np.bincount(bit, minlength=BITS) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def estimate(differing: int) -> float:
-    """Likeness of two sets whose sketches differ in so many bits."""
-    return 1 + BITS / (4 * SAMPLES) * math.log(max(1 - 2 * differing / BITS, 1e-9))
-
-
-#: Sketches of a link differ in this many bits at most.
-MOST_BITS = max(n for n in range(BITS // 2) if estimate(n) >= THRESHOLD_PERCENT / 100 - SLACK)
+def most_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sketches of a link of sets of these sizes differ in this many bits at most."""
+    shared = THRESHOLD_PERCENT / (100 + THRESHOLD_PERCENT) * (a + b)
+    drawn = np.minimum(1, SKETCHED / np.maximum(a, b))  # the share of both that lies below the lower of their bounds
+    common = shared * drawn
+    spread = np.where(drawn < 1, np.sqrt(np.maximum(common * (1 - common / SKETCHED), SKETCHED / 10)), 0)
+    return np.minimum(a, SKETCHED) + np.minimum(b, SKETCHED) - 2 * common + 2 * MARGIN * spread + 1e-6
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +106,7 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
             sizes.append(len(hashes))
             bands.append(band_keys(least) if len(hashes) else None)
-            sketches.append(odd_sketch(least) if len(hashes) else None)
+            sketches.append(odd_sketch(hashes) if len(hashes) else None)
         lists = [pa.array(x, pa.list_(pa.int64())) for x in (bands, sketches)]
         yield pa.RecordBatch.from_arrays([batch["row"], batch["key"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *lists], ["row", "key", "set", "size", "bands", "sketch"])
 
@@ -126,10 +125,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * THRESHOLD_PERCENT).where(100 * shared >= THRESHOLD_PERCENT * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
-def with_component(members: DataFrame, links: DataFrame) -> DataFrame:
+def merged(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) of all linked sets once ``links`` are added to the components ``known``."""
+    if known is None:
+        return stored(components(links).select(F.col("node").alias("id"), F.col("root").alias("component")), "components")
+    side = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
+    between = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    roots = stored(components(between).select(F.col("node").alias("component"), "root"), "roots")
+    moved = known.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    new = roots.select(F.col("component").alias("id"), F.col("root").alias("component")).join(known.select("id"), "id", "left_anti")
+    return stored(moved.union(new), "components")
+
+
+def with_component(members: DataFrame, known: DataFrame) -> DataFrame:
     """``members`` with the component of ``id``."""
-    roots = components(links).withColumnRenamed("node", "id")
-    return members.join(roots, "id", "left").withColumn("component", F.coalesce("root", "id")).drop("root")
+    return members.join(known.withColumnRenamed("component", "_c"), "id", "left").withColumn("component", F.coalesce("_c", "id")).drop("_c")
 
 
 def still_mixed(members: DataFrame) -> DataFrame:
@@ -139,9 +149,9 @@ def still_mixed(members: DataFrame) -> DataFrame:
 
 
 def hub_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Each set with the hub of another component that it shares most bands with."""
-    hubs = members.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "component")).alias("hub"))
-    met = members.join(hubs.select("band", F.col("hub.id").alias("b"), F.col("hub.component").alias("_c")), "band").where(F.col("component") != F.col("_c"))
+    """Each set with the hub that it shares most bands with."""
+    hubs = members.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id"))["id"].alias("b"))
+    met = members.join(hubs, "band").where(F.col("id") != F.col("b"))
     often = met.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("n"))
     return often.groupBy("a").agg(F.max(F.struct("n", "b"))["b"].alias("b"))
 
@@ -157,7 +167,7 @@ def best_mates(x: dict[str, np.ndarray], y: dict[str, np.ndarray], width: int) -
             differ += np.bitwise_count((own["sketch"][:, word, None] ^ y["sketch"][None, :, word]).view(np.uint64))
         ahead = (differ > own["bits"][:, None]) | ((differ == own["bits"][:, None]) & (y["id"][None, :] > own["mate"][:, None]))
         small, large = np.minimum(own["size"][:, None], y["size"]), np.maximum(own["size"][:, None], y["size"])
-        ok = ahead & (differ <= MOST_BITS) & (own["component"][:, None] != y["component"]) & (small * 100 >= large * THRESHOLD_PERCENT)
+        ok = ahead & (differ <= most_bits(small, large)) & (own["component"][:, None] != y["component"]) & (small * 100 >= large * THRESHOLD_PERCENT)
         a, b = np.nonzero(ok)
         bits, mates = differ[a, b], y["id"][b]
         order = np.lexsort((mates, bits, a))
@@ -214,19 +224,17 @@ def sketch_pairs(members: DataFrame, width: int) -> DataFrame:
     return mates.withColumn("_rank", rank).where(F.col("_rank") <= width).drop("_rank")
 
 
-def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links between ``sets`` (id, size, bands, sketch) that have the components of all links; ``texts`` has the (id, text) of each set."""
-    spark = sets.sparkSession
+def near_components(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, component) of all linked ``sets`` (id, size, bands, sketch); ``texts`` has the (id, text) of each set."""
     banded = sets.select("id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = stored(banded.join(shared, "band", "left_semi"), "bands")
     listed = members.select("id").distinct().join(sets.select("id", "size"), "id").join(texts, "id")
     full = stored(listed.select("id", "size", "text").mapInArrow(shingle_lists, "id long, size long, shingles array<long>"), "sets")
-    links = spark.createDataFrame([], "a long, b long")
-    rows = stored(members.withColumn("component", F.col("id")), "members")
-    for turn in range(HUB_ROUNDS):
-        links = stored(links.union(verified(hub_pairs(rows, turn), full)), "links")
-        rows = stored(still_mixed(with_component(rows.drop("component"), links)), "members")
+    first = reduce(DataFrame.union, [hub_pairs(members, turn) for turn in range(HUBS)])
+    pairs = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    known = merged(None, verified(pairs, full))
+    rows = stored(still_mixed(with_component(members, known)), "members")
     # Of each band the sets outside its largest component look for mates, now and in all later rounds.
     largest = rows.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("_main"))
     scanning = rows.join(largest, "band").withColumn("scans", F.col("component") != F.col("_main")).drop("_main")
@@ -236,13 +244,13 @@ def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
         sketched = rows.join(sets.select("id", "size", "sketch"), "id")
         pairs = stored(sketch_pairs(sketched, width), "pairs")
         if pairs.isEmpty():
-            return links
-        links = stored(links.union(verified(pairs.select("a", "b"), full)), "links")
+            return known
+        known = merged(known, verified(pairs.select("a", "b"), full))
         # A set with a full list may have more mates; the others have tried all of theirs.
         tried = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"), F.max(F.struct("bits", "b")).alias("last")).where(F.col("n") == width)
         moved = rows.drop("bits", "mate", "component").join(tried, "id", "left")
         on = moved.select("id", "band", (F.col("scans") & F.col("last").isNotNull()).alias("scans"), F.coalesce("last.bits", F.lit(-1)).alias("bits"), F.coalesce("last.b", F.lit(-1)).alias("mate"))
-        rows = stored(still_mixed(with_component(on, links)), "members")
+        rows = stored(still_mixed(with_component(on, known)), "members")
         width *= 4
 
 
@@ -255,13 +263,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     known = signed.where("set IS NOT NULL")
     distinct = stored(known.groupBy("set").agg(F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key")).alias("least"), F.min("row").alias("id")), "distinct")
     sets = stored(distinct.join(signed.select(F.col("row").alias("id"), "size", "bands", "sketch"), "id").select("id", "size", "bands", "sketch"), "distinct")
-    links = near_links(sets, rows.select(F.col("row").alias("id"), "text"))
-    # Nodes are ordered by their least key, so the root of a component names it and nothing has to be gathered at a root.
-    node = distinct.select("id", F.struct("least.unnamed", "least.key", "id").alias("node"))
-    ends = links.join(node.select(F.col("id").alias("a"), F.col("node").alias("node_a")), "a").join(node.select(F.col("id").alias("b"), F.col("node").alias("node_b")), "b")
-    roots = components(ends.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-    named = distinct.join(roots.select(F.col("node.id").alias("id"), F.col("root.key").alias("root_key"), F.lit(True).alias("linked")), "id", "left")
-    by_set = named.select("set", F.when(F.col("linked"), F.col("root_key")).otherwise(F.col("least.key")).alias("component_id"), F.lit(True).alias("known"))
+    known = near_components(sets, rows.select(F.col("row").alias("id"), "text"))
+    joined = distinct.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = joined.groupBy("component").agg(F.min("least")["key"].alias("component_id"))
+    by_set = joined.join(least, "component").select("set", "component_id", F.lit(True).alias("known"))
     found = signed.select("key", "set", "size").join(by_set, "set", "left")
     return found.select(F.col("key").alias(key), "size", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
 

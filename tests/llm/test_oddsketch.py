@@ -65,19 +65,22 @@ def test_groups_around_the_threshold_lose_no_link(spark, same, monkeypatch, cell
     rng.shuffle(rows)
     rows = [(n, t) for n, t in enumerate(rows)]
     monkeypatch.setattr(O, "CELL_ROWS", cell)
-    monkeypatch.setattr(O, "HUB_ROUNDS", 1 if cell == 9 else O.HUB_ROUNDS)
+    monkeypatch.setattr(O, "HUBS", 1 if cell == 9 else O.HUBS)
     same(O.duplicates_report(spark.createDataFrame(rows, "doc_id long, text string")), COLUMNS, brute(rows))
 
 
-def test_sketches_estimate_the_likeness():
+def test_sketches_never_rule_a_link_out_and_tell_unlike_sets():
     rng = np.random.Generator(np.random.PCG64(1))
-    for shared, own in ((450, 50), (200, 20), (80, 10), (900, 5), (16, 2)):
+    for shared, a, b in ((450, 50, 50), (16, 2, 2), (900, 5, 5), (800, 200, 0), (1600, 200, 200), (8000, 1000, 1000), (8000, 2000, 0)):
         for _ in range(40):
-            common, a, b = (rng.integers(0, 1 << 63, n, np.uint64) for n in (shared, own, own))
-            sketches = [O.odd_sketch(O.samples(np.r_[common, x])).view(np.uint64) for x in (a, b)]
-            differing = int(np.bitwise_count(sketches[0] ^ sketches[1]).sum())
-            assert abs(O.estimate(differing) - shared / (shared + 2 * own)) < 0.13
-            assert differing <= O.MOST_BITS
+            common, x, y = (rng.integers(0, 1 << 63, n, np.uint64) for n in (shared, a, b))
+            sketches = [O.odd_sketch(np.unique(np.r_[common, own])).view(np.uint64) for own in (x, y)]
+            assert np.bitwise_count(sketches[0] ^ sketches[1]).sum() <= O.most_bits(shared + a, shared + b)
+    for shared, own in ((150, 50), (400, 110), (900, 400)):
+        for _ in range(40):
+            common, x, y = (rng.integers(0, 1 << 63, n, np.uint64) for n in (shared, own, own))
+            sketches = [O.odd_sketch(np.unique(np.r_[common, z])).view(np.uint64) for z in (x, y)]
+            assert np.bitwise_count(sketches[0] ^ sketches[1]).sum() > O.most_bits(shared + own, shared + own)
 
 
 def test_bands_meet_as_often_as_theory_says():
