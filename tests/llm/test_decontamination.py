@@ -35,16 +35,32 @@ def test_report_equals_brute_force(spark, docs, texts, same):
     same(D.contamination_report(docs, items), columns, brute(texts, rows))
 
 
-def test_items_in_blocks_and_empty_tables(spark, docs, none, same, monkeypatch):
+def test_segments_in_batches_and_empty_tables(spark, docs, none, same, monkeypatch):
     items = spark.createDataFrame([(1, "the lazy dog"), (2, "seven eight nine"), (3, "word")], "item_id long, text string")
     whole = D.contamination_report(docs, items).collect()
-    monkeypatch.setattr(D.item_blocks, "__defaults__", (1,))
-    assert len(list(D.item_blocks(items))) == 3
-    same(D.contamination_report(docs, items), ["*"], whole)
+    monkeypatch.setattr(D, "BATCH_BYTES", 40)
+    same(D.contamination_report(docs.repartition(5), items), ["*"], whole)
     assert D.contamination_report(none, items).count() == 0
     assert D.contamination_report(docs, items.where("false")).where("contaminated").count() == 0
 
 
+def test_lists_of_a_segment_hold_every_place():
+    texts = ["b a b", None, "a c", ""]
+    lengths, terms, counts, places = D.segment_lists(texts)
+    assert lengths == [3, 0, 2, 0]
+    rows = [r for batch in D.list_batches("s", terms, counts, places) for r in zip(*(c.to_pylist() for c in batch), strict=True)]
+    assert {t: (n, list(memoryview(p).cast("i"))) for _, t, n, p in rows} == {"b": (2, [0, 2]), "a": (2, [1, 5]), "c": (1, [6])}
+
+
+def test_an_item_in_every_document_and_many_windows(spark, same):
+    """One passage stands in a third of all documents, and one item has thousands of windows."""
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(n, f"x{n} {passage} y{n}" if n % 3 == 0 else f"z{n} w{n % 7}") for n in range(300)]
+    items = [(1, passage), (2, " ".join(f"q{k}" for k in range(3000)))]
+    report = D.contamination_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), spark.createDataFrame(items, "item_id long, text string"))
+    same(report, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"], brute(rows, items))
+
+
 def test_proximity_stays_in_a_document(spark):
     docs = spark.createDataFrame([(1, "alpha beta x gamma"), (2, "alpha beta"), (3, "gamma"), (4, "alpha y beta z z z gamma")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
