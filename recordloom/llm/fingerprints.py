@@ -3,8 +3,9 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so the sketch of a union is the union of sketches
 and the share of one sketch found in another estimates containment, however unequal the documents. A sketch also keeps the
 ``least`` lowest hashes, whatever the threshold, so a text with fewer shingles than that is kept whole. Two sketches are compared
-below the smaller of their bounds, where both are complete. The report keeps ``LEAST`` and compares a text that is kept whole
-with all shingles of a larger one, so that its likeness is exact.
+below the smaller of their bounds, where both are complete, and by one rule whatever their sizes. So the likeness of two texts that
+are kept whole is exact; of a short text and a long one it rests on the hashes of the short one that lie below the long one's bound,
+and is 0 where none does.
 
 Results for odd input: a null text counts as empty; texts of fewer than five words are one shingle; of two empty sketches the
 likeness is 1, of an empty and another 0; documents follow each other by descending doc_id, null ids last and ties by a hash of
@@ -83,13 +84,6 @@ def containment(a: Column, b: Column, fraction: float = FRACTION, least: int = 1
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(once(pair, lambda p: share(p["a"], p["b"])))
 
 
-def likeness(a: Column, text_a: Column, b: Column, text_b: Column, least: int) -> Column:
-    """``containment``; of a text kept whole and one that is not, counted over all shingles of the latter."""
-    whole = lambda s: (F.size(s) > 0) & (F.size(s) < least)
-    inside = lambda s, text: F.size(F.array_intersect(s, shingles(text))) / F.size(s)
-    return F.when(whole(a) & (F.size(b) >= least), inside(a, text_b)).when(whole(b) & (F.size(a) >= least), inside(b, text_a)).otherwise(containment(a, b, least=least))
-
-
 def written(sketched: Column) -> Column:
     """A sketch as text: 16 hexadecimal digits a hash."""
     return F.lower(F.array_join(F.transform(sketched, lambda h: F.lpad(F.hex(h.bitwiseXOR(F.lit(LOWEST))), 16, "0")), ""))
@@ -133,13 +127,13 @@ def fingerprint_report(docs: DataFrame, least: int = 1) -> DataFrame:
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.left("text", F.col("n_chars") - cut), F.left("next_text", cut))
     led = with_next(rows, ["text", "sketch"]).withColumn("n_chars", F.length("text")).withColumn("edited", edited)
-    out = led.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited"), least=least).alias("edited_sketch"), "text", "edited", "next_text")
+    out = led.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited"), least=least).alias("edited_sketch"))
     return out.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         written(F.col("sketch")).alias("fingerprint"),
         written(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("text"), F.col("edited_sketch"), F.col("edited"), least).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("text"), F.col("next_sketch"), F.col("next_text"), least).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch"), least=least).alias("near_edited"),
+        containment(F.col("sketch"), F.col("next_sketch"), least=least).alias("near_next"),
     )

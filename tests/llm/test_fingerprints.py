@@ -7,9 +7,10 @@ import xxhash
 from pyspark.sql import functions as F
 
 from recordloom.llm import fingerprints as P
+from recordloom.llm.queries import QUERIES
 
 
-def unsigned(text):
+def unsigned(text, least=1):
     """Hashes of the sketch: chained XXH64 of word hashes, as in the built-in function."""
     numbers = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) if w]
     if not numbers:
@@ -20,30 +21,49 @@ def unsigned(text):
         for n in numbers[i : i + 5]:
             h = xxhash.xxh64_intdigest(struct.pack("<Q", n), h)
         found.add(h)
-    return sorted(h for h in found if h < P.FRACTION * 2**64) or [min(found)]
+    low = sorted(h for h in found if h < P.FRACTION * 2**64)
+    return low if len(low) >= least else sorted(found)[:least]
 
 
-def near(a, b):
-    return 1.0 if not a and not b else 0.0 if not a or not b else len(set(a) & set(b)) / min(len(a), len(b))
+def near(a, b, least=1):
+    """Likeness out of nothing but the two sketches."""
+    bound = min(max(int(P.FRACTION * 2**64) - 1, s[-1]) if s and len(s) >= least else 2**64 for s in (a, b))
+    x, y = ({h for h in s if h <= bound} for s in (a, b))
+    return 1.0 if not a and not b else 0.0 if not x or not y else len(x & y) / min(len(x), len(y))
 
 
-def test_report_equals_brute_force(docs, texts, none, same):
+def expected_rows(texts, least):
     def order(row):
         i, t = row
         h = struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest((t or "").encode(), 42)))[0]
         return (i is None, -(i or 0), h)
 
     rows = sorted(texts, key=order)
-    expected = []
     for (i, t), (_, following) in zip(rows, rows[1:] + rows[:1], strict=True):
         t, following = t or "", following or ""
         cut = len(t) // 3
         edited = t[: len(t) - cut] + following[:cut]
-        own, other = unsigned(t), unsigned(edited)
-        expected.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{h:016x}" for h in own), "".join(f"{h:016x}" for h in other), near(own, other), near(own, unsigned(following))))
-    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    same(P.fingerprint_report(docs.repartition(3)), columns, expected)
-    assert P.fingerprint_report(none).count() == 0
+        own, other = unsigned(t, least), unsigned(edited, least)
+        written = ["".join(f"{h:016x}" for h in s) for s in (own, other)]
+        yield i, len(t), hashlib.sha256(edited.encode()).hexdigest(), *written, near(own, other, least), near(own, unsigned(following, least), least)
+
+
+COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+
+@pytest.mark.parametrize("least", [1, P.LEAST])
+def test_report_equals_brute_force(docs, texts, none, same, least):
+    same(P.fingerprint_report(docs.repartition(3), least), COLUMNS, expected_rows(texts, least))
+    assert P.fingerprint_report(none, least).count() == 0
+
+
+def test_likeness_is_that_of_the_written_fingerprints(spark, same):
+    """The registered query: both columns can be computed again from the fingerprint strings alone."""
+    rows = QUERIES["op6_scaled_sketches"](spark, "/root/testdata/sf0.01").orderBy(F.desc("doc_id")).collect()
+    parsed = [[[int(f[k : k + 16], 16) for k in range(0, len(f), 16)] for f in (r.fingerprint, r.edited_fingerprint)] for r in rows]
+    for k, r in enumerate(rows):
+        own, edited = parsed[k]
+        assert (r.near_edited, r.near_next) == (near(own, edited, P.LEAST), near(own, parsed[(k + 1) % len(rows)][0], P.LEAST))
 
 
 @pytest.mark.parametrize("rows", [1, 7, 50])
@@ -79,11 +99,15 @@ def test_short_texts_have_exact_likeness(spark):
 
 
 def test_short_texts_inside_long_ones(spark):
+    """A short text lies wholly in a long one; that shows wherever one of its hashes is below the long one's bound."""
     words = [f"w{k}" for k in range(4000)]
     short = [" ".join(words[k * 50 : k * 50 + 5 + k % 12]) for k in range(60)]
     rows = [row for k, t in enumerate(short) for row in [(2 * k, t), (2 * k + 1, " ".join(words))]]
     report = P.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string"), P.LEAST)
-    assert [r.near_next for r in report.collect()] == [1.0] * len(rows)
+    long = unsigned(" ".join(words), P.LEAST)
+    told = {r.doc_id: r.near_next for r in report.collect()}
+    assert all(told[2 * k] == near(unsigned(t, P.LEAST), long, P.LEAST) for k, t in enumerate(short))
+    assert set(told.values()) == {0.0, 1.0}
 
 
 def test_sketches_of_any_size_merge(spark):
