@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import hashed_sample, small_batches
+from .common import hashed_sample, small_batches, stored
 
 DECAY, SPAN = 0.6, 6
 #: Letters other than a-z share the codes behind them.
@@ -206,24 +206,25 @@ def labelled_sentences(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     split = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.explode(pieces).alias("s"))
     words = split.select("doc_id", "toxic", F.filter(F.split("s", r"\s+"), lambda w: F.length(w).between(3, 60)).alias("w")).where("size(w) > 0")
     cut = words.select("doc_id", "toxic", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / SENTENCE_WORDS).cast("int")), lambda i: F.slice("w", i * SENTENCE_WORDS + 1, SENTENCE_WORDS))).alias("words"))
-    order = [F.xxhash64("words", "doc_id"), F.col("doc_id")]
-    return cut.where("toxic = 1").orderBy(*order).limit(FIT_SENTENCES).union(cut.where("toxic = 0").orderBy(*order).limit(FIT_SENTENCES))
+    rows = stored(cut.where("toxic IN (0, 1)"), "sentences")
+    return hashed_sample(rows.where("toxic = 1"), FIT_SENTENCES, "words", "doc_id").union(hashed_sample(rows.where("toxic = 0"), FIT_SENTENCES, "words", "doc_id"))
 
 
 def margin_column(docs: DataFrame, machine: Machine):
     """A column function: the margins of the worst distinct words of a text, the worst first. The machine is broadcast; its size is fixed by the alphabet."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    # Broadcasts are pickled by name, so only plain arrays and numbers go into them: workers may lack this package.
+    shared = docs.sparkSession.sparkContext.broadcast((machine.weights, machine.offset))
     small_batches(docs.sparkSession, "4m")
 
     def margins(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machine = shared.value
+        weights, offset = shared.value
         for batch in batches:
             seen: set[str] = set()
             for text in batch:
                 seen.update(units(text.as_py()))
             words = [w for w in seen if len(w) >= 3]
-            known = dict(zip(words, (word_margins(words, machine.weights) + machine.offset).tolist(), strict=True))
-            lowest = -1.0 + min(machine.offset, 0.0)
+            known = dict(zip(words, (word_margins(words, weights) + offset).tolist(), strict=True))
+            lowest = -1.0 + min(offset, 0.0)
             none = [lowest] * WORST
             tops = [heapq.nlargest(WORST, none + [known.get(w, lowest) for w in set(units(text.as_py()))]) for text in batch]
             yield pa.array(tops, pa.list_(pa.float64()))
