@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import grouping, model_output, priority, records, relationships, terminology
 from ..session import ensure_checkpoint_dir
@@ -243,16 +245,25 @@ def related_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "medication_group_conditions",
-    "SELECT DISTINCT l_suppkey % 50 AS patient_id, 'M' || l_partkey % 9 AS medication_group, 'Cond ' || b.p_brand AS condition_name FROM lineitem JOIN part a ON a.p_partkey = l_partkey JOIN part b ON b.p_name = a.p_name",
+    """
+WITH i AS (SELECT DISTINCT p_name AS n, 'Cond ' || p_brand AS c FROM part),
+m AS (SELECT DISTINCT l_suppkey % 50 AS patient_id, 'M' || l_partkey % 9 AS medication_group, l_partkey, p_name, CASE WHEN l_partkey % 2 = 0 THEN p_name ELSE 'pre' || p_name END AS name FROM lineitem JOIN part ON p_partkey = l_partkey),
+t1 AS (SELECT DISTINCT patient_id, medication_group, name, c FROM m JOIN i ON i.n = m.p_name WHERE l_partkey % 4 < 2),
+t2 AS (SELECT DISTINCT patient_id, medication_group, name, c FROM m JOIN i ON i.n = m.name WHERE NOT EXISTS (SELECT 1 FROM t1 WHERE t1.patient_id = m.patient_id AND t1.medication_group = m.medication_group AND t1.name = m.name))
+SELECT DISTINCT patient_id, medication_group, c AS condition_name FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2)
+""",
 )
 def medication_group_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of half of the parts lead to conditions by their ingredient; the others are found by name, if at all."""
     t = Tables(spark, sf_dir)
-    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_suppkey") % 50).alias("patient_id"), F.concat(F.lit("M"), text(F.col("l_partkey") % 9)).alias("medication_group"), F.col("p_name").alias("name")).distinct()
+    keys = ["patient_id", "medication_group", "key_name"]
+    k = F.col("l_partkey")
+    name = F.when(k % 2 == 0, F.col("p_name")).otherwise(F.concat(F.lit("pre"), "p_name"))
+    rows = t.lineitem.join(t.part, k == F.col("p_partkey")).select((F.col("l_suppkey") % 50).alias("patient_id"), F.concat(F.lit("M"), text(k % 9)).alias("medication_group"), name.alias("key_name"), F.when(k % 4 < 2, text(k)).alias("code")).distinct()
     pairs = t.part.select(F.concat(F.lit("Cond "), "p_brand").alias("condition_name"), F.col("p_name").alias("related_name"))
-    none = t.part.limit(0)
-    codes = none.select(F.lit(0).cast("bigint").alias("patient_id"), F.lit("").alias("medication_group"), F.lit("").alias("name"), F.lit("").alias("code"))
-    ingredients = none.select(F.lit("").alias("product_code"), F.lit("").alias("ingredient_name"))
-    out = terminology.medication_name_conditions(rows.withColumn("key_name", F.col("name")), codes.withColumn("key_name", F.lit("")).drop("name"), ingredients, pairs, ["patient_id", "medication_group", "key_name"])
+    products = t.part.select(text("p_partkey").alias("product_code"), F.upper("p_name").alias("ingredient_name"))
+    names = rows.select(*keys).distinct().withColumn("name", F.col("key_name"))
+    out = terminology.medication_name_conditions(names, rows.filter("code is not null").select(*keys, "code"), products, pairs, keys)
     return out.select("patient_id", "medication_group", "condition_name").distinct()
 
 
@@ -381,18 +392,39 @@ SELECT patient_id, name || '-' || n_records AS group_id, name, bucket, confidenc
 )
 def incremental_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named events arrive in four files; every micro-batch takes one and folds it into the state."""
-    t = Tables(spark, sf_dir)
+    run, _ = naming_run(spark, sf_dir)
+    return run.view().select("patient_id", "group_id", "name", "bucket", "confidence", "fallback", "n_records", "reason")
+
+
+def naming_run(spark: SparkSession, sf_dir: str) -> tuple[incremental.NamingRun, DataFrame]:
+    """A finished run over events that land in four files, and the named events."""
     k = F.col("event_id")
-    named = t.events.select(
+    named = Tables(spark, sf_dir).events.select(
         text("user_id").alias("patient_id"), text(k).alias("record_id"), k.alias("record_pos"), F.col("event_type").alias("name"), F.when(k % 3 == 0, "labs").alias("bucket"), F.lit("Observation").alias("resource_type"),
         (k % 100 / 100).alias("confidence"), (k % 41 == 0).alias("fallback"),
     )
-    run = f"{ensure_checkpoint_dir(spark)}/incremental-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}-{incremental.next_run()}"
-    named.repartitionByRange(4, "record_pos").write.mode("overwrite").parquet(f"{run}/landed")
-    state = incremental.VersionedState(spark, f"{run}/state", incremental.NAMED_GROUP_SCHEMA)
-    query = incremental.name_stream(spark, f"{run}/landed", NAME_SCHEMA, state, f"{run}/progress")
-    query.awaitTermination()
-    return incremental.group_view(state.latest()).select("patient_id", "group_id", "name", "bucket", "confidence", "fallback", "n_records", "reason")
+    folder = f"{ensure_checkpoint_dir(spark)}/incremental-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}-{incremental.next_run()}"
+    for part in range(4):
+        named.filter(k_of("record_id") % 4 == part).coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+    run = incremental.NamingRun(spark, f"{folder}/landed", NAME_SCHEMA, folder)
+    run.run()
+    return run, named
+
+
+def k_of(name: str) -> Column:
+    return F.col(name).cast("bigint")
+
+
+@register(
+    "pending_after_batches",
+    "SELECT b AS batch, CAST(user_id AS VARCHAR) AS patient_id, count(*) AS n FROM events, (SELECT unnest(range(4)) AS b) WHERE event_id % 4 > b GROUP BY ALL",
+)
+def pending_after_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records of a patient wait for their name after each of four batches."""
+    run, named = naming_run(spark, sf_dir)
+    records = named.select("patient_id", F.col("record_id").alias("id"))
+    waiting = [run.pending(records, b).select(F.lit(b).cast("bigint").alias("batch"), "patient_id") for b in range(4)]
+    return reduce(DataFrame.unionByName, waiting).groupBy("batch", "patient_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("pending_records", "SELECT user_id AS patient_id, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY ALL")

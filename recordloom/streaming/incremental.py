@@ -1,7 +1,8 @@
-"""Incremental state: file streams merged into Parquet state tables, one version per batch.
+"""Incremental state over file streams.
 
-A batch reads the version the previous batch committed and writes the next one to a new folder, so a batch that
-is replayed after a lost executor or driver writes the same folder again and nothing is applied twice.
+State is kept by Spark's own keyed aggregation: a batch reads and writes the state of its keys only. What a batch changed
+goes to a log, a Parquet table partitioned by batch; a batch that is replayed after a lost executor or driver writes its own
+partition again and nothing is applied twice. Readers take the newest row of each key.
 """
 
 from __future__ import annotations
@@ -9,13 +10,12 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.text import named_id
 from ..operators.model_output import naming_key
-from ..operators.state import upsert
-
 
 _runs = itertools.count()
 
@@ -25,82 +25,96 @@ def next_run() -> int:
     return next(_runs)
 
 
-class VersionedState:
-    """Parquet table with one folder per batch; readers take the newest complete one."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+class ChangeLog:
+    """Changed rows by batch in one Parquet table."""
 
-    def _folder(self, batch_id: int) -> str:
-        return f"{self.path}/batch={batch_id}"
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str]):
+        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        found = [s.getPath() for s in fs.listStatus(root)]
-        done = [p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName().split("=")[1]) for p in done if p.getName().startswith("batch="))
+    def write(self, changes: DataFrame, batch_id: int) -> None:
+        changes.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
-    def before(self, batch_id: int) -> DataFrame:
-        earlier = [v for v in self._versions() if v < batch_id]
-        if not earlier:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._folder(earlier[-1]))
+    def changes(self, upto: int | None = None) -> DataFrame:
+        """All changes with their ``batch``, up to and with a batch if one is given."""
+        schema = f"{self.schema}, batch bigint"
+        try:
+            rows = self.spark.read.schema(schema).parquet(self.path)
+        except AnalysisException:  # no batch has been written yet
+            return self.spark.createDataFrame([], schema)
+        return rows if upto is None else rows.filter(F.col("batch") <= upto)
 
-    def latest(self) -> DataFrame:
-        return self.before(1 << 62)
+    def latest(self, upto: int | None = None) -> DataFrame:
+        """The newest row of every key."""
+        rows = self.changes(upto)
+        columns = [c for c in rows.columns if c != "batch"]
+        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*columns), "batch").alias("_r")).select("_r.*")
 
-    def commit(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(self._folder(batch_id))
 
-
-def merge_stream(stream: DataFrame, state: VersionedState, merge: Callable[[DataFrame, DataFrame, int], DataFrame], checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Run ``merge(state, batch, batch_id)`` for every micro-batch until the available files are consumed."""
+def log_stream(changed: DataFrame, log: ChangeLog, checkpoint: str, mode: str = "update", after: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Write what every micro-batch changed until the available files are consumed; ``after`` is told each finished batch."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        state.commit(merge(state.before(batch_id), batch, batch_id), batch_id)
+        log.write(batch, batch_id)
         if after is not None:
-            after(state.latest(), batch_id)
+            after(batch_id)
+
+    return changed.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def newest_rows(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The newest row per key so far, as Spark keeps it between batches; of rows of equal order the one with the largest values stays."""
+    rest = [c for c in stream.columns if c not in order]
+    best = F.max_by(F.struct(*stream.columns), F.struct(*order, *rest))
+    return stream.groupBy(*keys).agg(best.alias("_r")).select("_r.*")
 
-def upsert_stream(stream: DataFrame, state: VersionedState, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
-    return merge_stream(stream, state, lambda old, new, _: upsert(old, new, keys, order), checkpoint)
 
+def upsert_stream(stream: DataFrame, log: ChangeLog, order: list[str], checkpoint: str) -> StreamingQuery:
+    return log_stream(newest_rows(stream, log.keys, order), log, checkpoint)
 
-NAMED_GROUP_SCHEMA = "patient_id string, group_key string, name string, bucket string, resource_type string, confidence double, fallback boolean, n_records bigint, first_seen bigint"
 
+GROUP_KEY = ["patient_id", "group_key"]
+NAMED_GROUP_SCHEMA = "patient_id string, group_key string, name string, bucket string, resource_types array<string>, confidence double, fallback boolean, n_records bigint"
+NAMED_RECORD_SCHEMA = "patient_id string, record_id string"
 
-def fold_names(state: DataFrame, names: DataFrame, batch_id: int) -> DataFrame:
-    """Running groups by (name, bucket): largest confidence, fallback if any, first name and type stay.
 
-    Counts, maxima and ors only, so old groups and new rows go through one partial aggregation.
-    """
-    fresh = names.select(
-        "patient_id", naming_key(F.col("name"), F.col("bucket")).alias("group_key"), "name", "bucket", "resource_type",
-        F.col("confidence").cast("double").alias("confidence"), "fallback", F.lit(1).cast("bigint").alias("n_records"), F.lit(batch_id).cast("bigint").alias("first_seen"), "record_pos",
+def running_groups(names: DataFrame) -> DataFrame:
+    """Running groups by (name, bucket): largest confidence, fallback if any, all record types; the name that landed first stays."""
+    keyed = names.withColumn("group_key", naming_key(F.col("name"), F.col("bucket")))
+    first = F.min_by(F.struct("name", "bucket"), F.struct("landed", "record_pos", "record_id"))
+    grouped = keyed.groupBy(*GROUP_KEY).agg(
+        first.alias("_f"), F.collect_set("resource_type").alias("resource_types"), F.max(F.col("confidence").cast("double")).alias("confidence"), F.bool_or("fallback").alias("fallback"), F.count(F.lit(1)).alias("n_records")
     )
-    both = state.withColumn("record_pos", F.lit(-1).cast("bigint")).unionByName(fresh)
-    first = F.min_by(F.struct("name", "bucket", "resource_type"), F.struct("first_seen", "record_pos"))
-    return both.groupBy("patient_id", "group_key").agg(
-        first.alias("_f"), F.max("confidence").alias("confidence"), F.bool_or("fallback").alias("fallback"), F.sum("n_records").alias("n_records"), F.min("first_seen").alias("first_seen")
-    ).select("patient_id", "group_key", "_f.name", "_f.bucket", "_f.resource_type", "confidence", "fallback", "n_records", "first_seen")
+    return grouped.select(*GROUP_KEY, "_f.name", "_f.bucket", F.array_sort("resource_types").alias("resource_types"), "confidence", "fallback", "n_records")
 
 
 def group_view(state: DataFrame) -> DataFrame:
     gid = F.concat(named_id(F.col("name")), F.lit("-"), F.col("n_records").cast("string"))
     reason = F.when(F.col("fallback"), "source-label-fallback").otherwise("llm-naming")
-    return state.select("patient_id", gid.alias("group_id"), "name", "bucket", "resource_type", "confidence", "fallback", "n_records", reason.alias("reason"))
+    return state.select("patient_id", gid.alias("group_id"), "name", "bucket", "resource_types", "confidence", "fallback", "n_records", reason.alias("reason"))
+
+
+class NamingRun:
+    """Incremental grouping over a folder of named records, and what is still to be named after every batch."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, base: str, files_per_batch: int = 1):
+        self.base = base
+        files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+        self.stream = files.select("*", F.col("_metadata.file_modification_time").alias("landed"))
+        self.groups = ChangeLog(spark, f"{base}/groups", NAMED_GROUP_SCHEMA, GROUP_KEY)
+        self.named = ChangeLog(spark, f"{base}/named", NAMED_RECORD_SCHEMA, ["patient_id", "record_id"])
+
+    def run(self, after: Callable[[int], None] | None = None) -> None:
+        """Consume what has landed. Both logs take the same files in the same batches; ``after`` sees a batch once both have it."""
+        log_stream(self.stream.select("patient_id", "record_id"), self.named, f"{self.base}/named-progress", "append").awaitTermination()
+        log_stream(running_groups(self.stream), self.groups, f"{self.base}/groups-progress", after=after).awaitTermination()
 
+    def view(self, batch_id: int | None = None) -> DataFrame:
+        """The groups as they stood after a batch."""
+        return group_view(self.groups.latest(batch_id))
 
-def name_stream(spark: SparkSession, folder: str, schema: str, state: VersionedState, checkpoint: str, files_per_batch: int = 1, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Incremental grouping over a folder of named records; ``after`` sees the groups after every batch."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    return merge_stream(stream, state, fold_names, checkpoint, (lambda df, b: after(group_view(df), b)) if after else None)
+    def pending(self, records: DataFrame, batch_id: int | None = None) -> DataFrame:
+        """Records that no batch up to this one has named."""
+        return pending_records(records, self.named.changes(batch_id))
 
 
 def pending_records(records: DataFrame, done: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.operators import model_output, state
+from recordloom.operators import model_output
 from recordloom.plans.catalog import ORACLES, QUERIES
 from recordloom.sources import bundles, export, terminology
 from recordloom.streaming import incremental
@@ -49,7 +49,7 @@ def test_lookback(resources):
 
 def test_stream_state_is_idempotent(spark, tmp_path):
     schema = "k string, at int, v string"
-    store = incremental.VersionedState(spark, str(tmp_path / "state"), schema)
+    log = incremental.ChangeLog(spark, str(tmp_path / "log"), schema, ["k"])
     landed = str(tmp_path / "landed")
 
     def land(rows):
@@ -57,18 +57,36 @@ def test_stream_state_is_idempotent(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(schema).parquet(landed)
-        incremental.upsert_stream(stream, store, ["k"], ["at"], str(tmp_path / "progress")).awaitTermination()
-        return {r.k: r.v for r in store.latest().collect()}
+        incremental.upsert_stream(stream, log, ["at"], str(tmp_path / "progress")).awaitTermination()
+        return {r.k: r.v for r in log.latest().collect()}
 
-    land([("a", 1, "first"), ("b", 5, "kept")])
-    assert run() == {"a": "first", "b": "kept"}
+    assert log.latest().count() == 0
+    land([("a", 1, "first"), ("b", 5, "kept"), ("d", 1, "still")])
+    assert run() == {"a": "first", "b": "kept", "d": "still"}
     land([("a", 2, "second"), ("b", 4, "late"), ("c", 1, "new")])
-    assert run() == {"a": "second", "b": "kept", "c": "new"}
-    assert run() == {"a": "second", "b": "kept", "c": "new"}
-    # Replaying a batch writes the same version again.
-    again = spark.createDataFrame([("a", 2, "second"), ("b", 4, "late"), ("c", 1, "new")], schema)
-    store.commit(state.upsert(store.before(1), again, ["k"], ["at"]), 1)
-    assert {r.k: r.v for r in store.latest().collect()} == {"a": "second", "b": "kept", "c": "new"}
+    assert run() == {"a": "second", "b": "kept", "c": "new", "d": "still"}
+    assert run() == {"a": "second", "b": "kept", "c": "new", "d": "still"}
+    # A batch only touches its own keys, and one that is replayed writes its partition again.
+    assert {r.k for r in log.changes().filter("batch = 1").collect()} == {"a", "b", "c"}
+    log.write(spark.createDataFrame([("a", 2, "second"), ("b", 5, "kept"), ("c", 1, "new")], schema), 1)
+    assert {r.k: r.v for r in log.latest().collect()} == {"a": "second", "b": "kept", "c": "new", "d": "still"}
+
+
+def test_groups_and_pending_records_after_every_batch(spark, tmp_path):
+    schema = "patient_id string, record_id string, record_pos bigint, name string, bucket string, resource_type string, confidence double, fallback boolean"
+    landed = str(tmp_path / "landed")
+    batches = [[("p", "a", 1, "Sugar", None, "Observation", 0.4, False), ("p", "b", 2, "Cough", None, "Condition", 0.9, False)], [("p", "c", 0, "sugar", None, "Condition", 0.8, True)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landed)
+    run = incremental.NamingRun(spark, landed, schema, str(tmp_path))
+    seen = []
+    run.run(seen.append)
+    assert seen == [0, 1]
+    records = spark.createDataFrame([("p", i) for i in "abcd"], "patient_id string, id string")
+    assert [sorted(r.id for r in run.pending(records, b).collect()) for b in (0, 1)] == [["c", "d"], ["d"]]
+    views = [{r.name: (r.resource_types, r.confidence, r.fallback, r.n_records) for r in run.view(b).collect()} for b in (0, 1)]
+    assert views[0] == {"Sugar": (["Observation"], 0.4, False, 1), "Cough": (["Condition"], 0.9, False, 1)}
+    assert views[1] == {"Sugar": (["Condition", "Observation"], 0.8, True, 2), "Cough": (["Condition"], 0.9, False, 1)}
 
 
 def test_naming_batch_falls_back_as_a_whole(spark):
