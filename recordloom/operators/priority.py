@@ -122,3 +122,14 @@ def top_items(scored: DataFrame, keys: list[str], tie: str, score: str = "score"
     totals = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col(score) > 0).alias("_pos"))
     shown = totals.withColumn("hidden_count", F.col("_all") - F.least("_pos", F.lit(size))).drop("_all", "_pos")
     return best.join(shown, keys)
+
+
+def overview(scored: DataFrame, claims: DataFrame, tie: str, score: str = "score", size: int = SECTION_SIZE) -> DataFrame:
+    """The best positive items of a patient across all sections, and how many stay hidden.
+
+    Observations and medications in ``claims(patient_id, group_key)`` are shown beside their condition and are left out here.
+    """
+    inline = F.col("resource_type").isin("Observation", "MedicationRequest")
+    taken = claims.select("patient_id", "group_key").distinct().withColumn("_taken", F.lit(True))
+    free = scored.join(taken, ["patient_id", "group_key"], "left").filter(~(inline & F.col("_taken").isNotNull())).drop("_taken")
+    return top_items(free, ["patient_id"], tie, score, size)

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import groups, measured, resources, search, summary, terms, typed  # noqa: F401
+from . import evidence, groups, measured, resources, search, summary, terms, typed  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

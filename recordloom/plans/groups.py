@@ -78,16 +78,18 @@ def compact_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "compact_values",
     f"""
 WITH {PART_SQL},
+keyed AS (SELECT *, CASE k % 5 WHEN 0 THEN ['snomed:' || p_size, 'loinc:' || p_size, 'rxnorm:' || p_size] WHEN 1 THEN ['http://x|' || p_type] ELSE [] END AS keys FROM b),
 v AS (
   SELECT patient_id, t, 'ingredients' AS field, unnest(['zinc', p_type]) AS value FROM b WHERE ing
-  UNION ALL SELECT patient_id, t, 'source_labels', p_name FROM b UNION ALL SELECT patient_id, t, 'code_texts', p_name FROM b UNION ALL SELECT patient_id, t, 'code_codings', p_type || '|' || p_brand FROM b)
-SELECT t AS resource_type, field, value, count(DISTINCT patient_id) AS n_patients FROM v GROUP BY ALL
+  UNION ALL SELECT patient_id, t, 'source_labels', p_name FROM b UNION ALL SELECT patient_id, t, 'code_texts', p_name FROM b UNION ALL SELECT patient_id, t, 'code_codings', p_type || '|' || p_brand FROM b
+  UNION ALL SELECT patient_id, t, 'coding_keys', unnest(keys) FROM keyed
+  UNION ALL SELECT patient_id, t, 'grouping_text', unnest(list_concat([p_name || ' ' || p_brand, p_name, category, CASE WHEN routed THEN 'Oral' END], keys, CASE WHEN ing THEN ['zinc', p_type] ELSE [] END)) FROM keyed)
+SELECT t AS resource_type, field, value, count(DISTINCT patient_id) AS n_patients FROM v WHERE value IS NOT NULL GROUP BY ALL
 """,
 )
 def compact_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = grouping.compact_records(part_records(Tables(spark, sf_dir)))
-    rows = parts["values"].filter("field in ('ingredients', 'source_labels', 'code_texts', 'code_codings')")
-    out = rows.select("patient_id", F.split_part("compact_id", F.lit(":"), F.lit(2)).alias("resource_type"), "field", "value").distinct()
+    out = parts["values"].select("patient_id", F.split_part("compact_id", F.lit(":"), F.lit(2)).alias("resource_type"), "field", "value").distinct()
     return out.groupBy("resource_type", "field", "value").agg(F.count(F.lit(1)).alias("n_patients"))
 
 

@@ -1,7 +1,7 @@
 """The main pipeline: open resources of many patients to a ranked summary per patient.
 
-Every stage is a lazy plan. ``stages`` keeps the tables a caller may want to store; the record table, the compact
-concepts and the groups are read by several later stages, so they are saved once.
+Tables that several later stages read (records, groups, members, group edges, clusters of copies) are saved once, which runs
+jobs while the plan is built; everything else stays lazy.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import relationship_group_key
-from ..operators import bm25, classify, grouping, normalize, priority, ranges, records, relationships, terminology, trends
+from ..operators import bm25, classify, dedupe, evidence, grouping, normalize, priority, ranges, records, relationships, terminology, trends
 from ..operators.state import ASSOCIATION_VERSION
 from ..session import saved
 
@@ -100,10 +100,13 @@ def summarise(resources: DataFrame, patients: DataFrame, patches: DataFrame, t:
     in_system = reduce(lambda acc, pair: acc.when((F.col("resource_type") == pair[0]) & (F.col("canonical_system") == pair[1]), F.col("canonical_code")), LINKED_SYSTEMS.items(), F.when(F.lit(False), F.lit(None).cast("string")))
     keyed = groups.select(*g, "group_key", "group_pos", "resource_type", "name", in_system.alias("canonical_code"))
     conditions = keyed.filter("resource_type = 'Condition'").select("patient_id", "group_key", "group_pos", F.col("canonical_code").alias("code"), "name")
-    lab_groups = keyed.filter("resource_type = 'Observation' and canonical_code is not null").select("patient_id", F.col("group_key").alias("source_group"), F.col("canonical_code").alias("code"))
-    med_groups = keyed.filter("resource_type = 'MedicationRequest' and canonical_code is not null").select(
-        "patient_id", F.col("group_key").alias("source_group"), F.col("canonical_code").alias("code"), F.array().cast("array<string>").alias("given")
-    )
+    # Members speak for their group: only groups with completed results are linked, and medications by their members' product codes.
+    identified = rows.withColumns({"id": records.record_identity(F.col("resource_type")), "portal_source_id": F.coalesce("portal_source_id", "source_id")})
+    member_records = saved(members.select(*g, F.col("record_id").alias("id")).join(identified, ["patient_id", "id"]))
+    linked = groups.select(*g, "group_key", "resource_type", "bucket", in_system.alias("canonical_code"))
+    lab_groups = evidence.observed_groups(linked, member_records, g).filter("canonical_code is not null").select("patient_id", F.col("group_key").alias("source_group"), F.col("canonical_code").alias("code"))
+    codes = evidence.medication_codes(linked.filter("resource_type = 'MedicationRequest'"), member_records, g).join(linked.select(*g, "group_key"), g)
+    med_groups = codes.select("patient_id", F.col("group_key").alias("source_group"), "code", F.array().cast("array<string>").alias("given"))
     subject = ["patient_id", "source_group"]
     lab_found = terminology.lab_conditions(lab_groups, t.assoc_labs, subject)
     med_found = terminology.medication_conditions(med_groups, t.ingredients, t.assoc_meds, subject)
@@ -112,6 +115,10 @@ def summarise(resources: DataFrame, patients: DataFrame, patches: DataFrame, t:
         link(lab_found, "Observation", "monitoring_marker", "deterministic:condition-lab").unionByName(link(med_found, "MedicationRequest", "treatment", "deterministic:condition-med"))
     )
 
+    # Copies that came through several portals count once in every group.
+    clusters, copies = (saved(x) for x in dedupe.dedupe(member_records))
+    cards = grouping.group_cards(clusters, member_records.filter(~F.coalesce("hidden", F.lit(False))), g)
+
     # Measurements of a group: trend, reference range, out-of-range flag, recency.
     obs = typed["Observation"].select("patient_id", records.record_identity(F.lit("Observation")).alias("record_id"), "input_pos", "value", F.col("effective_date").alias("date"), "reference_range", "coding_keys")
     measured = members.join(obs, ["patient_id", "record_id"])
@@ -131,8 +138,14 @@ def summarise(resources: DataFrame, patients: DataFrame, patches: DataFrame, t:
         groups.withColumn("section", section).join(weights, ["patient_id", "group_key"], "left").join(inherited, ["patient_id", "group_key"], "left").join(flags, g, "left").join(recent, g, "left")
     )
     ranked = priority.top_items(scored, ["patient_id", "resource_type"], "group_id", size=size)
+    # Across all sections, what a condition already shows beside it is left out.
+    latest = measured.join(groups.select(*g, "group_key"), g).groupBy("patient_id", "group_key").agg(F.max("date").alias("latest_date"))
+    claims = relationships.claimed_labs(group_edges, latest, now_ms).select("patient_id", "group_key").unionByName(
+        relationships.claim_medications(med_found, conditions.select("patient_id", "group_key", "group_pos", "code", "name")).select("patient_id", F.col("medication_group").alias("group_key"))
+    )
+    overview = priority.overview(scored, claims, "group_id")
     record_names = members.join(groups.select(*g, "resource_type", "name"), g).select("patient_id", "record_id", "group_id", "name")
-    return Summary(rows, groups, members, edges, group_edges, trends.detect_trends(points, g), flags, ranked, {"ranges": bounds, "scored": scored, "record_names": record_names})
+    return Summary(rows, groups, members, edges, group_edges, trends.detect_trends(points, g), flags, ranked, {"ranges": bounds, "scored": scored, "record_names": record_names, "clusters": clusters, "copies": copies, "cards": cards, "overview": overview})
 
 
 def classified_records(rows: DataFrame) -> DataFrame:

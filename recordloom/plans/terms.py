@@ -66,7 +66,7 @@ def friendly_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     "canonical_codes",
     """
 WITH g AS (SELECT p_partkey AS k, p_name, p_partkey % 4 AS m FROM part),
-t AS (SELECT CASE c WHEN 0 THEN 'condition' WHEN 1 THEN 'lab' ELSE 'medication' END AS category, p_name, arg_min(p_partkey, p_partkey) AS code FROM (SELECT *, p_partkey % 3 AS c FROM part WHERE p_size > 10) GROUP BY ALL)
+t AS (SELECT CASE c WHEN 0 THEN 'condition' WHEN 1 THEN 'lab' ELSE 'medication' END AS category, p_name, arg_min(p_partkey, p_partkey) AS code FROM (SELECT *, p_partkey % 3 AS c FROM part) GROUP BY ALL)
 SELECT k AS p_partkey, CASE m WHEN 0 THEN 'condition' WHEN 1 THEN 'lab' WHEN 2 THEN 'medication' END AS category, CAST(code AS VARCHAR) AS canonical_code,
   CASE WHEN code IS NOT NULL THEN CASE m WHEN 0 THEN 'icd10' WHEN 1 THEN 'loinc' ELSE 'rxnorm' END END AS canonical_system
 FROM g LEFT JOIN t ON t.p_name = g.p_name AND t.category = CASE m WHEN 0 THEN 'condition' WHEN 1 THEN 'lab' WHEN 2 THEN 'medication' END
@@ -77,19 +77,27 @@ def canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     types = F.array(pick(k % 4, "Condition", "Observation", "MedicationRequest", "Encounter"), F.lit("Encounter"))
     groups = t.part.select("p_partkey", types.alias("resource_types"), F.concat(F.lit("  "), F.upper(F.replace("p_name", F.lit(" "), F.lit("   ")))).alias("name"))
-    rows = t.part.filter("p_size > 10").select(pick(k % 3, "condition", "lab", "medication").alias("category"), F.col("p_name").alias("friendly_name"), text(k).alias("canonical_code"), k.alias("input_pos"))
+    rows = t.part.select(pick(k % 3, "condition", "lab", "medication").alias("category"), F.col("p_name").alias("friendly_name"), text(k).alias("canonical_code"), k.alias("input_pos"))
     return terminology.canonical_codes(groups, builds.first_canonical_codes(rows)).select("p_partkey", "category", "canonical_code", "canonical_system")
 
 
+#: Ingredients of a part: its brand and its type, each in two hundred lots.
+LOTS = 200
+INGREDIENTS_SQL = f"[p_brand || '-' || p_partkey % {LOTS}, p_type || '-' || p_partkey % {LOTS}]"
+
+
+def ingredients(key: str = "p_partkey") -> list[Column]:
+    return [F.concat_ws("-", c, text(F.col(key) % LOTS)) for c in ("p_brand", "p_type")]
+
+
 def ingredient_table(t: Tables) -> DataFrame:
-    """A part breaks down to its brand and its type; every seventh part is unknown."""
-    k = F.col("p_partkey")
-    parts = F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.col("p_brand").alias("c")), F.struct(F.lit(1).alias("pos"), F.col("p_type").alias("c"))))
-    rows = t.part.filter("p_partkey % 7 <> 0").select(text(k).alias("product_code"), parts.alias("_p"))
+    """A part breaks down to its brand and its type."""
+    parts = F.explode(F.array(*[F.struct(F.lit(n).alias("pos"), c.alias("c")) for n, c in enumerate(ingredients())]))
+    rows = t.part.select(text("p_partkey").alias("product_code"), parts.alias("_p"))
     return rows.select("product_code", F.col("_p.pos").alias("pos"), F.col("_p.c").alias("ingredient_code"), F.lower("_p.c").alias("ingredient_name"))
 
 
-@register("product_ingredients", "SELECT l_orderkey, ingredient, count(*) AS n FROM (SELECT l_orderkey, unnest([p_brand, p_type]) AS ingredient FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 7 <> 0) GROUP BY ALL")
+@register("product_ingredients", f"SELECT l_orderkey, ingredient, count(*) AS n FROM (SELECT l_orderkey, unnest({INGREDIENTS_SQL}) AS ingredient FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY ALL")
 def product_ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     out = terminology.decompose(t.lineitem.select("l_orderkey", text("l_partkey").alias("code")), ingredient_table(t))
@@ -100,14 +108,14 @@ STRENGTHS = ("strong", "moderate", "weak")
 
 
 def assoc_meds(t: Tables) -> DataFrame:
-    """Suppliers as conditions; the brands and types of what they supply as medications."""
-    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).filter("p_size <= 6")
-    pairs = rows.select("l_suppkey", F.explode(F.array("p_brand", "p_type")).alias("code"), "p_size").groupBy("l_suppkey", "code").agg(F.min("p_size").alias("s"))
+    """Suppliers as conditions; the ingredients of what they supply as medications."""
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    pairs = rows.select("l_suppkey", F.explode(F.array(*ingredients())).alias("code"), "p_size").groupBy("l_suppkey", "code").agg(F.min("p_size").alias("s"))
     return pairs.select(F.concat(F.lit("S"), F.lpad(text("l_suppkey"), 5, "0")).alias("condition_code"), "code", pick(F.col("s") % 3, *STRENGTHS).alias("strength"), F.col("l_suppkey").alias("condition_pos"), F.col("s").cast("int").alias("pos"))
 
 
 ASSOC_SQL = f"""
-am AS (SELECT l_suppkey, 'S' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS condition_code, code, min(p_size) AS s FROM (SELECT l_suppkey, unnest([p_brand, p_type]) AS code, p_size FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 6) GROUP BY ALL),
+am AS (SELECT l_suppkey, 'S' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS condition_code, code, min(p_size) AS s FROM (SELECT l_suppkey, unnest({INGREDIENTS_SQL}) AS code, p_size FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY ALL),
 a AS (SELECT *, {sql_pick('s % 3', *STRENGTHS)} AS strength, 3 - s % 3 AS rank FROM am)
 """
 
@@ -120,14 +128,17 @@ def condition_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def given_medications(t: Tables) -> DataFrame:
+    """Parts as medications: some with their ingredients given, some named by an ingredient itself, the others by their product code."""
     k = F.col("p_partkey")
-    given = F.when(k % 5 == 0, F.array("p_type")).otherwise(F.array().cast("array<string>"))
-    return t.part.filter("p_size >= 40").select("p_partkey", F.when((k % 7 == 0) & (k % 5 != 0), F.col("p_brand")).otherwise(text(k)).alias("code"), given.alias("given"))
+    brand, kind = ingredients()
+    given = F.when(k % 5 == 0, F.array(kind)).otherwise(F.array().cast("array<string>"))
+    return t.part.select("p_partkey", F.when((k % 7 == 0) & (k % 5 != 0), brand).otherwise(text(k)).alias("code"), given.alias("given"))
 
 
 MED_SQL = f"""
 {ASSOC_SQL},
-m AS (SELECT p_partkey, unnest(CASE WHEN p_partkey % 5 = 0 THEN [p_type] WHEN p_partkey % 7 = 0 THEN [p_brand] ELSE [p_brand, p_type] END) AS code FROM part WHERE p_size >= 40),
+i AS (SELECT p_partkey, {INGREDIENTS_SQL} AS duo FROM part),
+m AS (SELECT p_partkey, unnest(CASE WHEN p_partkey % 5 = 0 THEN [duo[2]] WHEN p_partkey % 7 = 0 THEN [duo[1]] ELSE duo END) AS code FROM i),
 mc AS (SELECT p_partkey, condition_code, max(rank) AS rank, min(l_suppkey) AS pos FROM m JOIN a ON a.code = m.code GROUP BY ALL)
 """
 
@@ -141,11 +152,11 @@ def medication_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "lab_conditions",
-    f"WITH {ASSOC_SQL} SELECT p_partkey, condition_code, {sql_pick('min(s) % 3', *STRENGTHS)} AS strength FROM part JOIN a ON a.code = p_brand GROUP BY ALL",
+    f"WITH {ASSOC_SQL} SELECT p_partkey, condition_code, {sql_pick('min(s) % 3', *STRENGTHS)} AS strength FROM part JOIN a ON a.code = ({INGREDIENTS_SQL})[1] GROUP BY ALL",
 )
 def lab_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return terminology.lab_conditions(t.part.select("p_partkey", F.col("p_brand").alias("code")), assoc_meds(t), ["p_partkey"])
+    return terminology.lab_conditions(t.part.select("p_partkey", ingredients()[0].alias("code")), assoc_meds(t), ["p_partkey"])
 
 
 def name_pairs(t: Tables) -> DataFrame:
@@ -275,28 +286,6 @@ def condition_code_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relationships.match_conditions(found_conditions(t, "Observation:s"), customer_conditions(t), ["source_group"]).select("patient_id", "source_group", "condition_code", "group_key")
 
 
-def _edges(spark: SparkSession, sf_dir: str, stype: str, relation: str, model: str) -> DataFrame:
-    t = Tables(spark, sf_dir)
-    out = relationships.group_condition_edges(found_conditions(t, "Observation:s"), customer_conditions(t), stype, relation, model, 13, 1_700_000_000_000)
-    return out.select("patient_id", "source_group", "target_group", "relationship", "model", "confidence")
-
-
-_EDGE_SQL = """
-WITH {c}, x AS (SELECT f.patient_id, f.source_group, g.group_key FROM found f JOIN cg g ON g.patient_id = f.patient_id AND g.base = f.condition_code QUALIFY row_number() OVER (PARTITION BY f.patient_id, f.source_group, f.condition_code ORDER BY g.pos) = 1)
-SELECT DISTINCT patient_id, source_group, group_key AS target_group, '{r}' AS relationship, '{m}' AS model, 1.0::DOUBLE AS confidence FROM x
-"""
-
-
-@register("lab_condition_edges", _EDGE_SQL.format(c=CONDITION_SQL, r="monitoring_marker", m="deterministic:condition-lab"))
-def lab_condition_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir, "Observation", "monitoring_marker", "deterministic:condition-lab")
-
-
-@register("medication_condition_edges", _EDGE_SQL.format(c=CONDITION_SQL, r="treatment", m="deterministic:condition-med"))
-def medication_condition_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir, "MedicationRequest", "treatment", "deterministic:condition-med")
-
-
 @register(
     "medication_claims",
     f"""
@@ -450,14 +439,14 @@ def matched_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "coded_ancestors",
     """
-WITH c AS (SELECT DISTINCT p_name || ' ' || p_type AS cause, p_name, split_part(p_name, ' ', 1) AS w FROM part), k AS (SELECT DISTINCT p_name AS cause FROM part WHERE p_size < 25 UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part WHERE p_size > 45)
+WITH c AS (SELECT DISTINCT p_name || ' ' || p_type AS cause, p_name, split_part(p_name, ' ', 1) AS w FROM part), k AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) END AS cause FROM part)
 SELECT cause, CASE WHEN p_name IN (SELECT cause FROM k) THEN p_name ELSE w END AS ancestor FROM c WHERE p_name IN (SELECT cause FROM k) OR w IN (SELECT cause FROM k)
 """,
 )
 def coded_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = Tables(spark, sf_dir).part
     causes = part.select(F.concat_ws(" ", "p_name", "p_type").alias("cause")).distinct()
-    coded = part.filter("p_size < 25").select(F.col("p_name").alias("cause")).union(part.filter("p_size > 45").select(F.split_part("p_name", F.lit(" "), F.lit(1)))).distinct()
+    coded = part.select(F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("cause")).distinct()
     return builds.nearest_coded_ancestor(causes, coded)
 
 

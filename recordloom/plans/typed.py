@@ -41,13 +41,19 @@ def medication_resources(t: Tables) -> DataFrame:
     return requests.unionByName(products)
 
 
+MEDICATION_SQL = f"""
+l AS (
+  SELECT *, l_partkey AS k, l_partkey % 3 = 0 AS own, l_partkey % 3 <> 0 AND l_partkey % 10 <> 0 AS hit FROM lineitem),
+j AS (SELECT l.*, p.p_name, p.p_type, p.p_brand, {sql_pick('k % 12', *ROUTE_WORDS)} AS form, {sql_pick('k % 12', *ROUTE_NAMES)} AS form_route FROM l LEFT JOIN part p ON l.hit AND p.p_partkey = l.k)
+"""
+MEDICATION_LABEL = "CASE WHEN own THEN 'Drug ' || k WHEN p_name IS NOT NULL THEN 'Product ' || p_name WHEN k % 20 = 0 THEN 'Shown name' ELSE 'Medication/' || (k + CASE WHEN k % 10 = 0 THEN 10000000 ELSE 0 END) END"
+
+
 @register(
     "medication_table",
     f"""
-WITH l AS (
-  SELECT *, l_partkey AS k, l_partkey % 3 = 0 AS own, l_partkey % 3 <> 0 AND l_partkey % 10 <> 0 AS hit FROM lineitem),
-j AS (SELECT l.*, p.p_name, p.p_type, p.p_brand, {sql_pick('k % 12', *ROUTE_WORDS)} AS form, {sql_pick('k % 12', *ROUTE_NAMES)} AS form_route FROM l LEFT JOIN part p ON l.hit AND p.p_partkey = l.k)
-SELECT k % 60 AS k, CASE WHEN own THEN 'Drug ' || k WHEN p_name IS NOT NULL THEN 'Product ' || p_name WHEN k % 20 = 0 THEN 'Shown name' ELSE 'Medication/' || (k + CASE WHEN k % 10 = 0 THEN 10000000 ELSE 0 END) END AS label,
+WITH {MEDICATION_SQL}
+SELECT k % 60 AS k, {MEDICATION_LABEL} AS label,
   CASE WHEN l_linestatus = 'F' THEN 'completed' ELSE 'unknown' END AS status, CASE WHEN own THEN 'rxnorm:' || k WHEN p_name IS NOT NULL THEN 'ndc:' || k ELSE '' END AS coding_keys,
   CASE WHEN p_name IS NOT NULL THEN p_type || ',' || p_brand ELSE '' END AS ingredients,
   CASE WHEN k % 11 = 0 THEN 'Given route' ELSE coalesce(CASE WHEN p_name IS NOT NULL THEN form_route END, CASE WHEN k % 7 = 0 THEN 'Oral' END) END AS route, count(*) AS n
@@ -228,10 +234,9 @@ def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_records(t: Tables) -> DataFrame:
     everything = reduce(
         DataFrame.unionByName,
-        [allergy_resources(t), condition_resources(t), observation_resources(t), immunization_resources(t), encounter_resources(t), procedure_resources(t), report_resources(t)],
+        [medication_resources(t), allergy_resources(t), condition_resources(t), observation_resources(t), immunization_resources(t), encounter_resources(t), procedure_resources(t), report_resources(t)],
     )
-    summary = {k: f(everything) for k, f in normalize.TYPED_TABLES.items() if k != "MedicationRequest"}
-    return records.unify(summary, authored(t))
+    return records.unify({k: f(everything) for k, f in normalize.TYPED_TABLES.items()}, authored(t))
 
 
 def authored(t: Tables) -> DataFrame:
@@ -255,17 +260,18 @@ def authored(t: Tables) -> DataFrame:
     return parse_once(flat, "json")
 
 
-@register(
-    "authored_records",
-    """
-WITH c AS (SELECT conv_id * 1000 + turn AS k, role FROM conversations)
-SELECT 'a' || k AS id, CASE k % 4 WHEN 0 THEN 'MedicationRequest' WHEN 1 THEN 'Immunization' WHEN 2 THEN 'AllergyIntolerance' ELSE 'Condition' END AS resource_type, CASE WHEN k % 4 = 3 THEN role ELSE 'Own ' || role END AS source_label,
-  CASE WHEN k % 4 < 2 THEN 'active' ELSE 'kept' END AS status, CASE WHEN k % 4 < 2 THEN 'cvx:77' END AS coding_keys,
-  CASE k % 4 WHEN 0 THEN 'one; two' WHEN 2 THEN CASE WHEN k % 8 = 2 THEN 'high · rash' ELSE 'rash' END END AS display_value,
-  CASE k % 4 WHEN 0 THEN 'Own ' || role || ' Own ' || role || ' one; two cvx:77' WHEN 1 THEN 'Own ' || role || ' Own ' || role || ' cvx:77' WHEN 2 THEN 'Own ' || role || ' rash' || CASE WHEN k % 8 = 2 THEN ' high' ELSE '' END END AS grouping_text,
-  '2024-01-05' AS date, 'patient' AS source FROM c
-""",
-)
+AUTHORED_SQL = """
+c AS (SELECT conv_id * 1000 + turn AS k, role FROM conversations),
+own AS (
+  SELECT 'a' || k AS id, CASE k % 4 WHEN 0 THEN 'MedicationRequest' WHEN 1 THEN 'Immunization' WHEN 2 THEN 'AllergyIntolerance' ELSE 'Condition' END AS resource_type, CASE WHEN k % 4 = 3 THEN role ELSE 'Own ' || role END AS source_label,
+    CASE WHEN k % 4 < 2 THEN 'active' ELSE 'kept' END AS status, CASE WHEN k % 4 < 2 THEN 'cvx:77' END AS coding_keys,
+    CASE k % 4 WHEN 0 THEN 'one; two' WHEN 2 THEN CASE WHEN k % 8 = 2 THEN 'high · rash' ELSE 'rash' END END AS display_value,
+    CASE k % 4 WHEN 0 THEN 'Own ' || role || ' Own ' || role || ' one; two cvx:77' WHEN 1 THEN 'Own ' || role || ' Own ' || role || ' cvx:77' WHEN 2 THEN 'Own ' || role || ' rash' || CASE WHEN k % 8 = 2 THEN ' high' ELSE '' END END AS grouping_text,
+    '2024-01-05' AS date, 'patient' AS source FROM c)
+"""
+
+
+@register("authored_records", f"WITH {AUTHORED_SQL} SELECT * FROM own")
 def authored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = records.authored_records(authored(Tables(spark, sf_dir)))
     return out.select("id", "resource_type", "source_label", "status", F.array_join("coding_keys", ",").alias("coding_keys"), "display_value", "grouping_text", "date", "source")
@@ -274,21 +280,23 @@ def authored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "unified_records",
     f"""
-WITH {ENCOUNTER_SQL},
+WITH {ENCOUNTER_SQL}, {MEDICATION_SQL}, {AUTHORED_SQL},
 u AS (
-  SELECT 'AllergyIntolerance' AS t, CASE WHEN c_custkey % 5 = 0 THEN 'high' END AS shown, {CUSTOMER_LABEL} AS label, CASE WHEN c_custkey % 2 = 0 THEN '2024-01-02' END AS date FROM customer
-  UNION ALL SELECT 'Condition', NULL, {CUSTOMER_LABEL}, CASE WHEN c_custkey % 3 = 0 THEN '2024-03-01' WHEN c_custkey % 2 = 0 THEN '2023-05-01T10:00:00Z' END FROM customer
-  UNION ALL SELECT 'Observation', CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END || ' mg/dL', event_type, CASE WHEN event_id % 4 < 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') END FROM events
-  UNION ALL SELECT 'Immunization', NULL, CASE WHEN s_suppkey % 5 = 0 THEN CASE WHEN s_suppkey % 7 <> 0 THEN CAST(s_suppkey AS VARCHAR) ELSE 'Immunization' END WHEN s_suppkey % 2 = 0 THEN 'Vaccine' ELSE CAST(s_suppkey % 20 AS VARCHAR) END, CASE WHEN s_suppkey % 2 = 0 THEN '2021-01-01' ELSE '2020-01-01' END FROM supplier
-  UNION ALL SELECT 'Encounter', provider, label, CASE WHEN k % 6 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '2030-01-01' END FROM v
-  UNION ALL SELECT 'Procedure', NULL, 'Proc ' || o_orderpriority, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN 'last year' ELSE '2001-01-01' END FROM orders
-  UNION ALL SELECT 'DiagnosticReport', CASE WHEN p_partkey % 5 = 0 THEN 'Fine ' || p_brand WHEN p_partkey % 3 = 0 THEN '1 linked result' WHEN p_partkey % 3 = 1 THEN '2 linked results' END, p_name, CASE WHEN p_partkey % 2 = 0 THEN '2024-01-01' ELSE '2024-02-02' END FROM part)
-SELECT t AS resource_type, label, count(*) AS n, count(shown) AS n_shown, min(shown) AS first_shown, max(date) AS last_date FROM u GROUP BY ALL
+  SELECT 'provider' AS source, 'AllergyIntolerance' AS t, CASE WHEN c_custkey % 5 = 0 THEN 'high' END AS shown, {CUSTOMER_LABEL} AS label, CASE WHEN c_custkey % 2 = 0 THEN '2024-01-02' END AS date FROM customer
+  UNION ALL SELECT 'provider', 'MedicationRequest', NULL, {MEDICATION_LABEL}, strftime(l_shipdate, '%Y-%m-%d') FROM j
+  UNION ALL SELECT source, resource_type, display_value, source_label, date FROM own
+  UNION ALL SELECT 'provider', 'Condition', NULL, {CUSTOMER_LABEL}, CASE WHEN c_custkey % 3 = 0 THEN '2024-03-01' WHEN c_custkey % 2 = 0 THEN '2023-05-01T10:00:00Z' END FROM customer
+  UNION ALL SELECT 'provider', 'Observation', CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END || ' mg/dL', event_type, CASE WHEN event_id % 4 < 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') END FROM events
+  UNION ALL SELECT 'provider', 'Immunization', NULL, CASE WHEN s_suppkey % 5 = 0 THEN CASE WHEN s_suppkey % 7 <> 0 THEN CAST(s_suppkey AS VARCHAR) ELSE 'Immunization' END WHEN s_suppkey % 2 = 0 THEN 'Vaccine' ELSE CAST(s_suppkey % 20 AS VARCHAR) END, CASE WHEN s_suppkey % 2 = 0 THEN '2021-01-01' ELSE '2020-01-01' END FROM supplier
+  UNION ALL SELECT 'provider', 'Encounter', provider, label, CASE WHEN k % 6 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '2030-01-01' END FROM v
+  UNION ALL SELECT 'provider', 'Procedure', NULL, 'Proc ' || o_orderpriority, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN 'last year' ELSE '2001-01-01' END FROM orders
+  UNION ALL SELECT 'provider', 'DiagnosticReport', CASE WHEN p_partkey % 5 = 0 THEN 'Fine ' || p_brand WHEN p_partkey % 3 = 0 THEN '1 linked result' WHEN p_partkey % 3 = 1 THEN '2 linked results' END, p_name, CASE WHEN p_partkey % 2 = 0 THEN '2024-01-01' ELSE '2024-02-02' END FROM part)
+SELECT source, t AS resource_type, label, count(*) AS n, count(shown) AS n_shown, min(shown) AS first_shown, max(date) AS last_date FROM u GROUP BY ALL
 """,
 )
 def unified_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = all_records(Tables(spark, sf_dir)).filter("source = 'provider'")
-    return rows.groupBy("resource_type", F.col("source_label").alias("label")).agg(
+    rows = all_records(Tables(spark, sf_dir))
+    return rows.groupBy("source", "resource_type", F.col("source_label").alias("label")).agg(
         F.count(F.lit(1)).alias("n"), F.count("display_value").alias("n_shown"), F.min("display_value").alias("first_shown"), F.max("date").alias("last_date")
     )
 

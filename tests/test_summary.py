@@ -79,3 +79,20 @@ def test_names_in_any_script_and_of_any_length_stay_apart(spark, resources):
     rows = resources(*[{"resourceType": "Condition", "id": str(n), "code": {"text": t}} for n, t in enumerate(["糖尿病", "高血圧", long + " one", long + " two"])])
     out = summarise(rows, *inputs(spark), now_ms=1_706_745_600_000)
     assert {r.name for r in out.groups.collect()} == {"糖尿病", "高血圧", long + " one", long + " two"}
+
+
+def test_members_vouch_for_links_and_copies_count_once(spark, resources):
+    def lab(i, status, hour=9):
+        return {"resourceType": "Observation", "id": i, "status": status, "code": loinc("4548-4", "HbA1c"), "category": [{"coding": [{"code": "laboratory"}]}], "effectiveDateTime": f"2024-01-20T{hour:02d}:00:00Z", "valueQuantity": {"value": 7.0, "unit": "%", "code": "%"}}
+
+    diabetes = {"resourceType": "Condition", "id": "c1", "code": {"text": "T2DM", "coding": [{"system": "http://hl7.org/fhir/sid/icd-10-cm", "code": "E11.9"}]}}
+    drug = {"resourceType": "MedicationRequest", "id": "m1", "status": "active", "medicationCodeableConcept": {"text": "metformin tablet", "coding": [{"system": "http://www.nlm.nih.gov/research/umls/rxnorm", "code": "860975"}]}}
+    north, south = resources(diabetes, drug, lab("o1", "final"), source="north"), resources(lab("x1", "final", 10), source="south")
+    early = resources(diabetes, lab("o1", "registered"), source="north").withColumn("patient_id", F.lit("p2"))
+    out = summarise(north.unionByName(south).unionByName(early), *inputs(spark), now_ms=1_706_745_600_000)
+    assert {(r.patient_id, r.source_type) for r in out.group_edges.collect()} == {("p1", "Observation"), ("p1", "MedicationRequest")}
+    names = {(r.patient_id, r.group_id): r.name for r in out.groups.collect()}
+    cards = {(r.patient_id, names[r.patient_id, r.group_id]): (r.n_records, r.n_duplicates, r.n_portals) for r in out.extra["cards"].collect()}
+    assert cards[("p1", "Hemoglobin A1c")] == (1, 1, 2) and cards[("p2", "Hemoglobin A1c")] == (1, 0, 1)
+    shown = {(r.patient_id, r.name) for r in out.extra["overview"].collect()}
+    assert shown == {("p1", "Diabetes Type 2"), ("p2", "Diabetes Type 2"), ("p2", "Hemoglobin A1c")}
