@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -43,6 +45,35 @@ def test_random_strings_but_not_names_and_digests(spark):
         assert spans(spark, f"see {plain} here") == []
 
 
+def test_one_class_separated_and_prefixed_random_strings(spark):
+    for secret in ("qzxkvjwphzmtrbngcfdy", "kqzj-vwpq-hzmt-xrbn", "XQZVK-83920-PLMWT-48213"):
+        assert spans(spark, f"see {secret} here") == [("random", secret)]
+    assert spans(spark, "production_environment_authentication_aZ3kQ9xT7bVw2LmN") == [("random", "aZ3kQ9xT7bVw2LmN")]
+    for plain in ("4929107700612938", "2024-01-31/2025-12-31", "src/main/java/org/example/service", "ABSTRACT_FACTORY_PROVIDER_REGISTRY", "well-known-and-often-used-words", "XMLHttpRequestFactoryBuilder"):
+        assert spans(spark, f"see {plain} here") == []
+
+
+def planted(rng, kind):
+    letters = {"lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "mixed": string.ascii_letters + string.digits, "dashed": string.ascii_lowercase, "licence": string.ascii_uppercase + string.digits}[kind]
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    return "-".join(word(5) for _ in range(5)) if kind in ("dashed", "licence") else word(24)
+
+
+def test_precision_and_recall_on_the_table(spark):
+    """Every fifth document gets a random string; spans of other runs would be false. Letters of one case are found in part."""
+    rng = random.Random(4)
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    kinds = ("lower", "upper", "mixed", "dashed", "licence")
+    put = {n: (kinds[n // 5 % 5], planted(rng, kinds[n // 5 % 5])) for n in range(0, len(rows), 5)}
+    frame = spark.createDataFrame([(n, f"{t} {put[n][1]} {t[:40]}" if n in put else t) for n, (_, t) in enumerate(rows)], "n long, text string")
+    found = {r.n: [r.text[s.start : s.end] for s in r.secret_spans if s.kind == "random"] for r in S.find_secrets(frame).collect()}
+    told = {k: [put[n][1] in found[n] for n in put if put[n][0] == k] for k in kinds}
+    recall = {k: sum(v) / len(v) for k, v in told.items()}
+    others = sum(s != put.get(n, ("", ""))[1] for n, spans in found.items() for s in spans)
+    assert others <= 2 and recall["mixed"] == 1 and recall["licence"] == 1, (others, recall)
+    assert recall["dashed"] > 0.9 and recall["upper"] > 0.7 and recall["lower"] > 0.4, recall
+
+
 def test_masks_join_overlaps_and_keep_the_rest(spark):
     text = 'é token = "0641917ea4e9feb9cda83477b57ac2654884f485" ü password=aaaaaaaa.'
     df = S.find_secrets(spark.createDataFrame([(text,), (None,), ("clean",)], "text string"))
