@@ -120,50 +120,50 @@ def search_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pattern classification over documents: the first words of a text get one clinical phrase
 
 ALLERGY_WORDS = ("No known allergies", "NKDA", "Peanut", "latex gloves", "no food allergy", "cefazolin", "ragweed", "stone", "no known adverse reaction", "seasonal", "no known latex allergies", "tree nut mix")
-ALLERGY_RESULT = (
-    ("negative_assertion", "generic"), ("negative_assertion", "drug"), ("specific_allergy", "food"), ("specific_allergy", "latex"), ("negative_assertion", "food"), ("specific_allergy", "drug"),
-    ("specific_allergy", "environmental"), ("specific_allergy", "unknown"), ("negative_assertion", "generic"), ("specific_allergy", "environmental"), ("negative_assertion", "latex"), ("specific_allergy", "food"),
-)
-
-
 def phrase_rows(t: Tables, words: tuple) -> DataFrame:
+    """Every document's own text; most have one clinical phrase behind it."""
     k = F.col("doc_id")
-    return t.documents.select("doc_id", "source", F.when(k % 50 == 49, "").otherwise(pick(k % len(words), *words)).alias("phrase"))
+    phrase = F.when(k % 50 != 49, pick(k % len(words), *words))
+    return t.heavy("documents").select("doc_id", "source", T.norm_text(F.concat_ws(" ", "text", phrase)).alias("words"))
 
 
-def _phrase_sql(words: tuple) -> str:
-    return f"CASE WHEN doc_id % 50 = 49 THEN '' ELSE {sql_pick(f'doc_id % {len(words)}', *words)} END"
+def _words_sql(words: tuple) -> str:
+    phrase = f"CASE WHEN doc_id % 50 <> 49 THEN {sql_pick(f'doc_id % {len(words)}', *words)} END"
+    return f"d AS (SELECT doc_id, trim(regexp_replace(lower(concat_ws(' ', text, {phrase})), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents)"
 
 
-@register(
-    "allergy_classes",
-    f"""
-WITH d AS (SELECT doc_id, doc_id % 12 AS k, doc_id % 50 = 49 AS blank FROM documents)
-SELECT doc_id, CASE WHEN blank THEN 'unknown' ELSE {sql_pick('k', *[r[0] for r in ALLERGY_RESULT])} END AS label, CASE WHEN blank THEN 'unknown' ELSE {sql_pick('k', *[r[1] for r in ALLERGY_RESULT])} END AS domain,
-  (CASE WHEN blank THEN 0.35 WHEN k = 7 THEN 0.45 WHEN k IN (0, 1, 4, 8, 10) THEN 0.92 ELSE 0.82 END)::DOUBLE AS confidence, blank OR k = 7 AS fallback FROM d
-""",
-)
-def allergy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = phrase_rows(Tables(spark, sf_dir), ALLERGY_WORDS)
-    return rows.select("doc_id", classify.classify_allergy(T.norm_text(F.col("phrase"))).alias("_c")).select("doc_id", "_c.label", "_c.domain", "_c.confidence", "_c.fallback")
+def _rules_sql(rules: list[tuple[str, str]], otherwise: str, empty: str) -> str:
+    """CASE over patterns in their order: what a pattern gives, what all others give, and what an empty text gives."""
+    return f"CASE WHEN t = '' THEN {empty} " + " ".join(f"WHEN regexp_matches(t, '{pattern}') THEN {value}" for pattern, value in rules) + f" ELSE {otherwise} END"
 
 
-VISIT_PHRASES = ("Video visit", "urgent care", "EMER", "hospital stay", "home visit", "Surgical day", "AMB", "meeting", "ED follow-up", "Telephone emergency")
-VISIT_RESULT = ("telehealth", "urgent_care", "emergency", "inpatient", "home_health", "procedure", "outpatient", "unknown", "emergency", "telehealth")
+def _allergy_sql() -> str:
+    denials, named = classify.NO_ALLERGY, classify.ALLERGENS
+    label = _rules_sql([(p, "'negative_assertion'") for _, p in denials] + [(p, "'specific_allergy'") for _, p in named], "'specific_allergy'", "'unknown'")
+    domain = _rules_sql([(p, f"'{d}'") for d, p in (*denials, *named)], "'unknown'", "'unknown'")
+    confidence = _rules_sql([(p, "0.92") for _, p in denials] + [(p, "0.82") for _, p in named], "0.45", "0.35")
+    return f"{_words_sql(ALLERGY_WORDS)}, al AS (SELECT doc_id, {label} AS label, {domain} AS domain, CAST({confidence} AS DOUBLE) AS confidence FROM d)"
 
 
-@register("visit_classes", f"SELECT doc_id, CASE WHEN doc_id % 50 = 49 THEN 'unknown' ELSE {sql_pick('doc_id % 10', *VISIT_RESULT)} END AS label FROM documents")
-def visit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = phrase_rows(Tables(spark, sf_dir), VISIT_PHRASES)
-    return rows.select("doc_id", classify.classify_visit(T.norm_text(F.col("phrase")))["label"].alias("label"))
+@register("allergy_classes", f"WITH {_allergy_sql()} SELECT doc_id, label, domain, confidence, confidence < 0.5 AS fallback FROM al")
+def allergy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = phrase_rows(Tables(spark, sf_dir), ALLERGY_WORDS)
+    return rows.select("doc_id", classify.classify_allergy(F.col("words")).alias("_c")).select("doc_id", "_c.label", "_c.domain", "_c.confidence", "_c.fallback")
 
 
+VISIT_PHRASES = ("Video visit", "urgent care", "EMER", "hospital stay", "home visit", "Surgical day", "AMB", "meeting", "ED follow-up", "Telephone emergency")
 VISIT_CLASS_SQL = r"""CASE WHEN t = '' THEN 'unknown' WHEN regexp_matches(t, '\b(telehealth|telemedicine|virtual|video visit|telephone)\b') THEN 'telehealth' WHEN regexp_matches(t, '\burgent care\b') THEN 'urgent_care'
   WHEN regexp_matches(t, '\b(emergency|ed|emer)\b') THEN 'emergency' WHEN regexp_matches(t, '\b(inpatient|hospital stay|hospitalization|imp)\b') THEN 'inpatient' WHEN regexp_matches(t, '\b(home health|home visit|hh)\b') THEN 'home_health'
   WHEN regexp_matches(t, '\b(surgery|surgical|procedure|operative)\b') THEN 'procedure' WHEN regexp_matches(t, '\b(outpatient|ambulatory|office visit|clinic|amb)\b') THEN 'outpatient' ELSE 'unknown' END"""
 VISIT_TEXTS_SQL = "d AS (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents)"
 
 
+@register("visit_classes", f"WITH {_words_sql(VISIT_PHRASES)} SELECT doc_id, {VISIT_CLASS_SQL} AS label FROM d")
+def visit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = phrase_rows(Tables(spark, sf_dir), VISIT_PHRASES)
+    return rows.select("doc_id", classify.classify_visit(F.col("words"))["label"].alias("label"))
+
+
 @register(
     "visit_class_counts",
     f"WITH {VISIT_TEXTS_SQL} SELECT source, coalesce(CASE WHEN doc_id % 9 = 0 THEN 'inpatient' END, {VISIT_CLASS_SQL}) AS visit_class, count(*) AS n FROM d GROUP BY ALL",
@@ -180,20 +180,20 @@ def visit_words_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OBS_CATEGORIES = ("laboratory", "Vital Signs", "exam", None, "LAB", "", "vitals")
 OBS_WORDS = ("Heart Rate", "Hemoglobin A1c", "Mood", "BMI", "Vitamin D", "walk", "Glucose", "lab panel")
+_by_words = lambda vitals, labs, other: _rules_sql([(classify.VITAL_WORDS, vitals), (classify.LAB_WORDS, labs)], other, other)
 
 
 @register(
     "observation_classes",
     f"""
-WITH d AS (SELECT doc_id, {sql_pick('doc_id % 7', *OBS_CATEGORIES)} AS c, {sql_pick('doc_id % 8', *OBS_WORDS)} AS w FROM documents)
-SELECT doc_id, CASE WHEN lower(c) IN ('laboratory', 'lab') THEN 'labs' WHEN lower(c) IN ('vital signs', 'vitals') THEN 'vitals' WHEN c = 'exam' THEN 'other' WHEN w IN ('Heart Rate', 'BMI') THEN 'vitals' WHEN w IN ('Mood', 'walk') THEN 'unknown' ELSE 'labs' END AS label,
-  (CASE WHEN c = 'exam' THEN 0.9 WHEN coalesce(c, '') <> '' THEN 1.0 WHEN w IN ('Heart Rate', 'BMI') THEN 0.78 WHEN w IN ('Mood', 'walk') THEN 0.4 ELSE 0.75 END)::DOUBLE AS confidence FROM d
+WITH {_words_sql(OBS_WORDS)}, x AS (SELECT *, lower({sql_pick('doc_id % 7', *OBS_CATEGORIES)}) AS c FROM d)
+SELECT doc_id, CASE WHEN c IN ('laboratory', 'lab') THEN 'labs' WHEN c IN ('vital signs', 'vitals') THEN 'vitals' WHEN c <> '' THEN 'other' ELSE {_by_words("'vitals'", "'labs'", "'unknown'")} END AS label,
+  CAST(CASE WHEN c IN ('laboratory', 'lab', 'vital signs', 'vitals') THEN 1.0 WHEN c <> '' THEN 0.9 ELSE {_by_words("0.78", "0.75", "0.4")} END AS DOUBLE) AS confidence FROM x
 """,
 )
 def observation_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id")
-    c = classify.classify_observation(pick(k % 7, *OBS_CATEGORIES), F.lit(None).cast("string"), T.norm_text(pick(k % 8, *OBS_WORDS)))
-    return Tables(spark, sf_dir).documents.select("doc_id", c.alias("_c")).select("doc_id", "_c.label", "_c.confidence")
+    c = classify.classify_observation(pick(F.col("doc_id") % 7, *OBS_CATEGORIES), F.lit(None).cast("string"), F.col("words"))
+    return phrase_rows(Tables(spark, sf_dir), OBS_WORDS).select("doc_id", c.alias("_c")).select("doc_id", "_c.label", "_c.confidence")
 
 
 @register("name_buckets", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'vitals' WHEN 1 THEN 'labs' WHEN 2 THEN 'other' ELSE 'given' END AS bucket FROM documents")
@@ -206,28 +206,25 @@ def name_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "superseded_negatives",
     f"""
-WITH d AS (SELECT doc_id, doc_id % 40 AS p, doc_id % 5 <> 0 AS active, {sql_pick('doc_id % 12', *[r[0] for r in ALLERGY_RESULT])} AS label, {sql_pick('doc_id % 12', *[r[1] for r in ALLERGY_RESULT])} AS domain, doc_id % 50 = 49 AS blank FROM documents),
-s AS (SELECT DISTINCT p, domain FROM d WHERE active AND label = 'specific_allergy' AND NOT blank)
-SELECT doc_id FROM d WHERE label = 'negative_assertion' AND NOT blank AND (domain = 'generic' AND p IN (SELECT p FROM s) OR domain <> 'generic' AND (p, domain) IN (SELECT (p, domain) FROM s))
+WITH {_allergy_sql()}, x AS (SELECT *, doc_id % 40 AS p, doc_id % 5 <> 0 AS active FROM al),
+s AS (SELECT DISTINCT p, domain FROM x WHERE active AND label = 'specific_allergy')
+SELECT doc_id FROM x WHERE label = 'negative_assertion' AND (domain = 'generic' AND p IN (SELECT p FROM s) OR domain <> 'generic' AND (p, domain) IN (SELECT (p, domain) FROM s))
 """,
 )
 def superseded_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = phrase_rows(Tables(spark, sf_dir), ALLERGY_WORDS)
-    made = rows.select("doc_id", (F.col("doc_id") % 40).alias("patient_id"), (F.col("doc_id") % 5 != 0).alias("active"), classify.classify_allergy(T.norm_text(F.col("phrase"))).alias("_c")).select("doc_id", "patient_id", "active", "_c.*")
-    return classify.superseded_negatives(made).select("doc_id")
+    return classify.superseded_negatives(classified_allergies(Tables(spark, sf_dir))).select("doc_id")
 
 
-@register(
-    "active_allergy_domains",
-    f"""
-WITH d AS (SELECT doc_id % 40 AS patient_id, doc_id % 5 <> 0 AS active, {sql_pick('doc_id % 12', *[r[0] for r in ALLERGY_RESULT])} AS label, {sql_pick('doc_id % 12', *[r[1] for r in ALLERGY_RESULT])} AS domain FROM documents WHERE doc_id % 50 <> 49)
-SELECT DISTINCT patient_id, domain FROM d WHERE active AND label = 'specific_allergy'
-""",
-)
+def classified_allergies(t: Tables) -> DataFrame:
+    """Documents as allergy notes of 40 patients; every fifth is not active."""
+    k = F.col("doc_id")
+    rows = phrase_rows(t, ALLERGY_WORDS).select("doc_id", (k % 40).alias("patient_id"), (k % 5 != 0).alias("active"), classify.classify_allergy(F.col("words")).alias("_c"))
+    return rows.select("doc_id", "patient_id", "active", "_c.*")
+
+
+@register("active_allergy_domains", f"WITH {_allergy_sql()} SELECT DISTINCT doc_id % 40 AS patient_id, domain FROM al WHERE doc_id % 5 <> 0 AND label = 'specific_allergy'")
 def active_allergy_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = phrase_rows(Tables(spark, sf_dir), ALLERGY_WORDS)
-    made = rows.select((F.col("doc_id") % 40).alias("patient_id"), (F.col("doc_id") % 5 != 0).alias("active"), classify.classify_allergy(T.norm_text(F.col("phrase"))).alias("_c")).select("patient_id", "active", "_c.*")
-    return classify.active_domains(made)
+    return classify.active_domains(classified_allergies(Tables(spark, sf_dir)))
 
 
 VERSIONS = {"AllergyIntolerance.classifyAllergy": 1, "Encounter.classifyClass": 2}
