@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.json_fields import field, parse_once, text
 from ..functions.text import fnv1a_base36
@@ -30,16 +30,44 @@ def bundle_entries(bundles: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+#: A position is the number of the file, in order of names, and below it the position inside the file.
+FILE_BITS = 40
+
+
+def numbered_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, file_no)`` of the files of a folder in order of their names; contents are not read, so the one sort sees a name per file."""
+    names = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"))
+    return names.withColumn("file_no", F.row_number().over(Window.orderBy("path")).cast("bigint") - 1)
+
+
+def with_positions(rows: DataFrame, files: DataFrame, inside: str) -> DataFrame:
+    """``rows(path, inside)`` with ``input_pos``, so that pages of one patient follow each other and never share a position."""
+    return rows.join(files, "path").withColumn("input_pos", F.shiftleft("file_no", FILE_BITS) + F.col(inside)).drop("file_no", inside)
+
+
 def read_bundles(spark: SparkSession, path: str, source_id: Column, patient_id: Column) -> DataFrame:
     """Scan a folder of bundle files (one JSON document per file) into the resource model.
 
-    ``source_id`` and ``patient_id`` are expressions over ``path`` (the file) and ``body``. The position
-    of a resource is its file position: a bundle file is read by one task, files are read in parallel.
+    ``source_id`` and ``patient_id`` are expressions over ``path`` (the file) and ``body``. A bundle file is read by one task,
+    files are read in parallel; several files of one source and patient are its pages, in order of their names.
     """
     files = parse_once(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"), "value")
-    keyed = files.select(source_id.alias("source_id"), patient_id.alias("patient_id"), "body")
-    rows = bundle_entries(keyed)
-    return rows.select("source_id", "patient_id", F.col("entry_pos").cast("bigint").alias("input_pos"), "resource_type", "id", "body")
+    keyed = files.select("path", source_id.alias("source_id"), patient_id.alias("patient_id"), "body")
+    rows = bundle_entries(keyed).withColumn("_at", F.col("entry_pos").cast("bigint"))
+    return with_positions(rows, numbered_files(spark, path), "_at").select(*RESOURCE_COLUMNS)
+
+
+def read_resource_lines(spark: SparkSession, path: str, source_id: Column, patient_id: Column) -> DataFrame:
+    """Scan a folder of files with one resource per line into the resource model; a large file is read by many tasks.
+
+    Lines are numbered inside the split that reads them, from the split's first byte on. A split has no more lines than bytes,
+    so the numbers of a file ascend. Lines that hold no resource are left out.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") + row).alias("_at"), "value")
+    parsed = parse_once(lines, "value").filter(F.schema_of_variant("body").startswith("OBJECT") & text(F.col("body"), "resourceType").isNotNull())
+    keyed = parsed.select("path", "_at", source_id.alias("source_id"), patient_id.alias("patient_id"), text(F.col("body"), "resourceType").alias("resource_type"), text(F.col("body"), "id").alias("id"), "body")
+    return with_positions(keyed, numbered_files(spark, path), "_at").select(*RESOURCE_COLUMNS)
 
 
 def source_id_for(base_url: Column, patient_id: Column) -> Column:

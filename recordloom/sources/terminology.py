@@ -38,6 +38,11 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return shard_entries(spark.read.option("wholetext", True).text(path), F.col("system"))
 
 
+def read_shard_lines(spark: SparkSession, path: str, schema: str = "code string, name string") -> DataFrame:
+    """A folder as ``write_shards`` leaves it, one entry per line: large shards are read by many tasks, and only those of the systems asked for."""
+    return spark.read.schema(f"{schema}, system string").json(path)
+
+
 def systems_in_records(coding_keys: DataFrame, key: str = "coding_key") -> DataFrame:
     """Distinct terminology systems that occur in a column of coding keys (one key per row)."""
     return coding_keys.select(parse_coding_key(F.col(key))["system"].alias("system")).filter("system is not null").distinct()

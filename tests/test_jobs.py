@@ -17,7 +17,34 @@ def test_read_bundles(spark, tmp_path):
     (tmp_path / "broken.json").write_text("{")
     name = F.regexp_extract("path", r"([^/]+)\.json$", 1)
     df = bundles.read_bundles(spark, str(tmp_path), name, name)
-    assert sorted((r.source_id, r.input_pos, r.resource_type, r.id) for r in df.collect()) == sorted((f"b{n}", p, t, i) for n in range(3) for p, t, i in ((0, "Patient", f"p{n}"), (2, "Condition", "c")))
+    at = lambda n, p: (n << bundles.FILE_BITS) + p
+    assert sorted((r.source_id, r.input_pos, r.resource_type, r.id) for r in df.collect()) == sorted((f"b{n}", at(n, p), t, i) for n in range(3) for p, t, i in ((0, "Patient", f"p{n}"), (2, "Condition", "c")))
+
+
+def test_pages_of_two_portals_keep_nameless_resources_apart(spark, tmp_path):
+    for source in ("north", "south"):
+        for page in range(3):
+            body = {"resourceType": "Bundle", "entry": [{"resource": {"resourceType": "Observation", "status": f"{source}{page}{n}"}} for n in range(2)]}
+            (tmp_path / f"{source}-page{page} x.json").write_text(json.dumps(body))
+    df = bundles.read_bundles(spark, str(tmp_path), F.regexp_extract("path", r"(north|south)", 1), F.lit("p"))
+    rows = sorted((r.source_id, r.input_pos, r.status) for r in df.select("source_id", "input_pos", F.expr("try_variant_get(body, '$.status', 'string')").alias("status")).collect())
+    assert [r[2] for r in rows] == [f"{s}{p}{n}" for s in ("north", "south") for p in range(3) for n in range(2)]
+    assert len({r[1] for r in rows}) == 12
+
+
+def test_resource_lines_are_split_and_keep_their_order(spark, tmp_path):
+    for f in range(2):
+        lines = [json.dumps({"resourceType": "Observation", "id": f"{f}-{n:04d}", "note": "x" * (n % 90)}) for n in range(900)]
+        (tmp_path / f"part{f}.ndjson").write_text("\n".join([*lines[:5], "", "{", "[1]", '{"id": "none"}', *lines[5:]]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = bundles.read_resource_lines(spark, str(tmp_path), F.lit("s"), F.lit("p"))
+        assert df.rdd.getNumPartitions() > 4
+        found = [r.id for r in df.orderBy("input_pos").collect()]
+        assert found == [f"{f}-{n:04d}" for f in range(2) for n in range(900)] and df.select("input_pos").distinct().count() == 1800
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_csv_header_is_checked(spark, tmp_path):
@@ -32,7 +59,7 @@ def test_csv_header_is_checked(spark, tmp_path):
 def test_shards_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("loinc", "1", "A"), ("loinc", "2", "B"), ("cvx", "3", "C")], "system string, code string, name string")
     terminology.write_shards(rows, str(tmp_path / "out"))
-    back = spark.read.json(str(tmp_path / "out" / "shards"))
+    back = terminology.read_shard_lines(spark, str(tmp_path / "out" / "shards"))
     assert {(r.system, r.code) for r in back.collect()} == {("loinc", "1"), ("loinc", "2"), ("cvx", "3")}
     assert {r.system: r.entries for r in spark.read.json(str(tmp_path / "out" / "manifest")).collect()} == {"loinc": 2, "cvx": 1}
 
