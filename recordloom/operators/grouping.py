@@ -6,7 +6,7 @@ members of a group into an array, so a group may hold any share of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.coding import target_coding_keys
 from ..functions.ranking import extreme_row, top_k
@@ -336,11 +336,27 @@ def unassigned_records(records: DataFrame, members: DataFrame) -> DataFrame:
     return visible(records).join(ids, ["patient_id", "id"], "left_anti")
 
 
+def free_ids(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """``(patient_id, group_id, _new)``: each wanted id, or with the first ``-fallback-n`` behind it that no taken id has.
+
+    A taken id holds number 0 of itself and, if it ends in ``-fallback-n``, number n of what stands before. In the order of
+    the numbers held, the first one above its own place leaves its place free.
+    """
+    tail = F.regexp_extract("group_id", r"^(?s:(.*))-fallback-([1-9]\d{0,17})$", 2)
+    head = F.regexp_extract("group_id", r"^(?s:(.*))-fallback-([1-9]\d{0,17})$", 1)
+    own = F.struct(F.col("group_id"), F.lit(0).cast("bigint").alias("n"))
+    held = F.when(tail == "", F.array(own)).otherwise(F.array(own, F.struct(head.alias("group_id"), tail.cast("bigint").alias("n"))))
+    numbers = taken.select("patient_id", F.explode(held).alias("_h")).select("patient_id", "_h.*").distinct().join(wanted, ["patient_id", "group_id"], "left_semi")
+    placed = numbers.withColumn("_place", F.row_number().over(Window.partitionBy("patient_id", "group_id").orderBy("n")).cast("bigint") - 1)
+    first = placed.groupBy("patient_id", "group_id").agg(F.coalesce(F.min(F.when(F.col("n") > F.col("_place"), F.col("_place"))), F.count(F.lit(1))).alias("_free"))
+    free = wanted.join(first, ["patient_id", "group_id"], "left")
+    return free.select("patient_id", "group_id", F.when(F.coalesce("_free", F.lit(0)) == 0, F.col("group_id")).otherwise(F.concat("group_id", F.lit("-fallback-"), F.col("_free").cast("string"))).alias("_new"))
+
+
 def leftover_groups(records: DataFrame, fallback: DataFrame, fallback_members: DataFrame, assigned: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fallback groups cut to the records nobody took, with ids that are not in use.
 
-    A clash gets the first free ``-fallback-n``: candidates up to the number of taken ids that share the
-    stem plus one are generated and anti-joined, the smallest free one wins.
+    A clash gets the first free ``-fallback-n``; see ``free_ids``.
     """
     free = unassigned_records(records, assigned).select("patient_id", F.col("id").alias("record_id"), "resource_type", "category", "category_code")
     first_group = extreme_row(
@@ -351,12 +367,7 @@ def leftover_groups(records: DataFrame, fallback: DataFrame, fallback_members: D
     regrouped = rows.groupBy("patient_id", "group_id").agg(F.array_sort(F.collect_set("resource_type")).alias("resource_types"), bucket_agreement("_b").alias("bucket"))
     info = fallback.select("patient_id", "group_id", "name", "confidence", "reason")
     groups = regrouped.join(info, ["patient_id", "group_id"])
-    stem = F.regexp_replace(F.col("group_id"), r"-fallback-\d+$", "")
-    pressure = taken.select("patient_id", stem.alias("group_id")).groupBy("patient_id", "group_id").agg(F.count(F.lit(1)).alias("_t"))
-    tries = groups.select("patient_id", "group_id").join(pressure, ["patient_id", "group_id"], "left").withColumn("_try", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_t", F.lit(0)) + 1)))
-    named = tries.withColumn("_new", F.when(F.col("_try") == 0, F.col("group_id")).otherwise(F.concat("group_id", F.lit("-fallback-"), F.col("_try").cast("string"))))
-    open_ids = named.join(taken.select("patient_id", F.col("group_id").alias("_new")), ["patient_id", "_new"], "left_anti")
-    chosen = open_ids.groupBy("patient_id", "group_id").agg(F.min_by("_new", "_try").alias("_new"))
+    chosen = free_ids(groups.select("patient_id", "group_id"), taken)
     out = groups.join(chosen, ["patient_id", "group_id"]).select(
         "patient_id", F.col("_new").alias("group_id"), "name", "resource_types", "bucket",
         F.least("confidence", F.lit(0.55)).alias("confidence"),

@@ -50,3 +50,13 @@ def test_claims_prefer_the_first_association_and_codes(spark):
     found = spark.createDataFrame([("p", "m1", "X99", 0), ("p", "m1", "I10", 1), ("p", "m1", "E11", 2), ("p", "m2", "E11", 0), ("p", "m3", "E1", 0)], "patient_id string, source_group string, condition_code string, assoc_pos int")
     got = {r.medication_group: r.condition_group for r in relationships.claim_medications(found, conditions).collect()}
     assert got == {"m1": "Condition:c", "m2": "Condition:a"}
+
+
+def test_free_ids_fill_the_first_gap(spark):
+    from recordloom.operators import grouping
+
+    taken = ["a", "a-fallback-1", "a-fallback-2", "a-fallback-4", "b-fallback-1", "c", "c-fallback-02", "c-fallback-3", "d-fallback-1", "d", "d-fallback-1-fallback-1", "a"] + [f"e-fallback-{n}" for n in range(1, 400)] + ["e"]
+    wanted = ["a", "b", "c", "d", "d-fallback-1", "e", "f"]
+    rows = [("p", t) for t in taken] + [("q", "f")]
+    got = grouping.free_ids(spark.createDataFrame([("p", w) for w in wanted], "patient_id string, group_id string"), spark.createDataFrame(rows, "patient_id string, group_id string"))
+    assert {r.group_id: r._new for r in got.collect()} == {"a": "a-fallback-3", "b": "b", "c": "c-fallback-1", "d": "d-fallback-2", "d-fallback-1": "d-fallback-1-fallback-2", "e": "e-fallback-400", "f": "f"}
