@@ -88,27 +88,31 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def observation_conditions(edges: DataFrame) -> DataFrame:
     """Distinct ``(observation_key, condition_key)``: direct, through the visit, or through a report.
 
-    Depth is fixed, so these are plain joins. Visit -> condition pairs are made distinct before
-    they meet the observations of the visit.
+    Every edge takes its place in the paths by the types of its ends, whichever way it points. Visits and reports are the
+    middle of a path: their conditions are made distinct before they meet the observations, in one join for both.
     """
-    adj = adjacency(edges).select("record_key", "related_key", "kind")
-
-    def hop(a: str, b: str, kinds: list[str] | None = None) -> DataFrame:
-        rows = adj.filter(F.col("record_key").startswith(f"{a}/") & F.col("related_key").startswith(f"{b}/"))
-        rows = rows.filter(F.col("kind").isin(*kinds)) if kinds else rows
-        return rows.select(F.col("record_key").alias(a), F.col("related_key").alias(b)).distinct()
-
-    visit_conditions = hop("Encounter", "Condition", ["reason", "diagnosis"])
-    report_conditions = hop("DiagnosticReport", "Condition").unionByName(
-        hop("DiagnosticReport", "Encounter", ["encounter"]).join(visit_conditions, "Encounter").select("DiagnosticReport", "Condition")
-    ).distinct()
-    found = [
-        hop("Observation", "Condition"),
-        hop("Observation", "Encounter", ["encounter"]).join(visit_conditions, "Encounter").select("Observation", "Condition"),
-        hop("Observation", "DiagnosticReport", ["result"]).join(report_conditions, "DiagnosticReport").select("Observation", "Condition"),
-    ]
-    pairs = reduce(lambda a, b: a.unionByName(b), found).distinct()
-    return pairs.select(F.col("Observation").alias("observation_key"), F.col("Condition").alias("condition_key"))
+    far = {  # (near end, far end, kinds that count): a step of a path
+        "visit_condition": ("Encounter", "Condition", ["reason", "diagnosis"]),
+        "report_condition": ("DiagnosticReport", "Condition", None),
+        "report_visit": ("DiagnosticReport", "Encounter", ["encounter"]),
+        "observation_condition": ("Observation", "Condition", None),
+        "observation_visit": ("Observation", "Encounter", ["encounter"]),
+        "observation_report": ("Observation", "DiagnosticReport", ["result"]),
+    }
+    place = F.lit(None).cast("struct<step:string,near:string,far:string>")
+    for step, (a, b, kinds) in far.items():
+        counts = F.col("kind").isin(*kinds) if kinds else F.lit(True)
+        for near, other, start, end in ((a, b, "src", "dst"), (b, a, "dst", "src")):
+            fits = (F.col("src_type") == near) & (F.col("dst_type") == other) & counts
+            place = F.coalesce(place, F.when(fits, F.struct(F.lit(step).alias("step"), F.col(start).alias("near"), F.col(end).alias("far"))))
+    steps = edges.select(F.inline(F.filter(F.array(place), lambda p: p.isNotNull())))
+    of = lambda *names: steps.filter(F.col("step").isin(*names)).select("near", "far")
+    visits = of("visit_condition").distinct()
+    through_visit = of("report_visit").withColumnRenamed("far", "middle").join(visits.withColumnRenamed("near", "middle"), "middle").select("near", "far")
+    middles = visits.unionByName(of("report_condition").unionByName(through_visit).distinct()).withColumnRenamed("near", "middle")
+    met = of("observation_visit", "observation_report").withColumnRenamed("far", "middle").join(middles, "middle").select("near", "far")
+    pairs = of("observation_condition").unionByName(met).distinct()
+    return pairs.select(F.col("near").alias("observation_key"), F.col("far").alias("condition_key"))
 
 
 def record_groups(members: DataFrame) -> DataFrame:
