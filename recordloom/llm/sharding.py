@@ -33,6 +33,14 @@ def balanced_tree(shards: int, per_rack: int = PER_RACK, racks: int = RACKS) ->
     return tree
 
 
+def grown_tree(shards: int) -> Tree:
+    """The balanced tree of SHARDS shards; every further shard opens a region of its own, so a new one takes keys into itself alone."""
+    tree = balanced_tree(min(shards, SHARDS))
+    for n in range(SHARDS, shards):
+        tree[f"region{len(tree)}"] = {f"rack{SHARDS // PER_RACK + n - SHARDS}": {str(n): 1.0}}
+    return tree
+
+
 def children(tree: Tree) -> dict[str, list[dict]]:
     """For each path its children with their weights; the weight of a node is that of its shards. Weightless nodes get nothing."""
     found: dict[str, list[dict]] = {}
@@ -67,8 +75,8 @@ def descend(key: Column, tree: Tree) -> list[Column]:
 
 
 def place(docs: DataFrame, tree: Tree, key: str = "doc_id") -> DataFrame:
-    """``docs`` with the columns region, rack and shard."""
-    return docs.select("*", *descend(F.col(key), tree))
+    """``docs`` with the columns region, rack and shard; given columns of these names are replaced."""
+    return docs.withColumns(dict(zip(LEVELS, descend(F.col(key), tree), strict=True)))
 
 
 def numbered(rows: DataFrame, group: str, into: str) -> DataFrame:
@@ -86,14 +94,16 @@ def numbered(rows: DataFrame, group: str, into: str) -> DataFrame:
 
 
 def shard_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Shard, slot in it, and the shard with one more, per document."""
+    """Shard, slot in it, and the shard with one more, per document; the law holds from SHARDS shards on."""
+    if shards < SHARDS:
+        raise ValueError(f"the law of the key holds from {SHARDS} shards on")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(
         "doc_id",
         (F.length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"),
-        descend(F.col("doc_id"), balanced_tree(shards))[-1].cast("int").alias("shard"),
-        descend(F.col("doc_id"), balanced_tree(shards + 1))[-1].cast("int").alias("grown_shard"),
+        descend(F.col("doc_id"), grown_tree(shards))[-1].cast("int").alias("shard"),
+        descend(F.col("doc_id"), grown_tree(shards + 1))[-1].cast("int").alias("grown_shard"),
     )
     return numbered(rows, "shard", "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

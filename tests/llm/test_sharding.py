@@ -54,3 +54,12 @@ def test_slots_do_not_depend_on_the_size_of_a_group(spark):
     for r in H.numbered(rows, "g", "n").collect():
         found[r.g].append(r.n)
     assert all(sorted(n) == list(range(len(n))) for n in found.values())
+
+
+def test_every_further_shard_takes_rows_into_itself_alone(spark):
+    docs = spark.range(700).selectExpr("id as doc_id", "cast(id as string) as text", "'old' as shard")
+    for shards in (8, 9, 10, 11):
+        moved = [r for r in H.shard_report(docs, shards).collect() if r.shard != r.grown_shard]
+        assert moved and {r.grown_shard for r in moved} == {shards}
+    placed = H.place(docs, H.grown_tree(9))
+    assert placed.columns == ["doc_id", "text", "shard", "region", "rack"] and placed.where("shard = 'old'").count() == 0
