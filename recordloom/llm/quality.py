@@ -167,5 +167,6 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 def kept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their columns."""
-    values = valued(docs, fit_text_model(docs, labels), host, path)
-    return with_posterior(values, *site_shares(values)).where(F.col("_q_quality") >= THRESHOLD).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text", F.col(host).alias("host"), F.col(path).alias("path"))  # given columns of any name stay as they are
+    values = valued(rows, fit_text_model(docs, labels), "host", "path")
+    return with_posterior(values, *site_shares(values)).where(F.col("_q_quality") >= THRESHOLD).select("row.*")

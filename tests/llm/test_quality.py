@@ -56,4 +56,7 @@ def test_odd_rows_and_missing_labels(spark, odd, none):
     assert Q.kept(odd, labels).columns == odd.columns
     assert Q.kept(odd, labels.where("false")).count() == odd.count()
     assert Q.score(none, labels).count() == 0
+    marked = docs.selectExpr("*", "doc_id as _q_host", "'x' as _q_p", "2 as row")
+    kept = Q.kept(marked, labels)
+    assert kept.columns == marked.columns and kept.where("_q_host <> doc_id OR _q_p <> 'x' OR row <> 2").count() == 0 and kept.count() > 0
     assert Q.kept(none, labels.where("false")).columns == odd.columns
