@@ -81,8 +81,8 @@ def canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terminology.canonical_codes(groups, builds.first_canonical_codes(rows)).select("p_partkey", "category", "canonical_code", "canonical_system")
 
 
-#: Ingredients of a part: its brand and its type, each in two hundred lots.
-LOTS = 200
+#: Ingredients of a part: its brand and its type, each in a thousand lots.
+LOTS = 1000
 INGREDIENTS_SQL = f"[p_brand || '-' || p_partkey % {LOTS}, p_type || '-' || p_partkey % {LOTS}]"
 
 
