@@ -218,7 +218,9 @@ def window_hits(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFram
     blank = {"term": "string", "places": "binary", "n_words": "array<int>", "wid": "long", "words": "string"}
     shaped = lambda df, kind: df.select(*[F.lit(kind).alias(c) if c == "kind" else F.col(c) if c in df.columns else F.lit(None).cast(blank[c]).alias(c) for c in meeting])
     about = index.where("n_words IS NOT NULL").select("segment", "n_words").join(candidates.select("segment").distinct(), "segment", "left_semi")
-    moved = lists.select("segment", "term", "places").join(asked, ["segment", "term"], "left_semi")
+    # Lists of words in no candidate window drop out before any exchange where the words are few enough to be broadcast.
+    wanted = lists.select("segment", "term", "places").join(terms.join(rarest.select("wid"), "wid", "left_semi").select("term").distinct(), "term", "left_semi")
+    moved = wanted.join(asked, ["segment", "term"], "left_semi")
     rows = shaped(about, 0).union(shaped(moved, 1)).union(shaped(candidates.join(windows, "wid"), 2))
     return rows.repartition("segment").sortWithinPartitions("segment", "kind").mapInArrow(segment_search(slop), HITS)
 
