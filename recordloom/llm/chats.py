@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -44,8 +43,7 @@ SUMS = "struct<rows:long,illegal:long,head:string,tail:string,costs:array<long>,
 Vector = tuple[tuple[int, ...], tuple[int, ...]]  # costs by state, and the order of their least audits
 
 
-@lru_cache(maxsize=None)
-def steps(kind: int) -> dict[tuple[int, int], tuple[int, str]]:
+def _steps(kind: int) -> dict[tuple[int, int], tuple[int, str]]:
     """(cost, edits) of the cheapest, then ASCII-least way over one row, by (state before, state after)."""
     initial, fault = divmod(kind, 3)
     late = TRUNCATED if fault == 1 else 0
@@ -63,28 +61,39 @@ def steps(kind: int) -> dict[tuple[int, int], tuple[int, str]]:
     return found
 
 
-@lru_cache(maxsize=1 << 16)
+#: By kind. These tables and memories are plain values, as workers get this module's functions without the module.
+STEPS = [_steps(kind) for kind in range(12)]
+#: Vectors less their least cost are few, so nearly all are looked up.
+FORWARD: dict[tuple[Vector, int], tuple[int, Vector]] = {}
+BACKWARD: dict[tuple[tuple[int, ...], int], tuple[int, ...]] = {}
+
+
 def forward(vector: Vector, kind: int) -> tuple[int, Vector]:
-    """The least cost after one more row, and the vector less that cost. Few vectors exist, so nearly all are looked up."""
-    costs, order = vector
-    ways = {}
-    for (before, after), (cost, edits) in steps(kind).items():
-        way = (costs[before] + cost, order[before], edits)
-        ways[after] = min(ways.get(after, way), way)
-    totals = [ways[s][0] if s in ways else NEVER for s in range(4)]
-    rank = sorted(range(4), key=lambda s: ways[s][1:] if s in ways else (9, ""))
-    low = min(totals)
-    return low, (tuple(min(t - low, NEVER) for t in totals), tuple(rank.index(s) for s in range(4)))
+    """The least cost after one more row, and the vector less that cost."""
+    known = FORWARD.get((vector, kind))
+    if known is None:
+        costs, order = vector
+        ways = {}
+        for (before, after), (cost, edits) in STEPS[kind].items():
+            way = (costs[before] + cost, order[before], edits)
+            ways[after] = min(ways.get(after, way), way)
+        totals = [ways[s][0] if s in ways else NEVER for s in range(4)]
+        rank = sorted(range(4), key=lambda s: ways[s][1:] if s in ways else (9, ""))
+        low = min(totals)
+        known = FORWARD[vector, kind] = low, (tuple(min(t - low, NEVER) for t in totals), tuple(rank.index(s) for s in range(4)))
+    return known
 
 
-@lru_cache(maxsize=1 << 16)
 def backward(costs: tuple[int, ...], kind: int) -> tuple[int, ...]:
     """Costs from each state before a row to the end, given those after it; less the least one."""
-    totals = [NEVER] * 4
-    for (before, after), (cost, _) in steps(kind).items():
-        totals[before] = min(totals[before], cost + costs[after])
-    low = min(totals)
-    return tuple(min(t - low, NEVER) for t in totals)
+    known = BACKWARD.get((costs, kind))
+    if known is None:
+        totals = [NEVER] * 4
+        for (before, after), (cost, _) in STEPS[kind].items():
+            totals[before] = min(totals[before], cost + costs[after])
+        low = min(totals)
+        known = BACKWARD[costs, kind] = tuple(min(t - low, NEVER) for t in totals)
+    return known
 
 
 def at(state: int) -> Vector:
@@ -103,7 +112,7 @@ def edits(kinds: bytes, first: int, last: int) -> Iterator[str]:
     while todo:
         low, high, enter, leave = todo.pop()
         if high - low == 1:
-            yield steps(kinds[low])[enter, leave][1]
+            yield STEPS[kinds[low]][enter, leave][1]
             continue
         middle = (low + high) // 2
         vector = at(enter)
