@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import small_batches, stored
 
 WINDOW = 10
+#: Text of a segment at most (or one document): its words are objects of a Python worker while it is built.
+SEGMENT_BYTES = "6m"
 #: Bytes of lists in one batch at most (or one list).
 BATCH_BYTES = 32 << 20
 #: Bytes of words stay, A-Z becomes a-z, all other ASCII becomes a space. Bytes of other characters are parts of words.
@@ -72,7 +74,7 @@ def list_batches(segment: str, terms: list[bytes], counts: np.ndarray, places: n
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The stored index of all words of all rows: a row per segment and term, and one per segment with ``keys`` and words of its documents."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, SEGMENT_BYTES)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     names = ["segment", "term", "n", "places", "keys", "n_words"]
