@@ -29,6 +29,25 @@ def extreme_row(df: DataFrame, keys: list[str], order: list[str], pick: str = "m
     return df.groupBy(*keys).agg(agg.alias("_row")).select(*keys, "_row.*")
 
 
+def one_or_several(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct rows ``(keys, value)`` of the keys with one value, and those of the keys with several. Nulls are left out."""
+    ends = df.groupBy(*keys).agg(F.min(value).alias("_least"), F.max(value).alias("_most"))
+    one = ends.filter("_least = _most").select(*keys, F.col("_least").alias(value))
+    several = df.join(ends.filter("_least < _most").select(*keys), keys, "left_semi").filter(F.col(value).isNotNull())
+    return one, several.select(*keys, value).distinct()
+
+
+def fan_out(rows: DataFrame, table: DataFrame, on: list[str], slots: int = 16) -> DataFrame:
+    """Inner join where one value of ``on`` can hold many rows of both sides.
+
+    The rows of a value are dealt to ``slots``, its part of the table is repeated in each, so one value is joined by many tasks.
+    """
+    rest = [c for c in rows.columns if c not in on]
+    dealt = rows.withColumn("_slot", F.pmod(F.xxhash64(*rest), F.lit(slots)).cast("int"))
+    repeated = table.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    return dealt.join(repeated, [*on, "_slot"]).drop("_slot")
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column], slots: int = 256) -> DataFrame:
     """Exact values at zero-based positions of the sorted values of each key.
 

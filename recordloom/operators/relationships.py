@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import json_fields as J
 from ..functions.links import GROUPABLE_TYPES, local_reference
-from ..functions.ranking import best_row, extreme_row, top_k
+from ..functions.ranking import best_row, extreme_row, fan_out, one_or_several, top_k
 from ..functions.text import fnv1a_base36, record_key
 
 # Type, field, edge kind, label.
@@ -234,10 +234,15 @@ def related_groups(group_edges: DataFrame) -> DataFrame:
 
 
 def related_by_name(med_conditions: DataFrame, condition_groups: DataFrame) -> DataFrame:
-    """Medication groups and condition groups joined by lower-case condition name."""
+    """Medication groups and condition groups joined by lower-case condition name.
+
+    A pair can only be found twice where a condition group has several names; the other pairs are unique as they are joined.
+    """
     left = med_conditions.select("patient_id", "medication_group", F.lower("condition_name").alias("_n")).distinct()
     right = condition_groups.select("patient_id", F.col("group_key").alias("condition_group"), F.lower("name").alias("_n"))
-    return left.join(right, ["patient_id", "_n"]).drop("_n").distinct()
+    one, several = one_or_several(right, ["patient_id", "condition_group"], "_n")
+    pairs = lambda rows: fan_out(rows, left, ["patient_id", "_n"]).select("patient_id", "medication_group", "condition_group")
+    return pairs(one).unionByName(pairs(several).distinct())
 
 
 def recent_labs(latest: DataFrame, now_ms: int, days: int = 180) -> DataFrame:

@@ -1,5 +1,6 @@
 """Plans of operators whose inputs or results grow large, and the odd rows that their shortcuts must still get right."""
 
+from recordloom.operators import relationships
 from recordloom.sources import export
 
 
@@ -16,3 +17,13 @@ def test_export_does_not_broadcast_the_records(spark, resources):
     entries = export.collection_entries(rows, patches)
     assert "Broadcast" not in plan_of(entries)
     assert sorted(r.full_url for r in entries.collect()) == ["Encounter/e1", "Encounter/e2", "PatientPatch/a"]
+
+
+def test_pairs_by_name_are_unique_without_an_exchange_of_all_pairs(spark):
+    meds = spark.createDataFrame([("p", "m1", "Gout"), ("p", "m1", "gout"), ("p", "m1", "Acne"), ("p", "m2", "GOUT"), ("q", "m3", "gout")], "patient_id string, medication_group string, condition_name string")
+    groups = spark.createDataFrame([("p", "c1", "gout"), ("p", "c1", "acne"), ("p", "c2", "Gout"), ("p", "c2", None), ("q", "c1", "acne"), ("q", "c4", None)], "patient_id string, group_key string, name string")
+    found = relationships.related_by_name(meds, groups)
+    got = sorted((r.patient_id, r.medication_group, r.condition_group) for r in found.collect())
+    assert got == [("p", "m1", "c1"), ("p", "m1", "c2"), ("p", "m2", "c1"), ("p", "m2", "c2")]
+    plan = plan_of(found)  # only pairs of groups with several names are made distinct after the join
+    assert plan.index("Union") < plan.index("keys=[patient_id#") and "HashAggregate" not in plan[: plan.index("Union")]
