@@ -1,6 +1,7 @@
 """Plans of operators whose inputs or results grow large, and the odd rows that their shortcuts must still get right."""
 
 from recordloom.operators import relationships
+from recordloom.plans import catalog
 from recordloom.sources import export
 
 
@@ -27,3 +28,10 @@ def test_pairs_by_name_are_unique_without_an_exchange_of_all_pairs(spark):
     assert got == [("p", "m1", "c1"), ("p", "m1", "c2"), ("p", "m2", "c1"), ("p", "m2", "c2")]
     plan = plan_of(found)  # only pairs of groups with several names are made distinct after the join
     assert plan.index("Union") < plan.index("keys=[patient_id#") and "HashAggregate" not in plan[: plan.index("Union")]
+
+
+def test_lab_conditions_keep_every_supplier_of_a_brand(spark):
+    query, sf = catalog.QUERIES["lab_conditions"], "/root/testdata/sf0.001"
+    part, items = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("part", "lineitem"))
+    brands = items.join(part, items["l_partkey"] == part["p_partkey"]).select("l_suppkey", "p_brand").distinct()
+    assert query(spark, sf).count() == part.join(brands, "p_brand").count()
