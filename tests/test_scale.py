@@ -1,6 +1,6 @@
 """Plans of operators whose inputs or results grow large, and the odd rows that their shortcuts must still get right."""
 
-from recordloom.operators import relationships
+from recordloom.operators import relationships, terminology
 from recordloom.plans import catalog
 from recordloom.sources import export
 
@@ -30,6 +30,13 @@ def test_pairs_by_name_are_unique_without_an_exchange_of_all_pairs(spark):
     assert plan.index("Union") < plan.index("keys=[patient_id#") and "HashAggregate" not in plan[: plan.index("Union")]
 
 
+def test_lab_strengths_of_several_codes(spark):
+    labs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b"), (3, "c"), (4, None)], "k int, code string")
+    assoc = spark.createDataFrame([("x", "a", "weak", 5), ("x", "a", "strong", 2), ("x", "b", "moderate", 1), ("y", "b", "weak", 9), ("z", "d", "weak", 1)], "condition_code string, code string, strength string, pos int")
+    got = sorted(tuple(r) for r in terminology.lab_conditions(labs, assoc, ["k"]).collect())
+    assert got == [(1, "x", "strong"), (2, "x", "moderate"), (2, "y", "weak")]
+
+
 def test_lab_conditions_keep_every_supplier_of_a_brand(spark):
     query, sf = catalog.QUERIES["lab_conditions"], "/root/testdata/sf0.001"
     part, items = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("part", "lineitem"))
