@@ -106,15 +106,18 @@ def medication_conditions(medications: DataFrame, ingredients: DataFrame, assoc_
     """Conditions of a medication with the best strength.
 
     ``medications(keys, code, given ARRAY)``: the given ingredient codes, else those the product breaks down
-    to, else the code itself.
+    to, else the code itself. Medications of the same ingredients share their conditions, which are found once per set of ingredients.
     """
     given = medications.filter(F.size(F.coalesce("given", F.array().cast(STRINGS))) > 0).select(*keys, F.explode("given").alias("ingredient_code"))
     rest = medications.filter(F.size(F.coalesce("given", F.array().cast(STRINGS))) == 0).select(*keys, "code")
     parts = ingredients.select(F.col("product_code").alias("code"), "ingredient_code")
     broken = rest.join(parts, "code", "left").select(*keys, F.coalesce("ingredient_code", "code").alias("ingredient_code"))
-    codes = given.unionByName(broken).distinct()
-    assoc = assoc_meds.select("condition_code", F.col("code").alias("ingredient_code"), strength_rank(F.col("strength")).alias("_s"), F.col("condition_pos"))
-    best = codes.join(assoc, "ingredient_code").groupBy(*keys, "condition_code").agg(F.max("_s").alias("_s"), F.min("condition_pos").alias("assoc_pos"))
+    sets = given.unionByName(broken).groupBy(*keys).agg(F.sort_array(F.collect_set("ingredient_code")).alias("_set"))
+    per_code = assoc_meds.groupBy(F.col("code").alias("ingredient_code"), "condition_code").agg(F.max(strength_rank(F.col("strength"))).alias("_s"), F.min("condition_pos").alias("assoc_pos"))
+    alone = sets.filter(F.size("_set") == 1).select(*keys, F.element_at("_set", 1).alias("ingredient_code"))
+    mixed = sets.filter(F.size("_set") > 1)
+    per_set = mixed.select("_set").distinct().select("_set", F.explode("_set").alias("ingredient_code")).join(per_code, "ingredient_code").groupBy("_set", "condition_code").agg(F.max("_s").alias("_s"), F.min("assoc_pos").alias("assoc_pos"))
+    best = fan_out(alone, per_code, ["ingredient_code"]).drop("ingredient_code").unionByName(fan_out(mixed, per_set, ["_set"]).drop("_set"))
     return best.select(*keys, "condition_code", strength_name(F.col("_s")).alias("strength"), "assoc_pos")
 
 

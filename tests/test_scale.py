@@ -42,3 +42,15 @@ def test_lab_conditions_keep_every_supplier_of_a_brand(spark):
     part, items = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("part", "lineitem"))
     brands = items.join(part, items["l_partkey"] == part["p_partkey"]).select("l_suppkey", "p_brand").distinct()
     assert query(spark, sf).count() == part.join(brands, "p_brand").count()
+
+
+def test_medications_of_equal_ingredients_share_their_conditions(spark):
+    meds = spark.createDataFrame([(1, "p1", []), (2, "p2", []), (3, "b", []), (4, "p1", ["b", "b"]), (5, "none", []), (6, "p1", ["a"]), (6, "b", [])], "k int, code string, given array<string>")
+    ingredients = spark.createDataFrame([("p1", "a"), ("p1", "b"), ("p2", "b"), ("p2", "a")], "product_code string, ingredient_code string")
+    assoc = spark.createDataFrame([("x", "a", "weak", 4), ("x", "b", "strong", 7), ("y", "b", "moderate", 2)], "condition_code string, code string, strength string, condition_pos int")
+    found = terminology.medication_conditions(meds, ingredients, assoc, ["k"])
+    both, b = {("x", "strong", 4), ("y", "moderate", 2)}, {("x", "strong", 7), ("y", "moderate", 2)}
+    want = {1: both, 2: both, 3: b, 4: b, 6: both}
+    assert sorted(tuple(r) for r in found.collect()) == sorted((k, *row) for k, rows in want.items() for row in rows)
+    plan = plan_of(found)  # sets are joined to their members after the last aggregate
+    assert "HashAggregate" not in plan[: plan.index("Union")] and "_set" in plan
