@@ -1,6 +1,8 @@
 """Plans of operators whose inputs or results grow large, and the odd rows that their shortcuts must still get right."""
 
-from recordloom.operators import relationships, terminology
+from pyspark.sql import functions as F
+
+from recordloom.operators import bm25, relationships, terminology
 from recordloom.plans import catalog
 from recordloom.sources import export
 
@@ -54,3 +56,15 @@ def test_medications_of_equal_ingredients_share_their_conditions(spark):
     assert sorted(tuple(r) for r in found.collect()) == sorted((k, *row) for k, rows in want.items() for row in rows)
     plan = plan_of(found)  # sets are joined to their members after the last aggregate
     assert "HashAggregate" not in plan[: plan.index("Union")] and "_set" in plan
+
+
+def test_hits_of_labels_carry_no_text(spark):
+    corpus = spark.createDataFrame([("lab", n, f"serum glucose {w}", f"Name {n}", "", str(n), "loinc") for n, w in enumerate(["fasting", "random", "tolerance"])], "category string, rid int, text string, name string, friendly_name string, code string, system string")
+    index = bm25.build_index(corpus.select("category", "rid", "text"))
+    index["postings"] = index["postings"].withColumn("impact", F.col("impact") + 5)
+    label = "tolerance test of " + "a very long label " * 20
+    rows = spark.createDataFrame([(1, "Observation", label, [], []), (2, "Observation", label, [], []), (3, "Observation", "nothing known", [], [])], "k int, resource_type string, source_label string, code_texts array<string>, code_codings array<struct<code:string,display:string>>")
+    found = bm25.name_records(rows, index, corpus, ["k"])
+    assert sorted((r.k, r.friendly) for r in found.collect()) == [(1, "Name 2"), (2, "Name 2")]
+    numbered = [line for line in plan_of(found).splitlines() if "WindowGroupLimit" in line]
+    assert numbered and all("qid#" in line and "L" in line.split("qid#")[1].split(",")[0] for line in numbered)  # a long, not the label
