@@ -168,20 +168,29 @@ def whole_word_candidates(texts: DataFrame, phrases: DataFrame, keys: list[str],
 def medication_name_conditions(meds: DataFrame, codes: DataFrame, ingredients: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Conditions of a medication name in three tiers; the first tier with a hit wins.
 
-    ``meds(keys, name)``, ``codes(keys, code)``. Later tiers only see the rows the earlier ones missed.
+    ``meds(keys, name)``, ``codes(keys, code)``. Conditions are found once per code and per name that no code told; medications are
+    joined to them at the end. Only those with several codes or names need an exchange of what they found.
     """
     index = reverse_pairs(pairs, lower=True)
-    # Each tier is read as a result and as the rows the next tier leaves out: it is computed once.
-    by_code = saved(codes.join(ingredients.select(F.col("product_code").alias("code"), F.lower("ingredient_name").alias("related_name")), "code").join(index, "related_name").select(*keys, "condition_name").distinct())
-    left1 = meds.join(by_code.select(*keys).distinct(), keys, "left_anti")
-    parts = left1.select(*keys, F.explode(F.split("name", r"\s*/\s*")).alias("_part")).select(*keys, F.lower(F.trim("_part")).alias("related_name"))
-    by_part = saved(parts.join(index, "related_name").select(*keys, "condition_name").distinct())
-    left2 = left1.join(by_part.select(*keys).distinct(), keys, "left_anti").withColumn("_low", F.lower("name"))
-    names = left2.select("_low").distinct()
-    contained = whole_word_candidates(names, index, ["_low"], "_low", "related_name")
-    by_word = left2.join(contained, "_low").join(index, "related_name").select(*keys, "condition_name").distinct()
+    products = ingredients.select(F.col("product_code").alias("code"), F.lower("ingredient_name").alias("related_name"))
+    per_code = saved(codes.select("code").distinct().join(products, "code").join(index, "related_name").select("code", "condition_name").distinct())
+    told = codes.join(per_code.select("code").distinct(), "code", "left_semi").select(*keys).distinct()
+    left1 = meds.join(told, keys, "left_anti").select(*keys, "name")
+    names = saved(left1.select("name").distinct())
+    parts = names.select("name", F.explode(F.split("name", r"\s*/\s*")).alias("_part")).select("name", F.lower(F.trim("_part")).alias("related_name"))
+    per_part = saved(parts.join(index, "related_name").select("name", "condition_name").distinct())
+    left2 = names.join(per_part.select("name").distinct(), "name", "left_anti").withColumn("_low", F.lower("name"))
+    contained = whole_word_candidates(left2.select("_low").distinct(), index, ["_low"], "_low", "related_name")
+    per_word = left2.join(contained, "_low").join(index, "related_name").select("name", "condition_name").distinct()
     tag = lambda df, n: df.withColumn("tier", F.lit(n))
-    return tag(by_code, 1).unionByName(tag(by_part, 2)).unionByName(tag(by_word, 3))
+    per_name = saved(tag(per_part, 2).unionByName(tag(per_word, 3)))
+    cols = [*keys, "condition_name", "tier"]
+    one_code, several_codes = one_or_several(codes, keys, "code")
+    one_name, several_names = one_or_several(left1, keys, "name")
+    by_code = fan_out(one_code, per_code, ["code"]).select(*keys, "condition_name").unionByName(fan_out(several_codes, per_code, ["code"]).select(*keys, "condition_name").distinct())
+    by_names = fan_out(several_names, per_name, ["name"]).select(*cols).distinct()
+    first = by_names.join(by_names.groupBy(*keys).agg(F.min("tier").alias("tier")), [*keys, "tier"], "left_semi")
+    return tag(by_code, 1).unionByName(fan_out(one_name, per_name, ["name"]).select(*cols)).unionByName(first.select(*cols))
 
 
 def weights_by_code(codes: DataFrame, weights: DataFrame, code: str = "code") -> DataFrame:

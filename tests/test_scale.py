@@ -68,3 +68,15 @@ def test_hits_of_labels_carry_no_text(spark):
     assert sorted((r.k, r.friendly) for r in found.collect()) == [(1, "Name 2"), (2, "Name 2")]
     numbered = [line for line in plan_of(found).splitlines() if "WindowGroupLimit" in line]
     assert numbered and all("qid#" in line and "L" in line.split("qid#")[1].split(",")[0] for line in numbered)  # a long, not the label
+
+
+def test_name_tiers_of_medications_with_several_names_and_codes(spark):
+    meds = spark.createDataFrame([(1, "Zinc"), (2, "x iron"), (2, "Zinc / Iron"), (3, "old iron pill"), (4, "Zinc"), (4, "Zinc"), (5, "none"), (6, "big zinc"), (6, "iron mix"), (7, None)], "k int, name string")
+    codes = spark.createDataFrame([(1, "a"), (1, "b"), (3, "none"), (4, "none"), (8, "a")], "k int, code string")
+    products = spark.createDataFrame([("a", "Iron"), ("b", "IRON"), ("b", "Zinc")], "product_code string, ingredient_name string")
+    pairs = spark.createDataFrame([("Anemia", "iron"), ("Anemia", "zinc"), ("Colds", "Zinc")], "condition_name string, related_name string")
+    found = terminology.medication_name_conditions(meds, codes, products, pairs, ["k"])
+    want = [(1, "Anemia", 1), (1, "Colds", 1), (2, "Anemia", 2), (2, "Colds", 2), (3, "Anemia", 3), (4, "Anemia", 2), (4, "Colds", 2), (6, "Anemia", 3), (6, "Colds", 3), (8, "Anemia", 1)]
+    assert sorted(tuple(r) for r in found.collect()) == want
+    plan = plan_of(found)  # the first branch, of medications with one code, makes nothing distinct after its join
+    assert "HashAggregate" not in plan[: plan.index("Join")]
