@@ -80,3 +80,12 @@ def test_name_tiers_of_medications_with_several_names_and_codes(spark):
     assert sorted(tuple(r) for r in found.collect()) == want
     plan = plan_of(found)  # the first branch, of medications with one code, makes nothing distinct after its join
     assert "HashAggregate" not in plan[: plan.index("Join")]
+
+
+def test_lab_codes_are_picked_before_the_labs_are_joined(spark):
+    labs = spark.createDataFrame([(n, "a") for n in range(5)], "k int, code string")
+    assoc = spark.createDataFrame([("x", "a", "strong", n) for n in range(9)], "condition_code string, code string, strength string, pos int")
+    found = terminology.lab_conditions(labs, assoc, ["k"])
+    assert found.count() == 5
+    plan = plan_of(found)
+    assert plan.index("Union") < plan.index("min_by(")
