@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from recordloom.operators import bm25, relationships, terminology
+from recordloom.operators import bm25, classify, relationships, terminology
 from recordloom.plans import catalog
+from recordloom.session import once
 from recordloom.sources import export
 
 
@@ -89,3 +90,20 @@ def test_lab_codes_are_picked_before_the_labs_are_joined(spark):
     assert found.count() == 5
     plan = plan_of(found)
     assert plan.index("Union") < plan.index("min_by(")
+
+
+def test_allergies_are_classified_once_and_after_the_spread(spark):
+    rows = [(1, "p", True, "specific_allergy", "food"), (2, "p", True, "negative_assertion", "generic"), (3, "p", True, "negative_assertion", "food"), (4, "p", False, "negative_assertion", "drug"), (5, "q", False, "specific_allergy", "food"),
+            (6, "q", True, "negative_assertion", "generic"), (7, "q", True, "negative_assertion", "food"), (8, "r", True, "specific_allergy", None), (9, "r", True, "negative_assertion", "generic"), (10, "p", True, "negative_assertion", "unknown"), (11, "s", True, "specific_allergy", "generic"), (12, "s", None, "negative_assertion", "generic")]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(label):
+        seen.add(1)
+        return label
+
+    table = spark.createDataFrame(rows, "k int, patient_id string, active boolean, label string, domain string")
+    found = classify.superseded_negatives(once(table, "label", noted(F.col("label"))))
+    assert sorted(r.k for r in found.collect()) == [2, 3, 9, 12] and seen.value == len(rows)
+    plan = plan_of(catalog.QUERIES["active_allergy_domains"](spark, "/root/testdata/sf0.001"))
+    assert "RLIKE" in plan and "RLIKE" not in "".join(line for line in plan.splitlines() if "Filter" in line)
