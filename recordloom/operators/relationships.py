@@ -177,24 +177,30 @@ def condition_match_keys(condition_groups: DataFrame) -> DataFrame:
     return extreme_row(keyed, ["patient_id", "kind", "key"], ["group_pos", "group_key"], "min")
 
 
-def match_conditions(found: DataFrame, condition_groups: DataFrame, subject: list[str]) -> DataFrame:
-    """First condition group that matches each associated code.
+def first_matches(found: DataFrame, condition_groups: DataFrame) -> DataFrame:
+    """First condition group that matches each code of a patient; whatever else ``found`` holds does not change it.
 
-    ``found`` has ``patient_id``, the ``subject`` columns and ``condition_code``. A prefix match becomes two
-    equi joins: the group offers its full code and its three-character category.
+    A prefix match becomes two equi joins: the group offers its full code and its three-character category.
     """
     keys = F.array(
         F.struct(F.lit("code").alias("kind"), F.col("condition_code").alias("key")),
         F.struct(F.lit("name").alias("kind"), F.lower("condition_code").alias("key")),
     )
-    wanted = found.select("patient_id", *subject, "condition_code", F.explode(keys).alias("_k")).select("patient_id", *subject, "condition_code", "_k.*")
+    codes = found.select("patient_id", "condition_code").distinct()
+    wanted = codes.select("*", F.explode(keys).alias("_k")).select("patient_id", "condition_code", "_k.*")
     hits = wanted.join(condition_match_keys(condition_groups), ["patient_id", "kind", "key"]).drop("kind", "key")
-    return extreme_row(hits, ["patient_id", *subject, "condition_code"], ["group_pos", "group_key"], "min")
+    return extreme_row(hits, ["patient_id", "condition_code"], ["group_pos", "group_key"], "min")
+
+
+def match_conditions(found: DataFrame, condition_groups: DataFrame, subject: list[str]) -> DataFrame:
+    """First condition group that matches each associated code; ``found`` has ``patient_id``, the ``subject`` columns and ``condition_code``."""
+    rows = found.select("patient_id", *subject, "condition_code").distinct()
+    return rows.join(first_matches(found, condition_groups), ["patient_id", "condition_code"])
 
 
 def group_condition_edges(found: DataFrame, condition_groups: DataFrame, source_type: str, relationship: str, model: str, transform_version: int, now_ms: int) -> DataFrame:
     """Deterministic group edges from ``found(patient_id, source_group, condition_code)``."""
-    matched = match_conditions(found.select("patient_id", "source_group", "condition_code").distinct(), condition_groups, ["source_group"])
+    matched = found.join(first_matches(found, condition_groups), ["patient_id", "condition_code"])
     return matched.select("patient_id", "source_group", F.col("group_key").alias("target_group")).distinct().select(
         "patient_id",
         "source_group",

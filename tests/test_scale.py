@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from recordloom.operators import bm25, classify, relationships, terminology
+from recordloom.operators import bm25, builds, classify, relationships, terminology
 from recordloom.plans import catalog
 from recordloom.session import once
 from recordloom.sources import export
@@ -107,3 +107,25 @@ def test_allergies_are_classified_once_and_after_the_spread(spark):
     assert sorted(r.k for r in found.collect()) == [2, 3, 9, 12] and seen.value == len(rows)
     plan = plan_of(catalog.QUERIES["active_allergy_domains"](spark, "/root/testdata/sf0.001"))
     assert "RLIKE" in plan and "RLIKE" not in "".join(line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_subjects_of_one_code_share_its_match(spark):
+    found = spark.createDataFrame([("p", "a", "E11"), ("p", "a", "E11"), ("p", "b", "E11"), ("p", "b", "Gout"), ("q", "a", "E11"), ("q", "a", "none")], "patient_id string, source_group string, condition_code string")
+    groups = spark.createDataFrame([("p", "c1", 2, "E11.9", "x"), ("p", "c2", 1, "E11", "gout"), ("q", "c3", 1, "E11.9", "y")], "patient_id string, group_key string, group_pos int, code string, name string")
+    edges = relationships.group_condition_edges(found, groups, "Observation", "r", "m", 1, 0)
+    got = sorted((r.patient_id, r.source_group, r.target_group) for r in edges.collect())
+    assert got == [("p", "a", "c2"), ("p", "b", "c2"), ("q", "a", "c3")]
+    matched = relationships.match_conditions(found, groups, ["source_group"])
+    assert sum(r.source_group == "a" and r.patient_id == "p" for r in matched.collect()) == 1
+    assert not [line for line in plan_of(edges).splitlines() if "Generate explode" in line and "source_group" in line]
+
+
+def test_codes_of_one_cell_are_distinct_without_an_exchange(spark):
+    cells = spark.createDataFrame([(1, "A01-A02, A01; A02-A02"), (2, "B10-C01,b10"), (3, "A01"), (3, "A01-A01"), (None, "A05"), (None, "A05, A06"), (4, None), (5, "A09-A07, x")], "k int, codes string")
+    found = builds.expand_code_ranges(cells, ["k"])
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got))
+    one = {(1, "A01"), (1, "A02"), *((1, f"A01.{d}") for d in range(10)), (1, "A02.0"), (2, "B10"), (2, "C01"), (3, "A01"), (3, "A01.0"), (None, "A05"), (None, "A06")}
+    assert set(got) == one
+    plan = plan_of(found)
+    assert "HashAggregate" not in plan[plan.index("Union") : plan.index("Generate")] and "SortAggregate" not in plan[plan.index("Union") : plan.index("Generate")]
