@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.coding import literal_map
-from ..functions.ranking import extreme_row
+from ..functions.ranking import extreme_row, one_or_several
 from ..functions.text import norm_name, norm_text, squash_spaces, title_letters
 
 # Source abbreviation -> terminology system.
@@ -155,26 +155,39 @@ def nearest_coded_ancestor(causes: DataFrame, coded: DataFrame, cause: str = "ca
     return known.groupBy(cause).agg(F.max_by("ancestor", F.length("ancestor")).alias("ancestor"))
 
 
-def expand_code_ranges(rows: DataFrame, keys: list[str], cell: str = "codes") -> DataFrame:
-    """Codes of a cell such as ``A50-A529, I980``: ranges inside one letter become bases and one-digit subcodes."""
-    tokens = F.filter(F.transform(F.split(F.col(cell), "[;,]"), lambda t: F.upper(F.trim(t))), lambda t: t.rlike(r"^[A-Z]\d"))
-    listed = rows.select(*keys, F.explode(tokens).alias("_t"))
-    single = listed.filter("instr(_t, '-') = 0").select(*keys, F.col("_t").alias("code"))
-    ends = listed.filter("instr(_t, '-') > 0").withColumns({"_a": F.trim(F.split_part("_t", F.lit("-"), F.lit(1))), "_b": F.trim(F.split_part("_t", F.lit("-"), F.lit(2)))})
+def codes_of_token(token: Column) -> Column:
+    """The codes that a token of ``expand_code_ranges`` stands for."""
     shape = r"^([A-Z])(\d{2})(\d{1,2})?$"
-    part = lambda c, i: F.regexp_extract(c, shape, i)
-    sub = lambda c: F.substring(F.rpad(part(c, 3), 2, "0"), 1, 2)
-    spanned = (part("_a", 1) != "") & (part("_a", 1) == part("_b", 1))
-    loose = ends.filter(~spanned).select(*keys, F.explode(F.filter(F.array("_a", "_b"), lambda c: c != "")).alias("code"))
-    lo, hi = part("_a", 2).try_cast("int"), part("_b", 2).try_cast("int")
-    bases = ends.filter(spanned).withColumns({"_lo": lo, "_hi": hi}).filter("_lo <= _hi").withColumn("_base", F.explode(F.sequence("_lo", "_hi")))
-    stem = F.concat(part("_a", 1), F.lpad(F.col("_base").cast("string"), 2, "0"))
-    first = F.when(F.col("_base") == F.col("_lo"), F.coalesce(sub("_a").try_cast("int"), F.lit(0))).otherwise(0)
-    last = F.when(F.col("_base") == F.col("_hi"), F.coalesce(sub("_b").try_cast("int"), F.lit(9))).otherwise(9)
-    subs = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: (d >= first) & (d <= last))
-    codes = F.concat(F.array(stem), F.transform(subs, lambda d: F.concat(stem, F.lit("."), d.cast("string"))))
-    ranged = bases.select(*keys, F.explode(codes).alias("code"))
-    return single.unionByName(loose).unionByName(ranged).distinct()
+    part = lambda c, i: F.regexp_extract(c, shape, i)
+    sub = lambda c: F.substring(F.rpad(part(c, 3), 2, "0"), 1, 2).try_cast("int")
+    a, b = (F.trim(F.split_part(token, F.lit("-"), F.lit(n))) for n in (1, 2))
+    # Values that several later expressions need are bound as fields of one element.
+    ends = F.array(F.struct(a.alias("a"), b.alias("b"), part(a, 1).alias("letter"), part(b, 1).alias("other"), part(a, 2).try_cast("int").alias("lo"), part(b, 2).try_cast("int").alias("hi"), F.coalesce(sub(a), F.lit(0)).alias("first"), F.coalesce(sub(b), F.lit(9)).alias("last")))
+    none = F.array().cast("array<string>")
+
+    def base_codes(e: Column, n: Column) -> Column:
+        stem = F.concat(e["letter"], F.lpad(n.cast("string"), 2, "0"))
+        first, last = F.when(n == e["lo"], e["first"]).otherwise(0), F.when(n == e["hi"], e["last"]).otherwise(9)
+        subs = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: (d >= first) & (d <= last))
+        return F.concat(F.array(stem), F.transform(subs, lambda d: F.concat(stem, F.lit("."), d.cast("string"))))
+
+    def range_codes(e: Column) -> Column:
+        ranged = F.when(e["lo"] <= e["hi"], F.flatten(F.transform(F.sequence(e["lo"], e["hi"]), lambda n: base_codes(e, n)))).otherwise(none)
+        return F.when((e["letter"] != "") & (e["letter"] == e["other"]), ranged).otherwise(F.filter(F.array(e["a"], e["b"]), lambda c: c != ""))
+
+    return F.when(F.instr(token, "-") == 0, F.array(token)).otherwise(F.flatten(F.transform(ends, range_codes)))
+
+
+def expand_code_ranges(rows: DataFrame, keys: list[str], cell: str = "codes") -> DataFrame:
+    """Codes of a cell such as ``A50-A529, I980``: ranges inside one letter become bases and one-digit subcodes.
+
+    A cell's codes are made distinct inside its row; only keys that hold several cells need an exchange of their codes.
+    """
+    tokens = F.array_distinct(F.filter(F.transform(F.split(F.col(cell), "[;,]"), lambda t: F.upper(F.trim(t))), lambda t: t.rlike(r"^[A-Z]\d")))
+    codes = F.array_distinct(F.flatten(F.transform(tokens, codes_of_token)))
+    one, several = one_or_several(rows, keys, cell)
+    listed = lambda df: df.select(*keys, F.explode(codes).alias("code"))
+    return listed(one).unionByName(listed(several).distinct())
 
 
 def code_weights(matched: DataFrame, cause_codes: DataFrame) -> DataFrame:
