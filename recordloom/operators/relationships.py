@@ -10,6 +10,7 @@ from ..functions import json_fields as J
 from ..functions.links import GROUPABLE_TYPES, local_reference
 from ..functions.ranking import best_row, extreme_row, fan_out, one_or_several, top_k
 from ..functions.text import fnv1a_base36, record_key
+from ..session import saved
 
 # Type, field, edge kind, label.
 EDGE_RULES = [
@@ -56,10 +57,12 @@ def explicit_edges(resources: DataFrame) -> DataFrame:
         return F.transform(refs, lambda r: F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), r.alias("reference")))
 
     rules = [F.when(F.col("resource_type") == rtype, tagged(_references(path), kind, label)).otherwise(empty) for rtype, path, kind, label in EDGE_RULES]
-    links = rows.select("source_id", "patient_id", "resource_type", F.trim("id").alias("id"), F.explode(F.concat(*rules)).alias("_l"))
-    # A generator over the parsed target evaluates it once and drops what is no usable reference.
-    target = F.explode(F.array_compact(F.array(local_reference(F.col("_l.reference"))))).alias("_t")
-    edges = links.select("*", target).select(
+    # Bodies are read once: records without a reference keep a row, so the targets that exist come from the same narrow table.
+    links = rows.select("source_id", "patient_id", "resource_type", F.trim("id").alias("id"), F.explode_outer(F.concat(*rules)).alias("_l"))
+    # A generator over the parsed target evaluates it once; it is null where there is no usable reference.
+    target = F.explode(F.array(local_reference(F.col("_l.reference")))).alias("_t")
+    read = saved(links.select("*", target).select("source_id", "patient_id", "resource_type", "id", F.struct("_l.kind", "_l.label").alias("_l"), "_t"))
+    edges = read.filter("_t is not null").select(
         "source_id",
         "patient_id",
         F.col("resource_type").alias("src_type"),
@@ -70,7 +73,7 @@ def explicit_edges(resources: DataFrame) -> DataFrame:
         F.col("_l.label").alias("label"),
     )
     edges = edges.filter((F.col("src_type") != F.col("dst_type")) | (F.col("src_id") != F.col("dst_id")))
-    available = rows.select("source_id", F.col("resource_type").alias("dst_type"), F.trim("id").alias("dst_id"))
+    available = read.select("source_id", F.col("resource_type").alias("dst_type"), F.col("id").alias("dst_id"))
     kept = edges.join(available, ["source_id", "dst_type", "dst_id"], "left_semi").dropDuplicates(["source_id", "src_type", "src_id", "dst_type", "dst_id", "kind"])
     scoped = lambda t, i: record_key(F.col(t), F.concat(F.col("source_id"), F.lit(":"), F.col(i)))
     keyed = kept.withColumns({"src": scoped("src_type", "src_id"), "dst": scoped("dst_type", "dst_id")})
@@ -80,9 +83,8 @@ def explicit_edges(resources: DataFrame) -> DataFrame:
 def adjacency(edges: DataFrame) -> DataFrame:
     """Every edge seen from both ends: ``(record_key, related_key, kind, label, ...)``."""
     rest = [c for c in edges.columns if c not in ("src", "dst", "src_type", "dst_type")]
-    out = edges.select(F.col("src").alias("record_key"), F.col("dst").alias("related_key"), *rest)
-    back = edges.select(F.col("dst").alias("record_key"), F.col("src").alias("related_key"), *rest)
-    return out.unionByName(back)
+    ends = [F.struct(F.col(a).alias("record_key"), F.col(b).alias("related_key")) for a, b in (("src", "dst"), ("dst", "src"))]
+    return edges.select(F.inline(F.array(*ends)), *rest)
 
 
 def observation_conditions(edges: DataFrame) -> DataFrame:
