@@ -105,9 +105,13 @@ class NamingRun:
 
     def run(self, after: Callable[[int], None] | None = None) -> None:
         """Consume what has landed. Both logs take the same files in the same batches; ``after`` sees a batch once both have it."""
-        log_stream(self.stream.select("patient_id", "record_id"), self.named, f"{self.base}/named-progress", "append").awaitTermination()
+        self.run_named()
         log_stream(running_groups(self.stream), self.groups, f"{self.base}/groups-progress", after=after).awaitTermination()
 
+    def run_named(self) -> None:
+        """Only log which records the files name, for those who ask for nothing else."""
+        log_stream(self.stream.select("patient_id", "record_id"), self.named, f"{self.base}/named-progress", "append").awaitTermination()
+
     def view(self, batch_id: int | None = None) -> DataFrame:
         """The groups as they stood after a batch."""
         return group_view(self.groups.latest(batch_id))
@@ -116,6 +120,12 @@ class NamingRun:
         """Records that no batch up to this one has named."""
         return pending_records(records, self.named.changes(batch_id))
 
+    def pending_after(self, records: DataFrame, batches: int) -> DataFrame:
+        """``pending`` for each of the first ``batches`` batches, told apart by ``batch``, from one join."""
+        first = self.named.changes(batches - 1).groupBy("patient_id", F.col("record_id").alias("id")).agg(F.min("batch").alias("_named"))
+        waits = F.slice(F.sequence(F.lit(0).cast("bigint"), F.lit(batches - 1).cast("bigint")), F.lit(1), F.coalesce(F.col("_named"), F.lit(batches)).cast("int"))
+        return records.join(first, ["patient_id", "id"], "left").select(*records.columns, F.explode(waits).alias("batch"))
+
 
 def pending_records(records: DataFrame, done: DataFrame) -> DataFrame:
     """Records no batch has named yet; shown one by one until they are."""

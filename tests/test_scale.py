@@ -6,6 +6,7 @@ from recordloom.operators import bm25, builds, classify, relationships, terminol
 from recordloom.plans import catalog
 from recordloom.session import once
 from recordloom.sources import export
+from recordloom.streaming import incremental
 
 
 def plan_of(df):
@@ -129,3 +130,45 @@ def test_codes_of_one_cell_are_distinct_without_an_exchange(spark):
     assert set(got) == one
     plan = plan_of(found)
     assert "HashAggregate" not in plan[plan.index("Union") : plan.index("Generate")] and "SortAggregate" not in plan[plan.index("Union") : plan.index("Generate")]
+
+
+def test_texts_are_exchanged_once_for_their_terms(spark):
+    texts = spark.createDataFrame([("lab", 1, "tests tested Tests the"), ("lab", 2, None), ("lab", 1, "test")], "category string, rid int, text string")
+    counted = bm25.term_counts(texts, ["category", "rid"], "text", "tf")
+    assert [tuple(r) for r in counted.collect()] == [("lab", 1, "test", 4)]
+    assert plan_of(bm25.term_counts(texts, ["category", "rid"], "text", "tf")).count("Exchange hashpartitioning") == 1
+
+
+def test_resources_are_read_once_for_their_edges(spark, resources):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(rid):
+        seen.add(1)
+        return rid
+
+    ref = lambda r: {"reference": r}
+    rows = resources(
+        {"resourceType": "Observation", "id": "o1", "encounter": ref("Encounter/e1"), "derivedFrom": [ref("Observation/o1"), ref("Observation/gone"), ref("#x")]},
+        {"resourceType": "Encounter", "id": "e1", "reasonReference": [ref("Condition/c1"), ref("Condition/c1")]}, {"resourceType": "Condition", "id": "c1"}, {"resourceType": "Condition", "id": " "},
+    )
+    edges = relationships.explicit_edges(once(rows, "id", noted(F.col("id"))))
+    assert sorted((r.src, r.dst, r.kind) for r in edges.collect()) == [("Encounter/s1:e1", "Condition/s1:c1", "reason"), ("Observation/s1:o1", "Encounter/s1:e1", "encounter")]
+    assert seen.value == 4
+    ends = relationships.adjacency(edges)
+    assert sorted((r.record_key, r.related_key, r.kind) for r in ends.collect()) == [
+        ("Condition/s1:c1", "Encounter/s1:e1", "reason"), ("Encounter/s1:e1", "Condition/s1:c1", "reason"), ("Encounter/s1:e1", "Observation/s1:o1", "encounter"), ("Observation/s1:o1", "Encounter/s1:e1", "encounter"),
+    ]
+    assert "Union" not in plan_of(ends)
+
+
+def test_pending_after_batches_needs_one_join(spark, tmp_path):
+    (tmp_path / "landed").mkdir()
+    run = incremental.NamingRun(spark, str(tmp_path / "landed"), "patient_id string, record_id string, name string", str(tmp_path))
+    spark.createDataFrame([("p", "a"), ("p", "b")], "patient_id string, record_id string").write.parquet(f"{run.named.path}/batch=0")
+    spark.createDataFrame([("p", "b"), ("p", "c"), ("q", "a")], "patient_id string, record_id string").write.parquet(f"{run.named.path}/batch=2")
+    records = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "c"), ("q", "a"), ("q", "z"), ("q", "z")], "patient_id string, id string")
+    after = run.pending_after(records, 4)
+    got = sorted((r.batch, r.patient_id, r.id) for r in after.collect())
+    assert got == sorted((b, r.patient_id, r.id) for b in range(4) for r in run.pending(records, b).collect())
+    assert sum("Join" in line for line in plan_of(run.pending_after(records, 4)).splitlines()) == 1
