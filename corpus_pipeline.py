@@ -50,7 +50,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, packed as little-endian unsigned 32-bit integers, and the text that they decode to."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+    coded = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"))
     return coded.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 

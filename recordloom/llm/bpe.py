@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import small_batches, vocabulary_path
+from .common import fresh, small_batches, vocabulary_path
 
 #: White space of the vocabulary's patterns; str.split() also splits at U+001C to U+001F.
 SPACES = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -198,6 +198,11 @@ class Encoder:
         return [b"".join(map(done.__getitem__, self.chunks(t or ""))) for t in texts]
 
 
+def decoded(ids: bytes | None, names: list[str]) -> str:
+    """The text of packed ids."""
+    return " ".join([names[i] for i in np.frombuffer(ids or b"", "<u4").tolist()])
+
+
 def encoder(spark: SparkSession, vocabulary: str | None = None):
     """A column function: the ids of a text, packed as little-endian unsigned 32-bit integers. The vocabulary is broadcast; its size is fixed."""
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary or vocabulary_path("word_bpe_49k.json")))
@@ -220,12 +225,27 @@ def decoder(spark: SparkSession, vocabulary: str | None = None):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = shared.value
         for batch in batches:
-            yield pa.array([" ".join([names[i] for i in np.frombuffer(ids or b"", "<u4").tolist()]) for ids in batch.to_pylist()], pa.string())
+            yield pa.array([decoded(ids, names) for ids in batch.to_pylist()], pa.string())
 
     decode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(decode, "string")
 
 
+def codec(spark: SparkSession, vocabulary: str | None = None):
+    """A column function: packed ids of a text and the text that they decode to, both made in one Python worker a task instead of two."""
+    shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary or vocabulary_path("word_bpe_49k.json")))
+    small_batches(spark, "4m")
+
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own, names = Encoder(shared.value), shared.value["names"]
+        for batch in batches:
+            packed = own.encode(batch.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array([decoded(ids, names) for ids in packed], pa.string())], ["ids", "decoded"])
+
+    code.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(code, "ids binary, decoded string")
+
+
 def encode(docs: DataFrame, text: str = "text", into: str = "ids", vocabulary: str | None = None) -> DataFrame:
     return docs.withColumn(into, encoder(docs.sparkSession, vocabulary)(F.col(text).cast("string")))
 
@@ -234,7 +254,14 @@ def decode(encoded: DataFrame, ids: str = "ids", into: str = "decoded", vocabula
     return encoded.withColumn(into, decoder(encoded.sparkSession, vocabulary)(F.col(ids)))
 
 
+def encode_decode(docs: DataFrame, text: str = "text", ids: str = "ids", into: str = "decoded", vocabulary: str | None = None) -> DataFrame:
+    """The same as ``decode`` after ``encode``, in half the workers."""
+    both = fresh(docs, "_coded")
+    coded = docs.withColumn(both, codec(docs.sparkSession, vocabulary)(F.col(text).cast("string")))
+    return coded.withColumns({ids: F.col(both)["ids"], into: F.col(both)["decoded"]}).drop(both)
+
+
 def token_report(docs: DataFrame) -> DataFrame:
     """Number and digest of the ids, and digest of the decoded text, per document."""
-    both = decode(encode(docs.select("doc_id", "text")))
+    both = encode_decode(docs.select("doc_id", "text"))
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

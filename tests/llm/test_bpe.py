@@ -34,3 +34,13 @@ def test_odd_strings_equal_the_library():
 def test_ids_come_back_as_tokens(spark, odd):
     rows = bpe.decode(bpe.encode(odd.where("doc_id in (1, 2, 13)"))).select("doc_id", "ids", "decoded").collect()
     assert {r.doc_id: (len(r.ids), r.decoded) for r in rows} == {1: (0, ""), 2: (0, ""), 13: (4, "word</w>")}
+
+
+def test_one_worker_codes_both_ways(odd):
+    rows = odd.select("doc_id", "text")
+    both = bpe.encode_decode(rows)
+    assert both.columns == ["doc_id", "text", "ids", "decoded"]
+    for plan in (both, bpe.token_report(rows)):
+        assert plan._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [code(") == 1
+        assert "ArrowEvalPython [encode(" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, both.collect())) == sorted(map(str, bpe.decode(bpe.encode(rows)).collect()))
