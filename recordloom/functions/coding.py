@@ -97,13 +97,18 @@ def concept_code(concept: Column) -> Column:
 
 
 def coding_key(system: Column, code: Column) -> Column:
-    lowered = F.lower(system)
-    oid = F.regexp_extract(F.trim(F.coalesce(lowered, F.lit(""))), r"^(?:urn:oid:|oid:)?([0-2](?:\.\d+)+)$", 1)
-    prefix = F.try_element_at(literal_map(OID_PREFIXES), oid)
-    out = F.when(prefix.isNotNull(), F.concat(prefix, F.lit(":"), code)).when(oid != "", F.concat(F.lit("oid:"), oid, F.lit(":"), code))
-    for part, name in URL_PREFIXES:
-        out = out.when(F.contains(lowered, F.lit(part)), F.concat(F.lit(f"{name}:"), code))
-    return out.when(blank_to_null(system).isNotNull(), F.concat(system, F.lit("|"), code)).otherwise(code)
+    """The system is put in lower case once. No identifier holds a part of an address, so the addresses, which are commoner, are tried first."""
+
+    def keyed(lowered: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for part, name in URL_PREFIXES:
+            out = out.when(F.contains(lowered, F.lit(part)), F.concat(F.lit(f"{name}:"), code))
+        oid = F.regexp_extract(F.trim(F.coalesce(lowered, F.lit(""))), r"^(?:urn:oid:|oid:)?([0-2](?:\.\d+)+)$", 1)
+        prefix = F.try_element_at(literal_map(OID_PREFIXES), oid)
+        out = out.when(prefix.isNotNull(), F.concat(prefix, F.lit(":"), code)).when(oid != "", F.concat(F.lit("oid:"), oid, F.lit(":"), code))
+        return out.when(blank_to_null(system).isNotNull(), F.concat(system, F.lit("|"), code)).otherwise(code)
+
+    return F.get(F.transform(F.array(F.lower(system)), keyed), F.lit(0))
 
 
 def authored_coding_key(system: Column, code: Column) -> Column:

@@ -6,6 +6,8 @@ an id is named after its position, so a retried task gives the same id again.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import json_fields as J
@@ -27,22 +29,22 @@ KEYS = ["source_id", "patient_id", "input_pos"]
 SUMMARY_TYPE = "struct<text:string,codings:array<struct<code:string,display:string>>>"
 
 # Words that name a route of administration, first hit wins.
-ROUTE_PATTERNS = [
-    ("Sublingual", r"\b(sublingual|under the tongue)\b"),
-    ("Buccal", r"\bbuccal\b"),
-    ("Ophthalmic", r"\b(ophthalmic|eye drops?|in the eye|to the eye)\b"),
-    ("Otic", r"\b(otic|ear drops?|in the ear|to the ear)\b"),
-    ("Inhaled", r"\b(inhalation|inhaled|inhaler|nebulizer|nebulised|nebulized|inhale)\b"),
-    ("Nasal", r"\b(intranasal|nasal|nostril)\b"),
-    ("Transdermal", r"\b(transdermal|patch)\b"),
-    ("Topical", r"\b(topical|cream|ointment|lotion|gel|shampoo|foam)\b"),
-    ("Rectal", r"\b(rectal|suppository)\b"),
-    ("Vaginal", r"\bvaginal\b"),
-    ("Intravenous", r"\b(intravenous|iv)\b"),
-    ("Intramuscular", r"\b(intramuscular|im)\b"),
-    ("Subcutaneous", r"\b(subcutaneous|subcut|sc)\b"),
-    ("Injection", r"\b(injection|injectable|inject|syringe|pen injector)\b"),
-    ("Oral", r"\b(by mouth|mouth|oral|orally|tablet|capsule|caplet|chewable|lozenge)\b"),
+ROUTE_TERMS = [
+    ("Sublingual", ["sublingual", "under the tongue"]),
+    ("Buccal", ["buccal"]),
+    ("Ophthalmic", ["ophthalmic", "eye drop", "eye drops", "in the eye", "to the eye"]),
+    ("Otic", ["otic", "ear drop", "ear drops", "in the ear", "to the ear"]),
+    ("Inhaled", ["inhalation", "inhaled", "inhaler", "nebulizer", "nebulised", "nebulized", "inhale"]),
+    ("Nasal", ["intranasal", "nasal", "nostril"]),
+    ("Transdermal", ["transdermal", "patch"]),
+    ("Topical", ["topical", "cream", "ointment", "lotion", "gel", "shampoo", "foam"]),
+    ("Rectal", ["rectal", "suppository"]),
+    ("Vaginal", ["vaginal"]),
+    ("Intravenous", ["intravenous", "iv"]),
+    ("Intramuscular", ["intramuscular", "im"]),
+    ("Subcutaneous", ["subcutaneous", "subcut", "sc"]),
+    ("Injection", ["injection", "injectable", "inject", "syringe", "pen injector"]),
+    ("Oral", ["by mouth", "mouth", "oral", "orally", "tablet", "capsule", "caplet", "chewable", "lozenge"]),
 ]
 # Unit spellings -> canonical unit, factor, offset (canonical = (value + offset) * factor).
 MASS_LENGTH_TEMPERATURE = [
@@ -64,11 +66,15 @@ def route_words(*texts: Column) -> Column:
 
 
 def infer_route(words: Column) -> Column:
-    """Route named by ``route_words``, projected first; null when none is."""
-    out = F.when(F.trim(words) == "", F.lit(None).cast("string"))
-    for route, pattern in ROUTE_PATTERNS:
-        out = out.when(words.rlike(pattern), route)
-    return out
+    """Route named by ``route_words``, projected first; null when none is. Those are whole words with one blank between, so terms are looked for with their blanks."""
+
+    def named(spaced: Column) -> Column:
+        out = F.when(F.trim(spaced) == "", F.lit(None).cast("string"))
+        for route, terms in ROUTE_TERMS:
+            out = out.when(reduce(Column.__or__, [F.contains(spaced, F.lit(f" {t} ")) for t in terms]), route)
+        return out
+
+    return F.get(F.transform(F.array(F.concat(F.lit(" "), words, F.lit(" "))), named), F.lit(0))
 
 
 def canonical_quantity(value: Column, unit: Column, code: Column) -> Column:
@@ -193,54 +199,70 @@ def _provider(df: DataFrame, *cols: Column) -> DataFrame:
     return df.select(*KEYS, "id", *cols, F.lit("provider").alias("source"))
 
 
-def medications(resources: DataFrame) -> DataFrame:
-    """Medication requests, with the referenced medication of the same source looked up."""
-    requests = _of_type(resources, "MedicationRequest").withColumn("_ref", J.field(_body(), "medicationReference.reference", "string"))
-    fields = {
-        "_product": J.concept(_body(), "code"),
-        "_form": J.concept(_body(), "form"),
-        "_ingredient": J.field(_body(), "ingredient", f"array<struct<itemCodeableConcept:{CONCEPT_TYPE},itemReference:struct<reference:string,display:string>>>"),
-    }
-    products = resource_index(resources, ["Medication"], fields).select("source_id", F.col("key").alias("_ref"), *fields)
-    df = requests.join(products, ["source_id", "_ref"], "left").withColumns(
-        {
-            "_own": J.concept(_body(), "medicationCodeableConcept"),
-            "_display": J.text(_body(), "medicationReference.display"),
-            "_dosing": F.coalesce(J.field(_body(), "dosageInstruction", f"array<struct<text:string,route:{CONCEPT_TYPE}>>"), F.array()),
-        }
-    )
-    own, product, ref_display = F.col("_own"), F.col("_product"), F.col("_display")
-    label = F.coalesce(
-        blank_to_null(concept_text(own)),
-        blank_to_null(concept_text(product)),
-        blank_to_null(ref_display),
-        blank_to_null(F.col("_ref")),
-        blank_to_null(concept_text(J.concept(_body(), "code"))),
-        blank_to_null(F.col("_given_id")),
-        F.lit("Medication"),
-    )
-    keys = F.array_distinct(F.concat(coding_keys(own), coding_keys(product)))
-    by_display = F.when(ref_display.isNotNull(), F.struct(ref_display.alias("text"), F.lit(None).cast("array<struct<code:string,display:string>>").alias("codings")))
-    ingredient_labels = F.transform(
-        F.coalesce(F.col("_ingredient"), F.array()),
+MEDICATION_FIELDS = (
+    f"struct<medicationReference:struct<reference:string,display:string>,medicationCodeableConcept:{CONCEPT_TYPE},code:{CONCEPT_TYPE},"
+    f"dosageInstruction:array<struct<text:string,route:{CONCEPT_TYPE}>>,status:string,authoredOn:string>"
+)
+
+
+def medication_products(resources: DataFrame) -> DataFrame:
+    """What requests take from the medication they refer to, worked out once per medication."""
+    product = J.concept(_body(), "code")
+    items = J.field(_body(), "ingredient", f"array<struct<itemCodeableConcept:{CONCEPT_TYPE},itemReference:struct<reference:string,display:string>>>")
+    names = F.transform(
+        F.coalesce(items, F.array()),
         lambda i: F.coalesce(blank_to_null(concept_text(i["itemCodeableConcept"])), blank_to_null(i["itemReference"]["display"]), blank_to_null(i["itemReference"]["reference"])),
     )
-    ingredients = F.array_distinct(F.filter(ingredient_labels, lambda x: x.isNotNull()))
-    dosing = F.col("_dosing")
+    fields = {
+        "_product_label": blank_to_null(concept_text(product)),
+        "_product_keys": coding_keys(product),
+        "_product_summary": code_summary(product),
+        "_ingredients": F.array_distinct(F.filter(names, lambda x: x.isNotNull())),
+        "_form": concept_text(J.concept(_body(), "form")),
+    }
+    return resource_index(resources, ["Medication"], fields).select("source_id", F.col("key").alias("_ref"), *fields)
+
+
+def medications(resources: DataFrame) -> DataFrame:
+    """Medication requests, with the referenced medication of the same source looked up.
+
+    The fields of both sides are read and worked out before the join, so no body is exchanged. ``_spread`` follows from the reference and
+    deals the requests without one, which find nothing, to many tasks.
+    """
+    m = F.col("_m")
+    own, ref_display, dosing = m["medicationCodeableConcept"], m["medicationReference"]["display"], F.coalesce(m["dosageInstruction"], F.array())
     routes = F.filter(F.transform(dosing, lambda d: blank_to_null(concept_text(d["route"]))), lambda r: r.isNotNull())
     words = F.filter(F.transform(dosing, lambda d: d["text"]), lambda t: F.trim(t) != "")
-    staged = df.select(
+    requests = _of_type(resources, "MedicationRequest").withColumn("_m", F.try_variant_get(_body(), "$", MEDICATION_FIELDS)).select(
         *KEYS,
         "id",
-        label.alias("label"),
-        F.coalesce(J.text(_body(), "status"), F.lit("unknown")).alias("status"),
-        keys.alias("coding_keys"),
-        F.coalesce(code_summary(own), code_summary(product), by_display).alias("code_summary"),
-        ingredients.alias("ingredients"),
-        concept_text(F.col("_form")).alias("dosage_form"),
+        m["medicationReference"]["reference"].alias("_ref"),
+        blank_to_null(concept_text(own)).alias("_own_label"),
+        coding_keys(own).alias("_own_keys"),
+        code_summary(own).alias("_own_summary"),
+        ref_display.alias("_display"),
+        F.coalesce(blank_to_null(concept_text(m["code"])), blank_to_null(F.col("_given_id")), F.lit("Medication")).alias("_name"),
+        F.coalesce(m["status"], F.lit("unknown")).alias("status"),
         F.get(routes, F.lit(0)).alias("_route"),
         F.array_join(words, " ").alias("_words"),
-        J.text(_body(), "authoredOn").alias("authored_at"),
+        m["authoredOn"].alias("authored_at"),
+    )
+    spread = lambda df, other: df.withColumn("_spread", F.crc32(F.coalesce(F.col("_ref"), other).cast("binary")))
+    df = spread(requests, F.col("id")).join(spread(medication_products(resources), F.lit("")), ["source_id", "_ref", "_spread"], "left")
+    by_display = F.when(F.col("_display").isNotNull(), F.struct(F.col("_display").alias("text"), F.lit(None).cast("array<struct<code:string,display:string>>").alias("codings")))
+    none = F.array().cast("array<string>")
+    staged = df.select(
+        *KEYS,
+        "id",
+        F.coalesce("_own_label", "_product_label", blank_to_null(F.col("_display")), blank_to_null(F.col("_ref")), "_name").alias("label"),
+        "status",
+        F.array_distinct(F.concat("_own_keys", F.coalesce("_product_keys", none))).alias("coding_keys"),
+        F.coalesce("_own_summary", "_product_summary", by_display).alias("code_summary"),
+        F.coalesce("_ingredients", none).alias("ingredients"),
+        F.col("_form").alias("dosage_form"),
+        "_route",
+        "_words",
+        "authored_at",
         F.lit("provider").alias("source"),
     )
     worded = staged.withColumn("_clean", F.when(F.col("_route").isNull(), route_words(F.col("label"), F.col("dosage_form"), F.col("_words"))))

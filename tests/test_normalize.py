@@ -77,3 +77,31 @@ def test_unify_and_overlay(spark, resources):
     got = {r.id: r for r in records.overlay_patches(unified, patches).collect()}
     assert got["c1"].hidden and not got["c1"].inactive_overlay and got["e1"].inactive_overlay
     assert got["d1"].display_value == "1 linked result" and got["e1"].date == "2024-02-03" and got["e1"].source_label == "AMB"
+
+
+def test_requests_are_read_before_they_meet_their_medications(spark, resources):
+    codes = lambda system, code: {"text": f"Text {code}", "coding": [{"system": system, "code": code}]}
+    found = normalize.medications(
+        resources(
+            {"resourceType": "Medication", "id": "m1", "code": codes("urn:oid:2.16.840.1.113883.6.69", "7"), "form": {"text": "Eye drops"}, "ingredient": [{"itemReference": {"display": "Salt"}}]},
+            {"resourceType": "MedicationRequest", "id": "a", "medicationReference": {"reference": "Medication/m1"}, "status": "active"},
+            {"resourceType": "MedicationRequest", "id": "b", "medicationCodeableConcept": codes("http://www.nlm.nih.gov/research/umls/RxNorm", "5"), "dosageInstruction": [{"text": "under the  tongue"}, {"route": {"text": "Given"}}]},
+            {"resourceType": "MedicationRequest", "id": "c", "medicationReference": {"reference": "Medication/gone"}, "dosageInstruction": [{"text": "gelatine, then by MOUTH."}]},
+            {"resourceType": "MedicationRequest", "code": {"coding": [{"code": "9"}]}, "authoredOn": "2024-01-01", "dosageInstruction": "none"},
+        )
+    )
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "try_variant_get" not in plan[: plan.index("Join")]  # no body is carried through the join
+    got = {r.id: (r.label, r.status, r.coding_keys, r.ingredients, r.dosage_form, r.route, r.authored_at) for r in found.collect()}
+    assert got == {
+        "a": ("Text 7", "active", ["ndc:7"], ["Salt"], "Eye drops", "Ophthalmic", None),
+        "b": ("Text 5", "unknown", ["rxnorm:5"], [], None, "Given", None),
+        "c": ("Medication/gone", "unknown", [], [], None, "Oral", None),
+        "pos-4": ("9", "unknown", [], [], None, None, "2024-01-01"),
+    }
+
+
+def test_a_route_is_named_by_whole_words(spark):
+    given = {"Gel cap": "Topical", "gelatine": None, "into the ear": None, "in-the-ear": "Otic", "EAR DROPS": "Otic", "oral patch": "Transdermal", "pen injector": "Injection", "iv.": "Intravenous", " ": None, "by mouth; sublingual": "Sublingual"}
+    rows = spark.createDataFrame([(t,) for t in given], "t string").select("t", normalize.route_words(F.col("t")).alias("words"))
+    assert {r.t: r.route for r in rows.select("t", normalize.infer_route(F.col("words")).alias("route")).collect()} == given
