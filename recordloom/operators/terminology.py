@@ -51,27 +51,35 @@ def safety_tokens(df: DataFrame) -> DataFrame:
 def friendly_names(concepts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """Best terminology entry per concept: system rank, specificity, match confidence, then key order.
 
+    ``keys`` name one concept. Concepts that carry the same codes, and as medications the same words, have the same entry: it is found once
+    for all of them, under 128 bits of a hash of what they carry. So what is exchanged per concept is its keys and that hash, not every code with its entry.
     The join is an equality on (system, code). ``terms`` is not hinted: Spark broadcasts it while its
     measured size is small and sorts otherwise.
     """
-    rows = safety_tokens(concepts).select(*keys, "resource_type", "_ingredient_tokens", "_source_tokens", F.posexplode("coding_keys").alias("key_pos", "_key"))
+    words = ["ingredients", "source_label", "code_texts", "code_codings"]
+    read = concepts.select(*keys, "resource_type", "coding_keys", *[F.when(F.col("resource_type") == "MedicationRequest", F.col(c)).alias(c) for c in words])
+    content = ["resource_type", "coding_keys", *words]
+    # Never null, so that no filter on it keeps the two readers of ``marked`` from sharing an exchange.
+    marked = read.withColumn("_concept", F.coalesce(F.unhex(F.md5(F.to_json(F.struct(*content)))), F.lit(b"")))
+    rows = safety_tokens(marked.select("_concept", *content).distinct()).select("_concept", "resource_type", "_ingredient_tokens", "_source_tokens", F.posexplode("coding_keys").alias("key_pos", "_key"))
     parsed = rows.withColumn("_p", parse_coding_key(F.col("_key"))).filter("_p is not null").select("*", F.col("_p.system").alias("system"), F.col("_p.code").alias("code")).drop("_p", "_key")
     found = parsed.join(terms, ["system", "code"]).filter(
         (F.col("resource_type") != "MedicationRequest") | name_matches_source(F.col("name"), F.col("_ingredient_tokens"), F.col("_source_tokens"))
     )
     ranked = found.select(
-        *keys, "resource_type", "system", "code", "name", "match_type", "canonical_system", "canonical_code",
+        "_concept", "system", "code", "name", "match_type", "canonical_system", "canonical_code",
         lookup_system_rank(F.col("resource_type"), F.col("system")).alias("_system"),
         specificity_rank(F.col("system"), F.col("code"), F.col("tty")).alias("_specific"),
         match_confidence(F.col("match_type")).alias("_conf"),
         "key_pos",
     )
-    best = best_row(ranked, keys, [F.col("_system"), F.col("_specific"), F.col("_conf").desc(), F.col("key_pos")])
+    best = best_row(ranked, ["_concept"], [F.col("_system"), F.col("_specific"), F.col("_conf").desc(), F.col("key_pos")])
     blank = norm_text(F.col("name")) == ""
-    return best.select(
-        *keys, "resource_type", "system", "code", "name", "match_type", "canonical_system", "canonical_code",
+    entries = best.select(
+        "_concept", "system", "code", "name", "match_type", "canonical_system", "canonical_code",
         F.when(blank, 0.5).otherwise(F.col("_conf")).alias("confidence"), blank.alias("fallback"),
     )
+    return marked.select(*keys, "resource_type", "_concept").join(entries, "_concept").drop("_concept")
 
 
 # Category of a group -> code system of its canonical code.

@@ -172,3 +172,19 @@ def test_pending_after_batches_needs_one_join(spark, tmp_path):
     got = sorted((r.batch, r.patient_id, r.id) for r in after.collect())
     assert got == sorted((b, r.patient_id, r.id) for b in range(4) for r in run.pending(records, b).collect())
     assert sum("Join" in line for line in plan_of(run.pending_after(records, 4)).splitlines()) == 1
+
+
+def test_equal_concepts_are_named_once(spark):
+    fields = "id int, resource_type string, coding_keys array<string>, ingredients array<string>, source_label string, code_texts array<string>, code_codings array<struct<code:string,display:string>>"
+    meds = lambda i, words, parts: (i, "MedicationRequest", ["rxnorm:1", "rxnorm:2"], parts, words, [], None)
+    rows = [meds(1, "big ring", []), meds(2, "big ring", []), meds(3, "big ring", None), meds(4, "wide nut", []), meds(5, "big ring", ["wide"]), meds(6, "none", [])]
+    rows += [(7, "Condition", ["icd10:E1"], [], "a", [], []), (8, "Condition", ["icd10:E1"], ["b"], None, None, []), (9, "Condition", ["icd10:E1", None], [], "a", [], []), (10, "Condition", None, [], "a", [], []), (11, None, ["icd10:E1"], [], "a", [], [])]
+    terms = spark.createDataFrame(
+        [("rxnorm", "1", "Ring", "exact", "IN"), ("rxnorm", "2", "Wide nut", "exact", "SCD"), ("icd10cm", "E1", "--", "exact", None)], "system string, code string, name string, match_type string, tty string"
+    ).withColumns({"canonical_system": F.lit(None).cast("string"), "canonical_code": F.lit(None).cast("string")})
+    found = terminology.friendly_names(spark.createDataFrame(rows, fields), terms, ["id"])
+    got = {r.id: (r.resource_type, r.code, r.confidence, r.fallback) for r in found.collect()}
+    ring, nut, coded = ("MedicationRequest", "1", 0.96, False), ("MedicationRequest", "2", 0.96, False), ("Condition", "E1", 0.5, True)
+    assert got == {1: ring, 2: ring, 3: ring, 4: nut, 5: nut, 7: coded, 8: coded, 9: coded, 11: (None, "E1", 0.5, True)}
+    plan = plan_of(found)  # entries are ranked per distinct content, and the ids take no part in it
+    assert "windowspecdefinition(_concept" in plan and "windowspecdefinition(id" not in plan
