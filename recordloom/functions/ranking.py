@@ -40,15 +40,29 @@ def one_or_several(df: DataFrame, keys: list[str], value: str) -> tuple[DataFram
     return one, several.select(*keys, value).distinct()
 
 
+def slots_of(n_rows: Column, slots: int = 16, full: int = 4096) -> Column:
+    """Slots of a value that ``n_rows`` rows hold: one for up to ``full`` rows, so that its part of a table is only repeated where that is needed."""
+    return F.least(F.lit(slots), F.ceil(n_rows / full)).cast("int")
+
+
+def dealt(rows: DataFrame, on: list[str], slots: Column) -> DataFrame:
+    """Each row in one ``_slot`` of its value."""
+    rest = [c for c in rows.columns if c not in on]
+    return rows.withColumn("_slot", F.pmod(F.xxhash64(*rest), slots).cast("int"))
+
+
+def repeated(table: DataFrame, slots: Column) -> DataFrame:
+    """Each row in every ``_slot`` of its value."""
+    return table.withColumn("_slot", F.explode(F.sequence(F.lit(0), slots - 1)))
+
+
 def fan_out(rows: DataFrame, table: DataFrame, on: list[str], slots: int = 16) -> DataFrame:
     """Inner join where one value of ``on`` can hold many rows of both sides.
 
-    The rows of a value are dealt to ``slots``, its part of the table is repeated in each, so one value is joined by many tasks.
+    The rows of a value are dealt to ``slots``, its part of the table is repeated in each, so one value is joined by many tasks. The dealt
+    rows are what a task holds; they come in one order for each row of the table, which a columnar file packs well.
     """
-    rest = [c for c in rows.columns if c not in on]
-    dealt = rows.withColumn("_slot", F.pmod(F.xxhash64(*rest), F.lit(slots)).cast("int"))
-    repeated = table.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    return dealt.join(repeated, [*on, "_slot"]).drop("_slot")
+    return repeated(table, F.lit(slots)).join(dealt(rows, on, F.lit(slots)), [*on, "_slot"]).drop("_slot")
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column], slots: int = 256) -> DataFrame:

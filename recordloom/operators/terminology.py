@@ -13,7 +13,7 @@ from ..functions.coding import (
     strength_name,
     strength_rank,
 )
-from ..functions.ranking import best_row, extreme_row, fan_out, one_or_several
+from ..functions.ranking import best_row, dealt, extreme_row, fan_out, one_or_several, repeated, slots_of
 from ..functions.text import meaningful_tokens, norm_name, norm_text
 from ..session import saved
 
@@ -120,12 +120,24 @@ def medication_conditions(medications: DataFrame, ingredients: DataFrame, assoc_
     rest = medications.filter(F.size(F.coalesce("given", F.array().cast(STRINGS))) == 0).select(*keys, "code")
     parts = ingredients.select(F.col("product_code").alias("code"), "ingredient_code")
     broken = rest.join(parts, "code", "left").select(*keys, F.coalesce("ingredient_code", "code").alias("ingredient_code"))
-    sets = given.unionByName(broken).groupBy(*keys).agg(F.sort_array(F.collect_set("ingredient_code")).alias("_set"))
+    # A set is exchanged once per medication; from there on 128 bits of its hash stand for it.
+    gathered = given.unionByName(broken).groupBy(*keys).agg(F.sort_array(F.collect_set("ingredient_code")).alias("_parts")).filter(F.size("_parts") > 0)
+    hashed = saved(gathered.withColumn("_set", F.unhex(F.md5(F.to_json("_parts")))))
+    sets = hashed.groupBy("_set").agg(F.count(F.lit(1)).alias("_rows"), F.any_value("_parts").alias("_parts"))
+    slots, mixed = slots_of(F.col("_rows")), F.size("_parts") > 1
     per_code = assoc_meds.groupBy(F.col("code").alias("ingredient_code"), "condition_code").agg(F.max(strength_rank(F.col("strength"))).alias("_s"), F.min("condition_pos").alias("assoc_pos"))
-    alone = sets.filter(F.size("_set") == 1).select(*keys, F.element_at("_set", 1).alias("ingredient_code"))
-    mixed = sets.filter(F.size("_set") > 1)
-    per_set = mixed.select("_set").distinct().select("_set", F.explode("_set").alias("ingredient_code")).join(per_code, "ingredient_code").groupBy("_set", "condition_code").agg(F.max("_s").alias("_s"), F.min("assoc_pos").alias("assoc_pos"))
-    best = fan_out(alone, per_code, ["ingredient_code"]).drop("ingredient_code").unionByName(fan_out(mixed, per_set, ["_set"]).drop("_set"))
+
+    def conditions_of(kind: Column) -> DataFrame:
+        codes = repeated(sets.filter(kind), slots).select("_set", "_slot", F.explode("_parts").alias("ingredient_code"))
+        return codes.join(per_code, "ingredient_code").drop("ingredient_code")
+
+    def pairs(conditions: DataFrame, kind: Column) -> DataFrame:
+        members = hashed.filter(kind).select(*keys, "_set").join(sets.select("_set", "_rows"), "_set")
+        return conditions.join(dealt(members, ["_set", "_rows"], slots).drop("_rows"), ["_set", "_slot"])
+
+    # One exchange serves the best strength within a mixed set and its join with the medications.
+    best_of_set = conditions_of(mixed).repartition("_set", "_slot").groupBy("_set", "_slot", "condition_code").agg(F.max("_s").alias("_s"), F.min("assoc_pos").alias("assoc_pos"))
+    best = pairs(conditions_of(~mixed), ~mixed).unionByName(pairs(best_of_set, mixed))
     return best.select(*keys, "condition_code", strength_name(F.col("_s")).alias("strength"), "assoc_pos")
 
 

@@ -188,3 +188,13 @@ def test_equal_concepts_are_named_once(spark):
     assert got == {1: ring, 2: ring, 3: ring, 4: nut, 5: nut, 7: coded, 8: coded, 9: coded, 11: (None, "E1", 0.5, True)}
     plan = plan_of(found)  # entries are ranked per distinct content, and the ids take no part in it
     assert "windowspecdefinition(_concept" in plan and "windowspecdefinition(id" not in plan
+
+
+def test_sets_of_ingredients_are_exchanged_as_hashes(spark):
+    groups = spark.range(20).select(F.col("id").alias("k"), F.concat(F.lit("none"), "id").alias("code"), F.transform(F.sequence(F.lit(0), F.lit(99)), lambda n: F.concat(F.lit("part-"), (n + F.col("id")).cast("string"))).alias("given"))
+    none = spark.createDataFrame([], "product_code string, ingredient_code string")
+    assoc = spark.range(200).select(F.concat(F.lit("part-"), "id").alias("code"), F.concat(F.lit("c"), (F.col("id") % 7).cast("string")).alias("condition_code"), F.lit("strong").alias("strength"), F.col("id").alias("condition_pos"))
+    found = terminology.medication_conditions(groups, none, assoc, ["k"])
+    assert sorted((r.k, r.condition_code) for r in found.collect()) == sorted((k, f"c{c}") for k in range(20) for c in range(7))
+    opened = [line for line in plan_of(found).splitlines() if "explode(_parts#" in line]
+    assert opened and not [line for line in opened if line.count("_parts#") > 1]  # no row of one ingredient carries its whole set
