@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from recordloom.functions.ranking import slots_of
 from recordloom.operators import bm25, builds, classify, relationships, terminology
 from recordloom.plans import catalog
 from recordloom.session import once
@@ -198,3 +199,14 @@ def test_sets_of_ingredients_are_exchanged_as_hashes(spark):
     assert sorted((r.k, r.condition_code) for r in found.collect()) == sorted((k, f"c{c}") for k in range(20) for c in range(7))
     opened = [line for line in plan_of(found).splitlines() if "explode(_parts#" in line]
     assert opened and not [line for line in opened if line.count("_parts#") > 1]  # no row of one ingredient carries its whole set
+
+
+def test_conditions_of_few_medications_are_not_repeated(spark):
+    meds = spark.range(40).select(F.col("id").alias("k"), F.lit("none").alias("code"), F.array(F.lit("a"), F.lit("b")).alias("given"))
+    none = spark.createDataFrame([], "product_code string, ingredient_code string")
+    assoc = spark.range(30).select(F.lit("a").alias("code"), F.concat(F.lit("c"), "id").alias("condition_code"), F.lit("strong").alias("strength"), F.col("id").alias("condition_pos"))
+    found = terminology.medication_conditions(meds, none, assoc, ["k"])
+    assert "sequence(0, (" in plan_of(found)  # as many slots as the set's medications need
+    assert found.count() == 40 * 30 and found.select("k").distinct().count() == 40
+    asked = spark.createDataFrame([(1,), (4096,), (4097,), (10**9,)], "n bigint")
+    assert [r[0] for r in asked.select(slots_of(F.col("n"))).collect()] == [1, 1, 2, 16]
