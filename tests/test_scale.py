@@ -1,5 +1,7 @@
 """Plans of operators whose inputs or results grow large, and the odd rows that their shortcuts must still get right."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from recordloom.functions.ranking import slots_of
@@ -10,6 +12,10 @@ from recordloom.sources import export
 from recordloom.streaming import incremental
 
 
+def bm25_stem(word):
+    return re.sub(bm25.suffix_pattern(), r"\1", word)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -210,3 +216,22 @@ def test_conditions_of_few_medications_are_not_repeated(spark):
     assert found.count() == 40 * 30 and found.select("k").distinct().count() == 40
     asked = spark.createDataFrame([(1,), (4096,), (4097,), (10**9,)], "n bigint")
     assert [r[0] for r in asked.select(slots_of(F.col("n"))).collect()] == [1, 1, 2, 16]
+
+
+def test_search_exchanges_no_pairs_of_query_and_record(spark):
+    words = ["serum", "glucose", "fasting", "urine", "sodium", "panel", "rapid"]
+    docs = [("lab", f"r{n:02}", " ".join(words[i] for i in range(7) if (n % 16) >> (i % 4) & 1)) for n in range(48)]
+    index = bm25.build_index(spark.createDataFrame(docs, "category string, rid string, text string"))
+    index["postings"] = index["postings"].withColumn("impact", F.col("tf").cast("double"))  # many equal scores
+    asked = [("lab", n, " ".join(words[: n + 1] + words[:1])) for n in range(7)] + [("lab", 7, "unknown"), ("lab", 8, None), (None, 9, "serum"), ("drug", 10, "serum")]
+    found = bm25.search(spark.createDataFrame(asked, "category string, qid int, query string"), index["postings"], 3, 2)
+    tf = {(r.rid, r.term): r.impact for r in index["postings"].collect()}
+    want = []
+    for category, qid, query in asked:
+        terms = [bm25_stem(w) for w in (query or "").split()] if category == "lab" else []
+        scores = {rid: sum(tf.get((rid, t), 0) for t in terms) for _, rid, _ in docs}
+        best = sorted((-s, rid) for rid, s in scores.items() if s)[:3]
+        want += [(qid, rank, rid, -s) for rank, (s, rid) in enumerate(best, 1)]
+    assert sorted((r.qid, r["rank"], r.rid, r.score) for r in found.collect()) == want
+    below = plan_of(found).split("FlatMapCoGroups")
+    assert len(below) > 1 and "SortMergeJoin" not in "".join(below) and "HashAggregate" not in below[0]
