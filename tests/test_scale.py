@@ -235,3 +235,11 @@ def test_search_exchanges_no_pairs_of_query_and_record(spark):
     assert sorted((r.qid, r["rank"], r.rid, r.score) for r in found.collect()) == want
     below = plan_of(found).split("FlatMapCoGroups")
     assert len(below) > 1 and "SortMergeJoin" not in "".join(below) and "HashAggregate" not in below[0]
+
+
+def test_a_large_result_of_small_inputs_is_joined_by_many_tasks(spark):
+    labs = spark.range(500).select(F.col("id").alias("k"), F.lit("a").alias("code"))
+    assoc = spark.range(300).select(F.concat(F.lit("c"), "id").alias("condition_code"), F.lit("a").alias("code"), F.lit("weak").alias("strength"), F.col("id").alias("pos"))
+    found = terminology.lab_conditions(labs, assoc, ["k"])
+    sizes = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 500 * 300 and len(sizes) > 4 and max(sizes) < sum(sizes) / 2
