@@ -248,7 +248,8 @@ def medications(resources: DataFrame) -> DataFrame:
         m["authoredOn"].alias("authored_at"),
     )
     spread = lambda df, other: df.withColumn("_spread", F.crc32(F.coalesce(F.col("_ref"), other).cast("binary")))
-    df = spread(requests, F.col("id")).join(spread(medication_products(resources), F.lit("")), ["source_id", "_ref", "_spread"], "left")
+    # Sorted, never broadcast: a compressed file tells too little of how large its products are, and a broadcast passes through the driver.
+    df = spread(requests, F.col("id")).join(spread(medication_products(resources), F.lit("")).hint("merge"), ["source_id", "_ref", "_spread"], "left")
     by_display = F.when(F.col("_display").isNotNull(), F.struct(F.col("_display").alias("text"), F.lit(None).cast("array<struct<code:string,display:string>>").alias("codings")))
     none = F.array().cast("array<string>")
     staged = df.select(

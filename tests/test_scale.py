@@ -243,3 +243,10 @@ def test_a_large_result_of_small_inputs_is_joined_by_many_tasks(spark):
     found = terminology.lab_conditions(labs, assoc, ["k"])
     sizes = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert sum(sizes) == 500 * 300 and len(sizes) > 4 and max(sizes) < sum(sizes) / 2
+
+
+def test_medications_are_never_broadcast(spark):
+    plan = plan_of(catalog.QUERIES["medication_table"](spark, "/root/testdata/sf0.001"))
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    unified = plan_of(catalog.QUERIES["unified_records"](spark, "/root/testdata/sf0.001"))
+    assert unified.count("SortMergeJoin") == 1  # named providers are few: their broadcast stays
